@@ -1,9 +1,11 @@
 """Registered queries of this subpackage."""
 
-from . import decontaminate, url_filter
+from . import decontaminate, packing, token_files, url_filter
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op6_token_files": token_files.op6_token_files,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
 }
 ORACLES = {
