@@ -1,14 +1,18 @@
 """Registered queries of this subpackage."""
 
-from . import decontaminate, packing, token_files, url_filter
+from . import chat_format, decontaminate, exact_dedup, packing, token_files, url_filter
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_token_files": token_files.op6_token_files,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
 }
 ORACLES = {
+    "op1_chat_format": chat_format.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
+    "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }
