@@ -1,13 +1,15 @@
 """Registered queries of this subpackage."""
 
-from . import chat_format, decontaminate, exact_dedup, packing, token_files, url_filter
+from . import chat_format, decontaminate, exact_dedup, html_extract, packing, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_token_files": token_files.op6_token_files,
+    "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
 }
 ORACLES = {
