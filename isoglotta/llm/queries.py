@@ -1,6 +1,6 @@
 """Registered queries of this subpackage."""
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, packing, token_files, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, html_extract, near_dedup, packing, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_token_files": token_files.op6_token_files,
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE_SQL,
