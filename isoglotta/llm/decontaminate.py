@@ -144,6 +144,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return whole._isoglotta.bind(out) if n_blocks > 1 else out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, all columns kept: one filter for each benchmark block, no join."""
+    spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index(text_col)
+    n_blocks = _blocks(benchmark, item_col, item_text, block_bytes)
+    keyed = benchmark.select(F.col(item_text).alias("t"), F.pmod(F.xxhash64(item_text, item_col), F.lit(n_blocks)).alias("b"))
+
+    def clean(sent):
+        def run(batches):
+            search = WuManber(sent.value, size)
+            for b in batches:
+                for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                    yield part.filter(pa.array([not search.find(words_of(t))[0] for t in part.column(at).to_pylist()], pa.bool_()))
+
+        return run
+
+    for k in range(n_blocks):
+        items = [(0, r["t"]) for r in keyed.where(F.col("b") == k).select("t").collect()]  # at most about block_bytes
+        docs = docs.mapInArrow(clean(spark.sparkContext.broadcast(items)), schema)
+    return docs
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")

@@ -65,6 +65,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return store.bind(joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), "text_sha256"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns kept. Rows without an id stay."""
+    groups = exact_groups(docs, id_col, text_col)
+    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    out = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.sha2(normalised(docs[text_col]), 256) == gone["_sha"]), "left_anti")
+    return groups._isoglotta.bind(out)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
