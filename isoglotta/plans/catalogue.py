@@ -1,4 +1,400 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Readings come from the benchmark tables: a locality is a supplier's nation, a character is a part, and the
+three elements are return flag, order priority and order status, in the order of order lines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isoglotta.functions import phonetics as P
+from isoglotta.functions import regions as R
+from isoglotta.operators import aggregates as A
+from isoglotta.operators import align as AL
+from isoglotta.operators import cells as C
+from isoglotta.operators import encode as E
+from isoglotta.operators import geo as G
+from isoglotta.operators import impute as I
+from isoglotta.operators import models as M
+from isoglotta.operators import recon as X
+from isoglotta.operators import rules as RU
+from isoglotta.operators import similarity as S
+from isoglotta.sources import datasets as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: table(spark, sf, n)
+    d = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return d.select(
+        F.col("s_nationkey").cast("string").alias("did"), F.col("l_partkey").cast("string").alias("cid"), F.col("l_returnflag").alias("initial"),
+        F.col("o_orderpriority").alias("final"), F.col("o_orderstatus").alias("tone"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_suppkey")).alias("seq"),
+    )
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    return C.transform(readings(spark, sf), "did", "cid", C.ELEMENTS)
+
+
+READ = """r AS (
+  SELECT CAST(s_nationkey AS VARCHAR) AS did, CAST(l_partkey AS VARCHAR) AS cid, l_returnflag AS initial, o_orderpriority AS final, o_orderstatus AS tone,
+    (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS seq
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
+)"""
+CELLS = READ + """, c AS (
+  SELECT did, cid, arg_min(initial, seq) FILTER (initial IS NOT NULL) AS initial, arg_min(final, seq) FILTER (final IS NOT NULL) AS final, arg_min(tone, seq) FILTER (tone IS NOT NULL) AS tone
+  FROM r WHERE did IS NOT NULL AND cid IS NOT NULL GROUP BY did, cid
+)"""
+
+
+# cells
+
+
+@query(f"WITH {CELLS} SELECT did, cid, initial, final, tone FROM c")
+def long_cells_first(spark, sf):
+    return cells(spark, sf)
+
+
+@query(f"WITH {READ} SELECT did, cid, string_agg(initial, ' ' ORDER BY seq, initial) AS initial, string_agg(final, ' ' ORDER BY seq, final) AS final, string_agg(tone, ' ' ORDER BY seq, tone) AS tone FROM r GROUP BY did, cid")
+def long_cells_join(spark, sf):
+    return C.transform(readings(spark, sf), "did", "cid", C.ELEMENTS, "join")
+
+
+_DIDS = [str(i) for i in range(25)]
+
+
+@query("WITH " + CELLS + " SELECT cid, " + ", ".join(f"min({e}) FILTER (did = '{d}') AS \"{d}_{e}\"" for d in _DIDS for e in C.ELEMENTS) + " FROM c GROUP BY cid")
+def wide_pivot_did(spark, sf):
+    return C.wide(cells(spark, sf), "cid", "did", C.ELEMENTS, _DIDS)
+
+
+@query(f"WITH {CELLS} SELECT did, cid, element, value FROM (SELECT did, cid, unnest(['initial', 'final', 'tone']) AS element, unnest([initial, final, tone]) AS value FROM c) WHERE coalesce(value, '') <> ''")
+def melted_cells(spark, sf):
+    return C.melt(cells(spark, sf))
+
+
+@query(f"WITH {READ} SELECT DISTINCT did FROM r WHERE did IS NOT NULL")
+def dataset_dialects(spark, sf):
+    return D.Dataset(readings(spark, sf)).dialects
+
+
+_PART = "p AS (SELECT CAST(p_partkey AS VARCHAR) AS cid, p_name AS character FROM part)"
+
+
+def part_chars(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("cid"), F.col("p_name").alias("character"))
+
+
+@query(f"WITH {_PART} SELECT DISTINCT cid, character FROM p WHERE cid IS NOT NULL OR character IS NOT NULL")
+def dataset_characters(spark, sf):
+    return A.characters(part_chars(spark, sf))
+
+
+@query("SELECT p_brand AS cid, min(p_name) AS character FROM part GROUP BY p_brand")
+def dataset_characters_min(spark, sf):
+    return A.character_of(table(spark, sf, "part").select(F.col("p_brand").alias("cid"), F.col("p_name").alias("character")))
+
+
+@query(f"WITH {READ} SELECT did, cid, initial, final, tone, seq FROM r WHERE did IN ('3', '7', '11', 'none')")
+def filter_dids(spark, sf):
+    return D.Dataset(readings(spark, sf)).filter(["3", "7", "11", "none"]).data
+
+
+_HOLED = READ + ", h AS (SELECT did, cid, nullif(initial, 'N') AS initial, nullif(final, '5-LOW') AS final, nullif(tone, 'O') AS tone, seq FROM r)"
+
+
+def holed(spark, sf):
+    n = lambda c, v: F.nullif(F.col(c), F.lit(v))
+    return readings(spark, sf).withColumns({"initial": n("initial", "N"), "final": n("final", "5-LOW"), "tone": n("tone", "O")})
+
+
+@query(f"WITH {_HOLED} SELECT * FROM h WHERE initial IS NOT NULL OR final IS NOT NULL OR tone IS NOT NULL")
+def drop_all_missing(spark, sf):
+    return C.drop_empty(holed(spark, sf))
+
+
+@query(f"WITH {_HOLED} SELECT * FROM h WHERE initial IS NOT NULL AND final IS NOT NULL")
+def drop_any_missing(spark, sf):
+    return holed(spark, sf).na.drop("any", subset=["initial", "final"])
+
+
+@query(f"""WITH {CELLS}, d AS (SELECT did FROM c GROUP BY did HAVING count(DISTINCT cid) >= 0.35 * (SELECT count(DISTINCT cid) FROM c)),
+k AS (SELECT * FROM c SEMI JOIN d USING (did)), ch AS (SELECT cid FROM k GROUP BY cid HAVING count(DISTINCT did) >= 0.5 * (SELECT count(*) FROM d))
+SELECT did, cid, initial, final, tone FROM k SEMI JOIN ch USING (cid)""")
+def drop_sparse(spark, sf):
+    return C.drop_sparse(cells(spark, sf), 0.35, 0.5).select("did", "cid", *C.ELEMENTS)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE coalesce(contains(text, 'idiot'), FALSE) = FALSE")
+def note_filter(spark, sf):
+    return C.without_note(table(spark, sf, "documents"), "text", "idiot").select("doc_id", "lang")
+
+
+@query("SELECT s_suppkey, s_acctbal, CASE WHEN s_acctbal BETWEEN 0 AND 55 THEN s_acctbal END AS lat, CASE WHEN s_acctbal BETWEEN 70 AND 140 THEN s_acctbal END AS lon FROM supplier")
+def coordinate_sanity(spark, sf):
+    return table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", R.sane_latitude(F.col("s_acctbal")).alias("lat"), R.sane_longitude(F.col("s_acctbal")).alias("lon"))
+
+
+@query("SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS village FROM customer")
+def conform_schema(spark, sf):
+    return C.conform(table(spark, sf, "customer"), ["c_custkey", "c_name", "village"])
+
+
+@query("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'first' WHEN 'Brand#12' THEN 'second' ELSE p_brand END AS brand FROM part")
+def replace_values(spark, sf):
+    return table(spark, sf, "part").na.replace({"Brand#11": "first", "Brand#12": "second"}, subset=["p_brand"]).select("p_partkey", F.col("p_brand").alias("brand"))
+
+
+# sets and joins
+
+
+@query(f"WITH {READ}, a AS (SELECT * FROM r WHERE did < '2'), b AS (SELECT * FROM r WHERE did >= '5') SELECT * FROM a UNION ALL SELECT * FROM b")
+def append_datasets(spark, sf):
+    r = readings(spark, sf)
+    return (D.Dataset(r.where("did < '2'")) + D.Dataset(r.where("did >= '5'"))).data
+
+
+@query("SELECT 'nation' AS dataset, n_name AS name, n_regionkey AS extra FROM nation UNION ALL SELECT 'region', r_name, NULL FROM region")
+def concat_with_source(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("extra"))
+    return A.concat_sources(nation=n, region=table(spark, sf, "region").select(F.col("r_name").alias("name")))
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def key_intersection(spark, sf):
+    return table(spark, sf, "documents").select("doc_id").intersect(table(spark, sf, "labels").select("doc_id"))
+
+
+@query("SELECT doc_id FROM documents UNION SELECT doc_id FROM labels")
+def key_union(spark, sf):
+    return table(spark, sf, "documents").select("doc_id").union(table(spark, sf, "labels").select("doc_id")).distinct()
+
+
+@query("SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
+def unlabelled_anti(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("""WITH a AS (SELECT p_partkey AS idx, p_type AS simplified, p_brand AS traditional FROM part WHERE p_partkey % 3 <> 0),
+b AS (SELECT p_partkey AS idx, p_type AS simplified, CASE WHEN p_size % 2 = 0 THEN p_brand END AS traditional FROM part WHERE p_partkey % 3 <> 1)
+SELECT coalesce(coalesce(a.simplified, b.simplified), coalesce(a.traditional, b.traditional), '') AS glyph, coalesce(a.idx, -1) AS idx1, coalesce(b.idx, -1) AS idx2
+FROM a FULL JOIN b ON a.simplified IS NOT DISTINCT FROM b.simplified AND a.traditional IS NOT DISTINCT FROM b.traditional""")
+def align_glyphs_full_outer(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), F.col("p_type").alias("simplified"), F.col("p_brand").alias("traditional"), "p_size")
+    b = p.where("idx % 3 <> 1").withColumn("traditional", F.when(F.col("p_size") % 2 == 0, F.col("traditional"))).drop("p_size")
+    return AL.align_chars(p.where("idx % 3 <> 0").drop("p_size"), b)
+
+
+@query("SELECT count(*) FILTER (text <> replace(text, 'the', 'ye')) < 3 AS simplified FROM documents")
+def script_heuristic(spark, sf):
+    return A.script_is_simplified(table(spark, sf, "documents"), "text", lambda c: F.replace(c, F.lit("the"), F.lit("ye")))
+
+
+# windows
+
+
+@query(f"WITH {_HOLED} SELECT did, cid, seq, coalesce(initial, first_value(initial IGNORE NULLS) OVER w) AS initial, coalesce(final, first_value(final IGNORE NULLS) OVER w) AS final, tone FROM h WINDOW w AS (PARTITION BY cid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def fill_first_in_group(spark, sf):
+    return C.fill_first(holed(spark, sf), "cid", ["initial", "final"]).select("did", "cid", "seq", "initial", "final", "tone")
+
+
+@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_name) = 1 AS monophone FROM part")
+def monophone_mask(spark, sf):
+    return A.monophones(table(spark, sf, "part"), "p_name").select("p_partkey", "monophone")
+
+
+_PLACES = "g AS (SELECT s_suppkey AS id, CAST(s_nationkey AS DOUBLE) AS lat, CAST(s_nationkey % 7 + 100 AS DOUBLE) AS lon FROM supplier)"
+
+
+def places(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("double").alias("lat"), (F.col("s_nationkey") % 7 + 100).cast("double").alias("lon"))
+
+
+@query(f"WITH {_PLACES} SELECT id, lat, round(lon + (row_number() OVER (PARTITION BY lat, lon ORDER BY id) - 1) * 1e-4, 6) AS lon FROM g")
+def jitter_duplicates(spark, sf):
+    return A.jitter(places(spark, sf), "id").select("id", "lat", F.round("lon", 6).alias("lon"))
+
+
+@query(f"WITH {_PLACES}, a AS (SELECT min(lat) l0, max(lat) l1, min(lon) o0, max(lon) o1, avg(lat) m, stddev_pop(lat) s, avg(lon) n, stddev_pop(lon) t FROM g), b AS (SELECT greatest(l0, m - 1.5 * s) l0, least(l1, m + 1.5 * s) l1, greatest(o0, n - 1.5 * t) o0, least(o1, n + 1.5 * t) o1 FROM a) SELECT round(l0 - 0.01 * (l1 - l0), 6) AS lat0, round(l1 + 0.01 * (l1 - l0), 6) AS lat1, round(o0 - 0.01 * (o1 - o0), 6) AS lon0, round(o1 + 0.01 * (o1 - o0), 6) AS lon1 FROM b")
+def map_extent(spark, sf):
+    return A.extent(places(spark, sf), 1.5).select(*(F.round(c, 6).alias(c) for c in ("lat0", "lat1", "lon0", "lon1")))
+
+
+@query(f"WITH {_PLACES} SELECT id FROM g WHERE lat > 3 AND lat < 20 AND lon > 100 AND lon < 105")
+def points_in_box(spark, sf):
+    return G.inside(places(spark, sf), 3, 100, 20, 105).select("id")
+
+
+@query(f"WITH {CELLS} SELECT did, cid, dense_rank() OVER (ORDER BY final) - 1 AS code FROM c WHERE final IS NOT NULL UNION ALL SELECT did, cid, -1 FROM c WHERE final IS NULL")
+def ordinal_codes(spark, sf):
+    return E.ordinal(cells(spark, sf), "final").select("did", "cid", "code")
+
+
+@query("SELECT p_brand, n, CAST(sum(n) OVER (ORDER BY p_brand ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS start FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)")
+def cum_offsets(spark, sf):
+    return E.offsets(table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n")), "p_brand", "n").select("p_brand", "n", "start")
+
+
+# aggregates
+
+
+@query(f"WITH {READ}, k AS (SELECT cid AS value, count(*) AS count FROM r WHERE cid <> '' GROUP BY cid ORDER BY count DESC, value LIMIT 50) SELECT value, count, row_number() OVER (ORDER BY count DESC, value) - 1 AS code FROM k")
+def top_categories(spark, sf):
+    return E.make_dict(readings(spark, sf), "cid", None, 50, "frequency")
+
+
+@query(f"WITH {READ}, k AS (SELECT cid AS value, count(*) AS count FROM r WHERE cid <> '' GROUP BY cid), l AS (SELECT floor(0.0005 * count(*)) AS least FROM r) SELECT value, count, row_number() OVER (ORDER BY value) - 1 AS code FROM k, l WHERE least <= 1 OR count >= least")
+def freq_dict_min(spark, sf):
+    return E.make_dict(readings(spark, sf), "cid", 0.0005)
+
+
+@query(f"""WITH {READ}, x AS (SELECT did AS cluster, unnest(['final', 'tone']) AS element, unnest([final, tone]) AS value FROM r),
+k AS (SELECT cluster, element, value, count(*) AS n FROM x WHERE value IS NOT NULL GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY cluster, element ORDER BY n DESC, value) AS i FROM k)
+SELECT cluster, element, string_agg(value || ':' || n, ',' ORDER BY i) AS frequencies FROM t WHERE i <= 10 GROUP BY cluster, element""")
+def top10_per_cluster(spark, sf):
+    return A.top_values(readings(spark, sf), "did", ["final", "tone"])
+
+
+@query(f"""WITH {READ}, k AS (SELECT tone, did, final, count(*) AS n FROM r GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY tone, did) AS p FROM k),
+e AS (SELECT tone, did, -sum(p * ln(p)) AS h FROM p GROUP BY tone, did) SELECT tone, round(avg(h), 6) AS entropy FROM e GROUP BY tone""")
+def cluster_entropy(spark, sf):
+    return A.cluster_entropy(readings(spark, sf), "tone", "did", "final").select("tone", F.round("entropy", 6).alias("entropy"))
+
+
+@query(f"WITH {READ}, k AS (SELECT did, final, count(*) AS n FROM r GROUP BY ALL) SELECT did, final, round(n / sum(n) OVER (PARTITION BY did), 6) AS p FROM k")
+def relative_frequency(spark, sf):
+    return A.relative_frequency(readings(spark, sf), ["did"], "final").select("did", "final", F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {READ}, k AS (SELECT did, final, count(*) AS n FROM r GROUP BY ALL) SELECT did, final FROM k QUALIFY row_number() OVER (PARTITION BY did ORDER BY n DESC, final) = 1")
+def group_mode(spark, sf):
+    return A.mode(readings(spark, sf), "did", "final")
+
+
+@query(f"WITH {_HOLED} SELECT cid, round(avg((CAST(initial IS NULL AS INT) + CAST(final IS NULL AS INT) + CAST(tone IS NULL AS INT)) / 3.0), 6) AS missing FROM h GROUP BY cid")
+def missing_share(spark, sf):
+    return A.missing_share(holed(spark, sf), C.ELEMENTS).select("cid", F.round("missing", 6).alias("missing"))
+
+
+# similarity
+
+_CROSS = """x AS (
+  SELECT did, cid, k, v FROM (SELECT did, cid, unnest([0, 1, 2]) AS k, unnest([coalesce(initial, '') || coalesce(final, ''), coalesce(final, '') || coalesce(tone, ''), coalesce(tone, '') || coalesce(initial, '')]) AS v FROM c) WHERE v <> ''
+)"""
+_RAW = """y AS (SELECT did, cid, k, v FROM (SELECT did, cid, unnest([0, 1, 2]) AS k, unnest([coalesce(initial, ''), coalesce(final, ''), coalesce(tone, '')]) AS v FROM c) WHERE v <> '')"""
+
+
+def _chi2_sql(features: int = 3) -> str:
+    return f"""m AS (SELECT did, k, v, count(*) AS c FROM x GROUP BY ALL),
+p AS (SELECT did, k, v, c / sum(c) OVER (PARTITION BY did, k) AS p, count(*) OVER (PARTITION BY did, k) AS nc FROM m),
+o AS (SELECT a.did AS a, b.did AS b, a.k, a.v AS va, b.v AS vb, count(*) AS o FROM x a JOIN x b ON a.cid = b.cid AND a.k = b.k GROUP BY ALL),
+z AS (SELECT a, b, o.k, sum(o * o / pa.p / pb.p) / sum(o) - sum(o) AS chi, CAST((max(pa.nc) - 1) * (max(pb.nc) - 1) AS DOUBLE) AS dof
+  FROM o JOIN p pa ON pa.did = a AND pa.k = o.k AND pa.v = va JOIN p pb ON pb.did = b AND pb.k = o.k AND pb.v = vb GROUP BY a, b, o.k),
+s AS (SELECT a, b, CASE WHEN count(CASE WHEN dof > 0 THEN 1 END) = {features} THEN avg((chi - dof) / sqrt(2 * nullif(dof, 0))) END AS value FROM z GROUP BY a, b),
+chi AS (SELECT a.did AS a, b.did AS b, value FROM (SELECT DISTINCT did FROM x) a CROSS JOIN (SELECT DISTINCT did FROM x) b LEFT JOIN s ON s.a = a.did AND s.b = b.did)"""
+
+
+def rounded(m: DataFrame) -> DataFrame:
+    return m.select("a", "b", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {CELLS}, {_CROSS}, {_chi2_sql()} SELECT a, b, round(value, 6) AS value FROM chi")
+def chi2_similarity(spark, sf):
+    return rounded(S.chi2(cells(spark, sf)))
+
+
+@query(f"WITH {CELLS}, x AS (SELECT did, cid, 0 AS k, final AS v FROM c WHERE coalesce(final, '') <> ''), {_chi2_sql(1)} SELECT a, b, round(value, 6) AS value FROM chi")
+def chi2_single_feature(spark, sf):
+    return rounded(S.chi2(cells(spark, sf), elements=["final"]))
+
+
+@query(f"""WITH {CELLS}, {_CROSS}, {_RAW},
+o AS (SELECT a.did AS a, b.did AS b, a.k, b.k AS q, a.v AS va, b.v AS vb, count(*) AS o FROM x a JOIN y b ON a.cid = b.cid GROUP BY ALL),
+r2 AS (SELECT a, b, k, q, va, sum(o) AS n, sum(o * ln(o)) AS e FROM o GROUP BY ALL), h AS (SELECT a, b, k, q, sum(n * ln(n) - e) / sum(n) AS h FROM r2 GROUP BY ALL),
+m AS (SELECT a, b, q, min(h) AS h FROM h GROUP BY ALL), s AS (SELECT a, b, CASE WHEN count(*) = 3 THEN sum(h) END AS value FROM m GROUP BY a, b)
+SELECT a.did AS a, b.did AS b, round(value, 6) + 0.0 AS value FROM (SELECT DISTINCT did FROM x) a CROSS JOIN (SELECT DISTINCT did FROM y) b LEFT JOIN s ON s.a = a.did AND s.b = b.did""")
+def entropy_similarity(spark, sf):
+    return S.entropy(cells(spark, sf)).select("a", "b", (F.round("value", 6) + 0.0).alias("value"))
+
+
+_DIAG = "d AS (SELECT a, value AS v FROM chi WHERE a = b)"
+
+
+@query(f"WITH {CELLS}, {_CROSS}, {_chi2_sql()}, {_DIAG} SELECT x.a, x.b, round(greatest(-1, least(1, (x.value + y.value) / 2 / (sqrt(da.v) * sqrt(db.v)))), 6) AS value FROM chi x JOIN chi y ON y.a = x.b AND y.b = x.a JOIN d da ON da.a = x.a JOIN d db ON db.a = x.b")
+def normalized_similarity(spark, sf):
+    return rounded(S.normalize_sim(S.chi2(cells(spark, sf))))
+
+
+@query(f"WITH {CELLS}, {_CROSS}, {_chi2_sql()}, {_DIAG} SELECT x.a, x.b, round(sqrt(greatest(0, round(da.v + db.v - 2 * x.value, 9))), 5) + 0.0 AS value FROM chi x JOIN d da ON da.a = x.a JOIN d db ON db.a = x.b")
+def similarity_to_distance(spark, sf):
+    chi = S.chi2(cells(spark, sf))
+    return S.sim2dist(chi).select("a", "b", (F.round(F.when(F.col("value") < 1e-4, 0.0).otherwise(F.col("value")), 5) + 0.0).alias("value"))
+
+
+@query(f"WITH {CELLS}, {_CROSS}, {_chi2_sql()}, t AS (SELECT b, max(value) AS v FROM chi GROUP BY b) SELECT x.a, x.b, round(1 - value / (sqrt(ta.v) * sqrt(tb.v)), 6) + 0.0 AS value FROM chi x JOIN t ta ON ta.b = x.a JOIN t tb ON tb.b = x.b")
+def distance_to_similarity(spark, sf):
+    return S.dist2sim(S.chi2(cells(spark, sf))).select("a", "b", (F.round("value", 6) + 0.0).alias("value"))
+
+
+# rules
+
+_RULES = "ru AS (SELECT p_size AS rule_id, 'final' AS element, list(CAST(p_partkey AS VARCHAR)) FILTER (p_partkey % 2 = 0) AS cid1, list(CAST(p_partkey AS VARCHAR)) FILTER (p_partkey % 2 = 1) AS cid2 FROM part GROUP BY p_size)"
+
+
+def rules(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_size").alias("rule_id"), F.col("p_partkey").cast("string").alias("cid"), (F.col("p_partkey") % 2 == 0).alias("even"))
+    return p.groupBy("rule_id").agg(F.lit("final").alias("element"), F.collect_list(F.when(F.col("even"), F.col("cid"))).alias("cid1"), F.collect_list(F.when(~F.col("even"), F.col("cid"))).alias("cid2"))
+
+
+def _compliance_sql(size: str) -> str:
+    return f"""WITH {READ}, {_RULES}, jc AS (SELECT did, cid, string_agg(final, ' ' ORDER BY seq, final) AS final FROM r GROUP BY did, cid),
+t AS (SELECT did, cid, unnest(string_split(final, ' ')) AS token FROM jc), sd AS (SELECT rule_id, 1 AS side, unnest(cid1) AS cid FROM ru UNION ALL SELECT rule_id, 2, unnest(cid2) FROM ru),
+k AS (SELECT did, rule_id, token, CAST(count(*) FILTER (side = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (side = 2) AS DOUBLE) AS n2 FROM t JOIN sd USING (cid) WHERE token <> '' GROUP BY ALL),
+v AS (SELECT did, rule_id, coalesce(sum(n1 * n2) / nullif({size}, 0), 0) AS value FROM k GROUP BY ALL)
+SELECT d.did, ru.rule_id, round(coalesce(value, 0), 6) AS value FROM (SELECT DISTINCT did FROM r) d CROSS JOIN ru LEFT JOIN v ON v.did = d.did AND v.rule_id = ru.rule_id"""
+
+
+def _compliance(spark, sf, norm):
+    c = C.transform(readings(spark, sf), "did", "cid", C.ELEMENTS, "join")
+    return RU.compliance(c, rules(spark, sf), norm).select("did", "rule_id", F.round("value", 6).alias("value"))
+
+
+@query(_compliance_sql("(sqrt(sum(n1 * n1)) * sqrt(sum(n2 * n2)))"))
+def rule_compliance_l2(spark, sf):
+    return _compliance(spark, sf, "l2")
+
+
+@query(_compliance_sql("(sum(n1) * sum(n2))"))
+def rule_compliance_l1(spark, sf):
+    return _compliance(spark, sf, "l1")
+
+
+@query(_compliance_sql("1"))
+def rule_compliance_raw(spark, sf):
+    return _compliance(spark, sf, None)
+
+
+@query(f"WITH {_RULES} SELECT rule_id, element || ':' || array_to_string(list_sort(cid1), ',') || '=' || array_to_string(list_sort(cid2), ',') AS name FROM ru")
+def rule_names(spark, sf):
+    r = rules(spark, sf)
+    return RU.named_rules(r.withColumns({c: F.array_sort(c) for c in ("cid1", "cid2")})).select("rule_id", "name")
