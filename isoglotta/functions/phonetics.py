@@ -185,22 +185,24 @@ def clean_tone_category(x: Column) -> Column:
     return keep_only(first_alternative(x), TONE_CATEGORY)
 
 
-def _lookup(table: dict[str, str], c: Column) -> Column:
-    m = F.create_map(*(F.lit(v) for kv in table.items() for v in kv))
-    return F.try_element_at(m, c)
+def _at(chars: str, values: list[str], c: Column) -> Column:
+    """The value at a character's place in ``chars``; null for others. One search in a constant, no map."""
+    return F.get(F.array(*map(F.lit, values)), F.nullif(F.instr(F.lit(chars), c), F.lit(0)) - 1)
 
 
 def char_features(x: Column) -> Column:
     """Per character: char, type and manner of it and its two neighbours, BOS and EOS beyond the ends."""
-    chars = F.filter(F.split(x, ""), lambda c: c != "")
 
-    def at(i: Column, p: int, tag: str) -> list[Column]:
+    def at(chars: Column, i: Column, p: int, tag: str) -> list[Column]:
         k, n = i + p, F.size(chars)
         c = F.when(k < 0, F.lit("BOS")).when(k >= n, F.lit("EOS")).otherwise(F.get(chars, k))
         real = (k >= 0) & (k < n)
-        return [c.alias(f"{tag}_char"), F.when(real, F.coalesce(_lookup(TYPE_OF, c), F.lit("other"))).alias(f"{tag}_type"), F.when(real, _lookup(MANNER_OF, c)).alias(f"{tag}_manner")]
+        kind = F.when(real, F.coalesce(_at("".join(TYPE_OF), list(TYPE_OF.values()), c), F.lit("other")))
+        return [c.alias(f"{tag}_char"), kind.alias(f"{tag}_type"), F.when(real, _at("".join(MANNER_OF), list(MANNER_OF.values()), c)).alias(f"{tag}_manner")]
 
-    return F.transform(chars, lambda c, i: F.struct(i.alias("pos"), *at(i, -1, "before"), *at(i, 0, "own"), *at(i, 1, "after")))
+    each = lambda chars: F.transform(chars, lambda c, i: F.struct(i.alias("pos"), *at(chars, i, -1, "before"), *at(chars, i, 0, "own"), *at(chars, i, 1, "after")))
+    # the split is bound once: as a plain expression it would be made again for every character
+    return F.get(F.transform(F.array(F.filter(F.split(x, ""), lambda c: c != "")), each), F.lit(0))
 
 
 def segment_tags(chars: Column, tags: Column) -> Column:
