@@ -102,8 +102,9 @@ class _Open:
         return n
 
 
-def plan(histogram: dict[int, int], capacity: int, unit: int = 32) -> list[tuple[int, tuple[int, ...]]]:
+def plan(histogram: dict[int, int], capacity: int, unit: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
     """(number of sequences, lengths in each) that hold every length as often as it occurs."""
+    unit = unit or max(1, capacity // 128)
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         if not 1 <= length <= capacity:
@@ -143,7 +144,7 @@ def plan(histogram: dict[int, int], capacity: int, unit: int = 32) -> list[tuple
                         take = []
                         break
                     take.append(int(at[-1]))
-                if not take:
+                if not take or capacity - sum(take) > 2 * unit:  # the classes have run dry: what is left is residual
                     break
                 n = repeat
                 for t in set(take):
