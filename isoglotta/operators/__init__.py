@@ -1 +1 @@
-"""See the package README."""
+"""Operators on readings, cells and localities."""

@@ -1 +1 @@
-"""See the package README."""
+"""Query catalogue."""

@@ -1 +1 @@
-"""See the package README."""
+"""Datasets, raw layouts and sinks."""
