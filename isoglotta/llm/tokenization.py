@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
+from array import array
 
 import numpy as np
 import regex
 
 #: White space as Unicode and the tokenizers see it.
-_ODD = regex.compile(r"[\x1c-\x1f]|[^\S ] | [^\S ]|  |^ | $")
+_ODD = regex.compile(r"[\x00\x1c-\x1f]|\s\s|^\s|\s$")
 _SPLIT_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPLIT_BYTE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -30,7 +32,7 @@ def _byte_letters() -> list[str]:
 class CachedTokenizer:
     """``ids(text)``: the ids as bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -39,47 +41,58 @@ class CachedTokenizer:
         self.letters = {b: letters[b] for b in range(256)}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         normalizer, pre = type(self.tok.normalizer).__name__, type(self.tok.pre_tokenizer).__name__
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            normalizer = "other"
         self.kind = {("Sequence", "Sequence"): "word", ("NoneType", "ByteLevel"): "byte"}.get((normalizer, pre), "")
         if self.kind and not self._agrees():
             self.kind = ""
 
     def _agrees(self) -> bool:
         """Does the short way match the library on a sample of spellings? Otherwise it isn't used."""
-        sample = "Ab'll c3po, élan-Ñu. x\ny² \"don't\" ÀÉ/ß 12ab? ...and\n\nµ 'S #1"
+        sample = "Ab'll c3po, élan-Ñu. x\ny² \"don't\" ÀÉ/ß 12ab? ...and\nµ 'S #1"
         return self.ids(sample) == self.whole(sample)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def piece(self, p: str) -> bytes:
-        """Ids of one piece; Latin-1 pieces go to the model straight, after the vocabulary's own split."""
-        try:
-            p.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.whole(p)
+        """Ids of one piece; Latin-1 pieces take the vocabulary's own split, and their parts share the cache."""
+        if not p.isascii():
+            try:
+                p.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.whole(p)
         if self.kind == "word":
             low = p.lower()
             if len(low) != len(p) or not p.isprintable():
                 return self.whole(p)
-            parts = [low] if low.isalpha() else _SPLIT_WORD.findall(low)
         else:
-            parts = [p] if p[1:].isalpha() and p[0] == " " or p.isalpha() else _SPLIT_BYTE.findall(p)
-        out: list[int] = []
-        for x in parts:
-            s = x if x.isascii() and x[0] != " " and x.isprintable() else x.encode().decode("latin-1").translate(self.letters)
-            out += [t.id for t in self.model.tokenize(s)]
-        return np.array(out, dtype="<u4").tobytes()
+            low = p
+        body = low[1:] if low[0] == " " else low
+        if body.isalpha():
+            parts = [low]
+        elif body[:-1].isalpha() and body[-1] in ".,;:!?":
+            parts = [low[:-1], low[-1]]
+        else:
+            parts = (_SPLIT_WORD if self.kind == "word" else _SPLIT_BYTE).findall(low)
+        if parts == [p]:
+            return self._model(p)
+        return b"".join([self.new.get(x) or self.old.get(x) or self._keep(x, self._model(x)) for x in parts])
 
-    def _get(self, p: str) -> bytes:
-        v = self.old.get(p)
-        if v is None:
-            v = self.piece(p)
+    def _model(self, x: str) -> bytes:
+        s = x if x.isascii() and x[0] != " " and x.isprintable() else x.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
+
+    def _keep(self, p: str, v: bytes) -> bytes:
         if len(p) < 64:
             if len(self.new) >= self.limit:
                 self.old, self.new = self.new, {}
             self.new[p] = v
         return v
 
+    def _get(self, p: str) -> bytes:
+        return self._keep(p, self.old.get(p) or self.piece(p))
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -88,16 +101,13 @@ class CachedTokenizer:
         if self.kind == "word":
             pieces = text.replace("\n", " ").split(" ")
         else:
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + p for p in rest]]
-        new, get = self.new, self._get
-        out = []
-        for p in pieces:
-            v = new.get(p)
-            if v is None:
-                v = get(p) if p else b""
-                new = self.new
-            out.append(v)
+            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        out = list(map(self.new.get, pieces))
+        for i in [i for i, v in enumerate(out) if v is None]:
+            if p := pieces[i]:
+                out[i] = self.new.get(p) or self._get(p)
+            else:
+                out[i] = b""
         return b"".join(out)
 
 
