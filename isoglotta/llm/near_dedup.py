@@ -5,12 +5,14 @@ A text's set is its distinct shingles of five words (A-Z lower-cased, words are
 class (128-bit fingerprint of the set) and only one representative goes on, so thousands of copies are one
 node. Signatures hold ``bands * rows`` minima; representatives that agree in a whole band are candidates.
 
-Candidates are compared in two rounds, and no bucket is ever expanded into all its pairs:
+Candidates are compared in rounds, and no bucket is ever expanded into all its pairs:
 
-1. In each bucket every member is paired with the smallest id there (one pair a member).
-2. Members of a bucket that are still in different components are compared, in blocks of at most about
-   ``block`` x ``block`` members a task, whole signatures side by side with numpy; pairs within a component
-   can't change the result and are skipped. So every candidate pair that could matter is looked at.
+1. In each bucket every member is paired with the most central one (one pair a member): that whose
+   buckets are largest. What many copies derive from is central, and joins them at once.
+2. Members of a bucket that are still in different components are compared, in blocks of about ``block`` x
+   ``block`` members a task that hold signatures and sets, so no pair leaves a task but a verified link, at most
+   one for each join of two components there. Pairs within a component can't change the result and are skipped,
+   and a pair that shares several buckets is compared in its first. So every candidate pair that could matter is looked at.
 
 A comparison takes signature batches one after another and stops when the posterior probability that the
 similarity reaches the threshold (uniform prior; a binomial tail) falls below ``miss``. Survivors are
@@ -130,6 +132,39 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, K)
 
 
+def block_links(key, ids, comp, chunk, sig, sets, percent, bounds):
+    """Verified links (a, b) between components in one block (bucket, chunk i, chunk j): at most one for each two components joined."""
+    bucket, left, right = key
+    sizes, names = np.array([len(x) for x in sets]), sorted(set(comp.tolist()))
+    keys = np.stack([band_keys(g) for g in sig])
+    number = {c: i for i, c in enumerate(names)}
+    own, top = np.array([number[c] for c in comp.tolist()]), np.arange(len(names))
+    shingles, where = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(where.reshape(-1), np.cumsum(sizes)[:-1])
+    mark, out = np.zeros(len(shingles), dtype=np.int64), []
+    others = np.flatnonzero(chunk == right)
+    for x in np.flatnonzero(chunk == left).tolist():
+        y = others[others > x] if left == right else others
+        y = y[(top[own[y]] != top[own[x]]) & sizes_fit(sizes[y], sizes[x], percent)]
+        if len(y):
+            first = (sig[y] == sig[x]).reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            y = y[keys[x][first] == bucket]
+        if len(y):
+            y = y[survivors(np.broadcast_to(sig[x], (len(y), K)), sig[y], bounds)]
+        if not len(y):
+            continue
+        mark[parts[x]] = 1
+        same = np.add.reduceat(mark[np.concatenate([parts[k] for k in y])], np.cumsum(sizes[y]) - sizes[y])
+        mark[parts[x]] = 0
+        for k in y[100 * same >= percent * (sizes[x] + sizes[y] - same)].tolist():
+            p, q = top[own[x]], top[own[k]]
+            if p != q:
+                top[top == q] = p
+                out.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+    a = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return a[:, 0], a[:, 1]
+
+
 def components(edges: DataFrame, store: Scratch) -> DataFrame:
     """id and comp (smallest id reachable) of every id with an edge. Columns of ``edges``: a, b."""
     both = store.table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -148,7 +183,7 @@ def components(edges: DataFrame, store: Scratch) -> DataFrame:
             return label
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, miss: float = 1e-5, block: int = 1024) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, miss: float = 1e-5, block: int = 256) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
     store = Scratch(docs.sparkSession)
     bounds = limits(percent / 100, miss)
@@ -157,8 +192,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = store.table(named.mapInArrow(lambda b: _signed(b, False), f"id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>"))
     classes = store.table(signed.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")))
     banded = classes.select("id", F.explode("bands").alias("bucket"))
-    buckets = store.table(banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1"))
-    held = store.table(banded.join(buckets, "bucket"))
+    buckets = store.table(banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
+    shared = store.table(banded.join(buckets, "bucket"))
+    # how central a member is: the sizes of its buckets; what most copies derive from shares most
+    held = store.table(shared.join(shared.groupBy("id").agg(F.sum("m").alias("s")), "id").select("bucket", "id", "m", "s"))
+    store.release(shared)
     ids = held.select("id").distinct()
     members = store.table(named.join(ids.hint("shuffle_hash"), "id").mapInArrow(lambda b: _signed(b, True), f"id {kind}, n bigint, sig binary, items binary"))
 
@@ -189,37 +227,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return pairs.join(a, "a").join(b, "b").mapInArrow(prune, f"a {kind}, b {kind}")
 
-    # round 1: every member against its bucket's leader
-    stars = held.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = store.table(exact(store.table(compare(stars))))
+    central = F.min_by("id", F.struct(-F.col("s"), F.col("id"))).alias("leader")
+
+    def star(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+        d = rows.join(leaders, "bucket").where("id <> leader")
+        return d.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+
+    # round 1: every member against its bucket's most central one
+    led = store.table(held.groupBy("bucket").agg(central))
+    links = store.table(exact(store.table(compare(star(held, led)))))
     label = components(links, store)
 
-    # round 2: members of a bucket, besides the leader, that are in different components
-    rest = held.where("m > 2 AND id <> leader").join(label, "id", "left").select("bucket", "id", "m", F.coalesce("comp", "id").alias("comp"))
-    rest = store.table(rest)
+    # round 2: members of a bucket, besides its leader, that are in different components
+    rest = held.where("m > 2").join(led.withColumnRenamed("leader", "id"), ["bucket", "id"], "left_anti").join(label, "id", "left")
+    rest = store.table(rest.select("bucket", "id", "m", F.coalesce("comp", "id").alias("comp")))
     open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
     chunks = F.ceil(F.col("m") / block).cast("int")
     dealt = rest.join(open_, "bucket").select("bucket", "id", "comp", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o"))
-    placed = dealt.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "comp").join(members.select("id", "n", "sig"), "id")
+    placed = dealt.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "comp").join(members, "id")
     ordered = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def across(batches):
-        held_rows: list = []
-        key = None
+        held_rows, key = [], None
 
-        def pairs():
+        def group():
             t = pa.Table.from_batches(held_rows)
-            sig, n, ids_, comp, c = _matrix(t.column("sig")), t.column("n").to_numpy(), t.column("id").to_numpy(), t.column("comp").to_numpy(), t.column("c").to_numpy()
-            left = np.flatnonzero(c == key[1])
-            right = np.flatnonzero(c == key[2])
-            out = []
-            for x in left:
-                y = right[right > x] if key[1] == key[2] else right
-                y = y[(comp[y] != comp[x]) & sizes_fit(n[y], n[x], percent)]
-                if len(y):
-                    y = y[survivors(np.broadcast_to(sig[x], (len(y), K)), sig[y], bounds)]
-                    out.append((np.minimum(ids_[y], ids_[x]), np.maximum(ids_[y], ids_[x])))
-            a, b = (np.concatenate([o[k] for o in out]) if out else np.empty(0, dtype=np.int64) for k in (0, 1))
+            a, b = block_links(key, t.column("id").to_numpy(), t.column("comp").to_numpy(), t.column("c").to_numpy(), _matrix(t.column("sig")), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("items")], percent, bounds)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for t in batches:
@@ -230,15 +263,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     continue
                 now = tuple(k[s].tolist())
                 if key is not None and now != key:
-                    yield pairs()
+                    yield group()
                     held_rows = []
                 key = now
                 held_rows.append(t.slice(s, e - s))
         if held_rows:
-            yield pairs()
+            yield group()
 
-    more = store.table(ordered.select("bucket", "i", "j", "c", F.col("id").cast("long").alias("id"), F.col("comp").cast("long").alias("comp"), "n", "sig").mapInArrow(across, "a bigint, b bigint").distinct())
-    found = store.table(exact(more))
+    wanted = ordered.select("bucket", "i", "j", "c", F.col("id").cast("long").alias("id"), F.col("comp").cast("long").alias("comp"), "sig", "items")
+    found = store.table(wanted.mapInArrow(across, "a bigint, b bigint").distinct())
     if not found.isEmpty():
         label = components(links.unionByName(found), store)
 
