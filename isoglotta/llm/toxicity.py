@@ -188,7 +188,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
