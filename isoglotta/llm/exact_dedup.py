@@ -59,7 +59,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id, keep_id, group_size, kept, text_sha256."""
     store = Scratch(docs.sparkSession)
     own = store.table(recipes(docs, store, id_col, text_col, hash_of))
-    groups = own.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    # written, so that the join reads two plain exchanges and adaptive execution can split a hot recipe
+    groups = store.table(own.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
     joined = own.join(groups, "recipe", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return store.bind(joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), "text_sha256"))
