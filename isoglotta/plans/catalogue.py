@@ -358,7 +358,7 @@ def distance_to_similarity(spark, sf):
 
 # rules
 
-_RULES = "ru AS (SELECT p_size AS rule_id, 'final' AS element, list(CAST(p_partkey AS VARCHAR)) FILTER (p_partkey % 2 = 0) AS cid1, list(CAST(p_partkey AS VARCHAR)) FILTER (p_partkey % 2 = 1) AS cid2 FROM part GROUP BY p_size)"
+_RULES = "ru AS (SELECT p_size AS rule_id, 'final' AS element, coalesce(list(CAST(p_partkey AS VARCHAR)) FILTER (p_partkey % 2 = 0), CAST([] AS VARCHAR[])) AS cid1, coalesce(list(CAST(p_partkey AS VARCHAR)) FILTER (p_partkey % 2 = 1), CAST([] AS VARCHAR[])) AS cid2 FROM part GROUP BY p_size)"
 
 
 def rules(spark, sf):
