@@ -32,12 +32,16 @@ def one_hot(f: pd.DataFrame) -> tuple[np.ndarray, list[tuple[str, str]], list[sl
 
 def _entropy(y: np.ndarray, blocks: list[slice]) -> float:
     """Mean over outputs of the entropy (bits) of their classes; a missing value is a class of its own."""
-    total, n = 0.0, len(y)
+    return float(_entropies(y.sum(axis=0)[None, :], np.array([len(y)]), blocks)[0])
+
+
+def _entropies(counts: np.ndarray, n: np.ndarray, blocks: list[slice]) -> np.ndarray:
+    """The same of groups of rows, from their class counts and sizes."""
+    total = np.zeros(len(counts))
     for b in blocks:
-        p = y[:, b].sum(axis=0) / n
-        p = np.append(p, max(0.0, 1 - p.sum()))
-        p = p[p > 1e-12]
-        total -= (p * np.log2(p)).sum()
+        p = counts[:, b] / n[:, None]
+        p = np.concatenate([p, np.maximum(0.0, 1 - p.sum(axis=1, keepdims=True))], axis=1)
+        total -= np.where(p > 1e-12, p * np.log2(np.maximum(p, 1e-12)), 0.0).sum(axis=1)
     return total / max(1, len(blocks))
 
 
@@ -49,11 +53,16 @@ def grow(x: np.ndarray, y: np.ndarray, blocks: list[slice], min_leaf: int = 3, m
         nonlocal count
         best, h = None, _entropy(y[rows], blocks)
         if len(rows) >= 2 * min_leaf and h > 0:
-            for j in np.flatnonzero((x[rows].sum(axis=0) >= min_leaf) & ((1 - x[rows]).sum(axis=0) >= min_leaf)):
-                on = x[rows, j] > 0
-                gain = len(rows) / n * (h - (on.sum() * _entropy(y[rows[on]], blocks) + (~on).sum() * _entropy(y[rows[~on]], blocks)) / len(rows))
+            size = x[rows].sum(axis=0)
+            able = np.flatnonzero((size >= min_leaf) & (len(rows) - size >= min_leaf))
+            # class counts of both sides of all splits, from one product
+            inside = x[rows][:, able].T @ y[rows]
+            outside = y[rows].sum(axis=0) - inside
+            on_n, off_n = size[able], len(rows) - size[able]
+            gains = len(rows) / n * (h - (on_n * _entropies(inside, on_n, blocks) + off_n * _entropies(outside, off_n, blocks)) / len(rows))
+            for j, gain in zip(able, gains):
                 if best is None or gain > best[0] + 1e-12:
-                    best = (gain, on)
+                    best = (gain, x[rows, j] > 0)
         if best is None or best[0] < min_decrease:
             leaf[rows] = count
             count += 1

@@ -648,7 +648,7 @@ _SMALL = f"{CELLS}, m AS (SELECT cid, unnest(['0_f', '1_f', '2_t', '3_t']) AS co
 
 
 def small_cells(spark, sf):
-    """Cells of parts of one size: a table of characters that all-pairs distances are meant for."""
+    """Cells of parts of one size and four columns: the table of the two queries that have SQL (``all_cells`` is the whole)."""
     c, pick = cells(spark, sf), lambda e, d: F.max(F.when(F.col("did") == d, F.col(e)))
     ids = table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").cast("string").alias("cid"))
     pairs = F.explode(F.array(*(F.struct(F.lit(f"{d}_{e[0]}").alias("col"), F.col(f"{d}_{e}").alias("value")) for d, e in (("0", "final"), ("1", "final"), ("2", "tone"), ("3", "tone")))))
@@ -656,6 +656,11 @@ def small_cells(spark, sf):
     return w.select("cid", pairs.alias("x")).select("cid", "x.col", "x.value")
 
 
+def all_cells(spark, sf):
+    """Filled cells of all parts and localities, a column for each locality and element."""
+    return C.melt(cells(spark, sf)).select("cid", F.concat_ws("/", "did", "element").alias("col"), "value")
+
+
 _DIST = """t AS (SELECT cid, col, unnest(tk) AS token, 1 / sqrt(len(tk)) AS w FROM (SELECT cid, col, list_distinct(list_filter(string_split_regex(coalesce(value, ''), '\\s+'), lambda x: x <> '')) AS tk FROM s) WHERE len(tk) > 0),
 nn AS (SELECT cid, sqrt(count(DISTINCT col)) AS n FROM t GROUP BY cid), dot AS (SELECT a.cid AS a, b.cid AS b, sum(a.w * b.w) AS dot FROM t a JOIN t b USING (col, token) GROUP BY ALL),
 i AS (SELECT DISTINCT cid FROM s), dist AS (SELECT a.cid AS a, b.cid AS b, CASE WHEN a.cid = b.cid THEN 0.0 ELSE greatest(0, least(2, 1 - coalesce(dot / na.n / nb.n, 0))) END AS distance
@@ -675,6 +680,16 @@ def impute_cells(spark, sf):
     return I.impute(small_cells(spark, sf)).select("cid", "col", "value", "imputed")
 
 
+@query()
+def character_distances_all(spark, sf):
+    return I.character_distances(all_cells(spark, sf)).select("a", "b", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@query()
+def impute_cells_all(spark, sf):
+    return I.impute(all_cells(spark, sf)).select("cid", "col", "value", "imputed")
+
+
 @query("""WITH e AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS lat, CAST(embedding[2] AS DOUBLE) AS lon, label FROM embeddings),
 d AS (SELECT q.id, r.label, row_number() OVER (PARTITION BY q.id ORDER BY round((q.lat - r.lat) ** 2 + (q.lon - r.lon) ** 2, 9), r.id) AS k FROM e q CROSS JOIN e r WHERE q.id % 50 = 0 AND r.id % 50 <> 0),
 v AS (SELECT id, label, count(*) AS n FROM d WHERE k <= 5 GROUP BY ALL) SELECT id, label FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1""")
@@ -778,4 +793,4 @@ def heatmap_order(spark, sf):
 
 @query()
 def recon_tree(spark, sf):
-    return X.reconstruct(small_cells(spark, sf))
+    return X.reconstruct(all_cells(spark, sf))

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -13,8 +15,11 @@ from isoglotta.operators import models as M
 from isoglotta.operators import recon as X
 from isoglotta.operators import rules as RU
 from isoglotta.operators import similarity as S
+from isoglotta.plans import catalogue as Q
 from isoglotta.sources import datasets as D
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def readings(spark):
@@ -98,6 +103,51 @@ def test_impute_fills_every_cell_with_a_known_token(readings):
     assert out.where("imputed").join(c.select("col", "value").distinct(), ["col", "value"], "left_anti").count() == 0
 
 
+@pytest.mark.parametrize("block", [2000, 7])
+def test_imputation_and_distances_are_brute_force(spark, block):
+    rng = np.random.default_rng(3)
+    rows = [(f"c{c:02d}", f"d{d}/x", " ".join(rng.choice(list("pqrs"), 1 + (c + d) % 2))) for c in range(30) for d in range(5) if rng.random() < 0.6 and (c, d) != (4, 0)]
+    rows += [("c04", "d0/x", "p"), ("z0", "d1/x", None), ("z1", "d4/x", "t")]
+    cells = spark.createDataFrame(rows, "cid string, col string, value string")
+    vec = {}
+    for c, col, v in rows:
+        own = sorted(set((v or "").split()))
+        vec.setdefault(c, {}).update({(col, t): 1 / np.sqrt(len(own)) for t in own})
+    value = {(c, col): v for c, col, v in rows if v}
+
+    def dist(a, b):
+        n = [np.sqrt(len({k[0] for k in vec[i]}) or 1) for i in (a, b)]
+        return 0.0 if a == b else 1 - sum(w * vec[b].get(k, 0) for k, w in vec[a].items()) / n[0] / n[1]
+
+    got = {(r["a"], r["b"]): r["distance"] for r in I.character_distances(cells, block=block).collect()}
+    assert got.keys() == {(a, b) for a in vec for b in vec} and all(d == pytest.approx(dist(*k), abs=1e-9) for k, d in got.items())
+    want = {}
+    for c in vec:
+        for col in {col for _, col, _ in rows}:
+            if (c, col) in value:
+                want[c, col] = (value[c, col], False)
+                continue
+            near = sorted((round(dist(c, b), 6), b) for b, k in value if k == col)[:3]
+            score: dict = {}
+            for d, b in near:
+                for t in set(value[b, col].split()):
+                    score[t] = score.get(t, 0) + 1 / (d + 1e-4)
+            want[c, col] = (min(score, key=lambda t: (-round(score[t], 6), t)), True)
+    assert {(r["cid"], r["col"]): (r["value"], r["imputed"]) for r in I.impute(cells, block=block).collect()} == want
+
+
+def test_whole_table_queries_cover_all_parts_and_localities(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables here")
+    parts, dids = {str(r["p_partkey"]) for r in spark.read.parquet(f"{SF}/part.parquet").collect()}, {str(k) for k in range(25)}
+    r = Q.readings(spark, SF).select("did", "cid").distinct().toPandas()
+    got = Q.QUERIES["impute_cells_all"](spark, SF).toPandas()
+    assert set(r.cid) == set(got.cid) <= parts and set(r.did) == {c.split("/")[0] for c in got["col"]} <= dids
+    assert len(got) == r.cid.nunique() * r.did.nunique() * 3 and not got.duplicated(["cid", "col"]).any()
+    assert set(Q.QUERIES["recon_tree"](spark, SF).toPandas().cid) == set(r.cid)
+    assert Q.QUERIES["character_distances_all"](spark, SF).count() == r.cid.nunique() ** 2
+
+
 def test_make_dict_and_codes(spark):
     d = spark.createDataFrame([("b",), ("b",), ("a",), ("",), (None,), ("c",), ("c",), ("c",)], "v string")
     assert [tuple(r) for r in E.make_dict(d, "v", 2, sort="frequency").orderBy("code").collect()] == [("c", 3, 0), ("b", 2, 1)]
