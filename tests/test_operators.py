@@ -148,6 +148,17 @@ def test_whole_table_queries_cover_all_parts_and_localities(spark):
     assert Q.QUERIES["character_distances_all"](spark, SF).count() == r.cid.nunique() ** 2
 
 
+def test_alignment_covers_all_parts_and_localities(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables here")
+    r = Q.readings(spark, SF).select("did", "cid").distinct().toPandas()
+    got = Q.QUERIES["align_datasets"](spark, SF).toPandas()
+    want = {(1 + int(d) % 2, c) for d, c in zip(r.did, r.cid)}
+    assert set(zip(got.ds, got.cid)) == want and len(got) == len(want)
+    cells, _ = Q._halves(spark, SF)
+    assert {x["col"].split("/")[0] for c in cells for x in c.select("col").distinct().collect()} == set(r.did)
+
+
 def test_make_dict_and_codes(spark):
     d = spark.createDataFrame([("b",), ("b",), ("a",), ("",), (None,), ("c",), ("c",), ("c",)], "v string")
     assert [tuple(r) for r in E.make_dict(d, "v", 2, sort="frequency").orderBy("code").collect()] == [("c", 3, 0), ("b", 2, 1)]
