@@ -9,12 +9,14 @@ passages, so repetition doesn't make their text boilerplate.
 
 Where a page has no such mark, the host decides. Token streams of a host's pages are concatenated (with a
 separator no other page has), and a suffix array, built by prefix doubling to runs of ``run`` tokens, gives
-the classes of equal runs. A run is boilerplate if pages of at least ``min_pages`` distinct pages, and at
-least ``min_share`` of those in the shard, hold it; blocks mostly covered by such runs go, unique runs stay.
+the classes of equal runs. A run is boilerplate if at least ``min_pages`` distinct pages of the host hold it, marked
+pages too; its tokens go wherever they stand on unmarked pages, and the rest of a block stays.
 
-Hosts with many pages are dealt into shards of about ``shard_pages`` pages by a hash of the page, so a
-hot host is many tasks of bounded size; site-wide boilerplate shows in every shard. Only text without markup
-crosses the network. Page counts of large hosts are broadcast up to ``broadcast_hosts`` of them, else joined.
+Hosts with many pages are dealt into shards of about ``shard_pages`` pages by a hash of the page's id, so a hot host is
+many tasks of bounded size. If such a host has an unmarked page, each shard sends the fingerprint (128 bits) and page
+count of each of its runs, the counts are added over the host, and the runs that reach ``min_pages`` return to the
+shards that hold them: shards don't change the verdict. Only text without markup and these counts cross the network.
+Page counts of large hosts are broadcast up to ``broadcast_hosts`` of them, else joined.
 
 Null or empty html, and pages without text, give an empty text; a null or odd url is the host "".
 Repeated rows are pages each (copies of one page id don't count as distinct pages). Other columns are ignored.
@@ -22,6 +24,7 @@ Repeated rows are pages each (copies of one page id don't count as distinct page
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -157,62 +160,110 @@ def run_classes(tokens: np.ndarray, run: int) -> np.ndarray:
     return rank
 
 
-def host_boilerplate(pages: list[tuple[object, list[str]]], run: int = 8, min_pages: int = 4, min_share: float = 0.2, cover: float = 0.5) -> list[list[bool]]:
-    """Per page and block: is the block boilerplate? Pages: (page id, blocks' texts)."""
-    words: dict[str, int] = {}
-    ids, page_of, spans = [], [], []
-    number: dict[object, int] = {}
-    for name, blocks in pages:
-        p, own = number.setdefault(name, len(number)), []
-        for b in blocks:
-            w = [words.setdefault(x, len(words)) for x in b.split(" ")]
-            own.append((len(ids), len(ids) + len(w)))
-            ids += w
-            page_of += [p] * len(w)
-        spans.append(own)
-        ids.append(-1 - len(spans))  # a separator that occurs once
-        page_of.append(p)
-    if not ids or len(number) < min_pages:
-        return [[False] * len(b) for _, b in pages]
-    tokens, owner = np.array(ids, dtype=np.int64), np.array(page_of, dtype=np.int64)
-    classes = run_classes(tokens, run)
-    pairs = np.unique(classes * (len(number) + 1) + owner)
-    holders = np.bincount(pairs // (len(number) + 1), minlength=int(classes.max()) + 1)
-    repeated = holders[classes] >= max(min_pages, min_share * len(number))
-    marks = np.zeros(len(tokens) + run + 1, dtype=np.int64)
-    places = np.flatnonzero(repeated)
-    np.add.at(marks, places, 1)
-    np.add.at(marks, places + run, -1)
-    covered = np.concatenate([[0], np.cumsum((np.cumsum(marks)[: len(tokens)] > 0) & (tokens >= 0))])
-    return [[covered[e] - covered[s] >= max(1, cover * (e - s)) for s, e in own] for own in spans]
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_pages: int = 256, broadcast_hosts: int = 10_000, **tuning) -> DataFrame:
+class Host:
+    """Pages (page id, blocks' texts) of a host or a shard, and their runs of ``run`` tokens."""
+
+    def __init__(self, pages: list[tuple[object, list[str]]], run: int = 8):
+        words: dict[str, int] = {}
+        ids, page_of, self.spans = [], [], []
+        number: dict[object, int] = {}
+        for name, blocks in pages:
+            p, own = number.setdefault(name, len(number)), []
+            for b in blocks:
+                w = [words.setdefault(x, len(words)) for x in b.split(" ")]
+                own.append((len(ids), len(ids) + len(w)))
+                ids += w
+                page_of += [p] * len(w)
+            self.spans.append(own)
+            ids.append(-1 - len(self.spans))  # a separator that occurs once
+            page_of.append(p)
+        self.run, self.words = run, list(words)
+        self.tokens, owner = np.array(ids, dtype=np.int64), np.array(page_of, dtype=np.int64)
+        if len(ids):
+            self.classes = run_classes(self.tokens, run)
+            pairs = np.unique(self.classes * (len(number) + 1) + owner)
+            self.holders = np.bincount(pairs // (len(number) + 1), minlength=int(self.classes.max()) + 1)
+
+    def fingerprints(self) -> tuple[np.ndarray, list[bytes]]:
+        """(class, fingerprint) of each run that lies within a page."""
+        if not len(self.tokens):
+            return np.empty(0, dtype=np.int64), []
+        breaks = np.concatenate([[0], np.cumsum(self.tokens < 0)])
+        at = np.arange(max(0, len(self.tokens) - self.run + 1))
+        at = at[breaks[at + self.run] == breaks[at]]
+        kept, first = np.unique(self.classes[at], return_index=True)
+        return kept, [hashlib.blake2b(" ".join(self.words[t] for t in self.tokens[i : i + self.run]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in at[first]]
+
+    def without(self, repeated: np.ndarray) -> list[list[str]]:
+        """Per page the blocks' texts without the tokens that runs of the classes marked in ``repeated`` cover."""
+        if not len(self.tokens):
+            return [[] for _ in self.spans]
+        marks = np.zeros(len(self.tokens) + self.run + 1, dtype=np.int64)
+        places = np.flatnonzero(repeated[self.classes])
+        np.add.at(marks, places, 1)
+        np.add.at(marks, places + self.run, -1)
+        covered = np.cumsum(marks)[: len(self.tokens)] > 0
+        texts = [[" ".join(self.words[t] for t in self.tokens[s:e][~covered[s:e]]) for s, e in own] for own in self.spans]
+        return [[t for t in own if t] for own in texts]
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_pages: int = 256, broadcast_hosts: int = 10_000, run: int = 8, min_pages: int = 2) -> DataFrame:
     """Per row: id, url, text, n_chars."""
-    kind = pages.schema[id_col].dataType.simpleString()
+    spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^:]*://([^/?#]*)", 1))
     keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     large = keyed.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > shard_pages).select("host", F.ceil(F.col("n") / shard_pages).alias("shards"))
-    found = large.limit(broadcast_hosts + 1).collect()
-    if len(found) <= broadcast_hosts:  # else a shuffled join, which adaptive execution splits at hot hosts
-        large = F.broadcast(pages.sparkSession.createDataFrame(found, large.schema))
-    dealt = keyed.join(large, "host", "left").select("id", "url", "html", F.concat_ws("\n", "host", F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1))).cast("string")).alias("shard"))
+
+    def small(hosts: DataFrame) -> tuple[DataFrame, list]:
+        found = hosts.limit(broadcast_hosts + 1).collect()
+        if len(found) <= broadcast_hosts:  # else a shuffled join, which adaptive execution splits at hot hosts
+            hosts = F.broadcast(spark.createDataFrame(found, hosts.schema))
+        return hosts, found
+
+    large, sharded = small(large)
+    # copies of an id share a shard, so that page counts of shards add up
+    dealt = keyed.join(large, "host", "left").select("id", "url", "html", "host", F.pmod(F.xxhash64("id"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"), F.col("shards").isNotNull().alias("wide"))
 
     def blocks(batches):
         for b in batches:
             found = [parse(x.as_py()) for x in b.column(2)]
             texts = pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([bool(f) and f[0][0] for f in found]), texts], names=["id", "url", "shard", "marked", "blocks"])
+            marked = pa.array([bool(f) and f[0][0] for f in found])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), marked, texts], names=["id", "url", "host", "shard", "marked", "blocks"])
 
-    parsed = dealt.mapInArrow(blocks, f"id {kind}, url string, shard string, marked boolean, blocks array<string>")
+    parse_all = lambda d: d.select("id", "url", "html", "host", "shard").mapInArrow(blocks, f"id {kind}, url string, host string, shard int, marked boolean, blocks array<string>")
+    parsed = parse_all(dealt)
 
-    def clean(table: pa.Table) -> pa.Table:
+    def clean(table: pa.Table, verdict: pa.Table | None = None) -> pa.Table:
         marked, texts = table.column("marked").to_pylist(), table.column("blocks").to_pylist()
-        drop = host_boilerplate(list(zip(table.column("id").to_pylist(), texts)), **tuning)
-        out = [" ".join(t for t, d in zip(own, bad) if keep or not d) for keep, own, bad in zip(marked, texts, drop)]
+        cut = texts
+        if not all(marked):
+            h = Host(list(zip(table.column("id").to_pylist(), texts)), run)
+            if len(h.tokens):
+                repeated = h.holders >= min_pages
+                if verdict is not None and len(verdict):
+                    known = set(verdict.column("run").to_pylist())
+                    for c, f in zip(*h.fingerprints()):
+                        repeated[c] |= f in known
+                cut = h.without(repeated)
+        out = [" ".join(own if keep else less) for keep, own, less in zip(marked, texts, cut)]
         return pa.table({id_col: table.column("id"), "url": table.column("url"), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())})
 
-    return parsed.groupBy("shard").applyInArrow(clean, f"`{id_col}` {kind}, url string, text string, n_chars bigint")
+    schema = f"`{id_col}` {kind}, url string, text string, n_chars bigint"
+    open_hosts, found = small(parse_all(dealt.where("wide")).where("NOT marked AND size(blocks) > 0").select("host").distinct()) if sharded else (None, [])
+    if not found:
+        return parsed.groupBy("host", "shard").applyInArrow(lambda table: clean(table), schema)
+
+    def count(table: pa.Table) -> pa.Table:
+        h = Host(list(zip(table.column("id").to_pylist(), table.column("blocks").to_pylist())), run)
+        classes, prints = h.fingerprints()
+        n = h.holders[classes] if len(classes) else []
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(prints), pa.string()), "shard": pa.array([table.column("shard")[0].as_py()] * len(prints), pa.int32()), "run": pa.array(prints, pa.binary()), "n": pa.array(n, pa.int64())})
+
+    counts = parse_all(dealt.where("wide").join(open_hosts, "host", "left_semi")).groupBy("host", "shard").applyInArrow(count, "host string, shard int, run binary, n bigint")
+    total = counts.groupBy("host", "run").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards"))
+    verdict = total.where(F.col("n") >= min_pages).select("host", F.explode("shards").alias("shard"), "run")
+    return parsed.groupBy("host", "shard").cogroup(verdict.groupBy("host", "shard")).applyInArrow(lambda table, runs: clean(table, runs), schema)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,6 +325,23 @@ def test_site_boilerplate_goes_where_pages_are_unmarked(spark):
     assert few.count() == len(rows) and html_extract.extract(few.select("page_id", "url", F.col("text").alias("html")).limit(0)).count() == 0
 
 
+def test_only_repeated_words_go_and_unique_ones_stay(spark):
+    line = "written by our own desk staff all views are those of the author"
+    rows = [(i, f"http://h.example/{i}", f"<div>{line} {' '.join(f'u{i}x{k}' for k in range(8))}</div><div>{prose(40)} {line}</div>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(line not in t and t.startswith(" ".join(f"u{i}x{k}" for k in range(8))) and len(t.split()) == 48 for i, t in got.items())
+
+
+@pytest.mark.parametrize("shard_pages", [1000, 8])
+def test_runs_of_few_pages_go_whatever_the_host_and_shards(spark, shard_pages):
+    line = "more of this section is in the archive of the paper"
+    rows = [(i, f"http://h.example/{i}", f"<div>{prose(20)}</div>" + f"<div>{line}</div>" * (i in (3, 31))) for i in range(40)]
+    rows += [(100 + i, f"http://two.example/{i}", f"<div>{line}</div><div>{prose(20)}</div>") for i in range(2)] + [(200, "http://one.example/", f"<div>{line}</div>")]
+    rows += rows[-1:]  # a copy of one id is not another page
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), shard_pages=shard_pages).collect()
+    assert len(got) == len(rows) and all((r["text"] == line) if r["page_id"] == 200 else (line not in r["text"] and len(r["text"].split()) == 20) for r in got)
+
+
 # 9 benchmark passages
 
 
