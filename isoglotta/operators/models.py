@@ -26,7 +26,7 @@ class Processor:
     targets: dict[str, list] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, data: DataFrame, dialects: Sequence[str], chars: Sequence[str], targets: Sequence[str], min_frequency=None, max_categories: int = 100_000) -> "Processor":
+    def build(cls, data: DataFrame, dialects: Sequence[str], chars: Sequence[str], targets: Sequence[str], min_frequency=None, max_categories: int | None = None) -> "Processor":
         def vocabulary(columns):
             return {c: [r["value"] for r in make_dict(data, c, (min_frequency or {}).get(c) if isinstance(min_frequency, dict) else min_frequency, max_categories).orderBy("code").collect()] for c in columns}
 

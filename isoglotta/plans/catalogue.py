@@ -772,8 +772,8 @@ def bilinear_predict(spark, sf):
     c = cells(spark, sf)
     p = M.Processor.build(c, ["did"], ["cid"], ["final"])
     e = p.encode(c)
-    m = M.BilinearEncoder(p.sizes(), 5, 5, 5)
-    m.fit(M.known_rows(e), epochs=2)
+    m = M.BilinearEncoder(p.sizes())
+    m.fit(M.known_rows(e))
     return m.predict(e, ["did", "cid"])
 
 

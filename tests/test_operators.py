@@ -223,6 +223,12 @@ def test_bilinear_model_learns(spark):
     assert r["accuracy"][0] > 0.9 and m.predict(e, ["did", "cid"]).count() == 32
 
 
+def test_vocabularies_have_no_cap(spark):
+    data = spark.range(100_003).select(F.lit("d").alias("did"), F.col("id").cast("string").alias("cid"), F.lit("x").alias("final"))
+    p = M.Processor.build(data, ["did"], ["cid"], ["final"])
+    assert p.sizes()["chars"] == [100_004] and M.known_rows(p.encode(data)).count() == 100_003
+
+
 def test_gradients_match_differences():
     sizes = {"dialects": [4], "chars": [5], "targets": [3, 4]}
     m = M.BilinearEncoder(sizes, 3, 4, 4, residual=True, seed=2)
