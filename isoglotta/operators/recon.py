@@ -95,6 +95,24 @@ def reconstruct(cells: DataFrame, min_leaf: int = 3, min_decrease: float = 0.002
     return cells.sparkSession.createDataFrame(pd.DataFrame({"cid": f.index, "proto": leaf.astype("int64")}), f"cid {cells.schema['cid'].dataType.simpleString()}, proto bigint")
 
 
+def reconstruct_elements(cells: DataFrame, min_leaf: int = 3, min_decrease: dict[str, float] | None = None) -> DataFrame:
+    """(cid, a leaf for each element): a tree for each element predicts that element's columns from all columns.
+
+    Columns are named '{locality}/{element}'; ``min_decrease`` has the elements and their thresholds.
+    """
+    n = cells.select("cid").distinct().limit(MAX_ROWS + 1).count()
+    if n > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS} characters")
+    f = impute_frequent(cells).toPandas().pivot(index="cid", columns="col", values="value").sort_index()
+    x, _, _ = one_hot(f)
+    out = pd.DataFrame({"cid": f.index})
+    for e, least in (min_decrease or {"initial": 0.002, "final": 0.002, "tone": 0.01}).items():
+        y, _, blocks = one_hot(f[[c for c in f.columns if c.rsplit("/", 1)[-1] == e]])
+        out[e] = grow(x, y, blocks, min_leaf, least).astype("int64")
+    kinds = "".join(f", `{e}` bigint" for e in out.columns[1:])
+    return cells.sparkSession.createDataFrame(out, f"cid {cells.schema['cid'].dataType.simpleString()}{kinds}")
+
+
 def get_syllables(readings: DataFrame, classes: DataFrame, elements: Sequence[str]) -> DataFrame:
     """Per class and element the ten most frequent values."""
     return top_values(readings.join(classes, "cid"), "proto", elements)

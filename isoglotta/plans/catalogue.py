@@ -796,4 +796,4 @@ def heatmap_order(spark, sf):
 
 @query()
 def recon_tree(spark, sf):
-    return X.reconstruct(all_cells(spark, sf))
+    return X.reconstruct_elements(all_cells(spark, sf))

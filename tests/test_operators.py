@@ -253,6 +253,13 @@ def test_recon_tree_separates_classes(spark):
     assert got.proto.nunique() == 2 and len(got) == 12
 
 
+def test_recon_grows_a_tree_for_each_element(spark):
+    value = {"initial": lambda c: "pt"[c % 2], "final": lambda c: "aiu"[c // 4], "tone": lambda c: "1"}
+    rows = [(f"c{c:02d}", f"d{d}/{e}", v(c)) for c in range(12) for d in range(3) for e, v in value.items()]
+    got = X.reconstruct_elements(spark.createDataFrame(rows, "cid string, col string, value string")).toPandas()
+    assert {e: got[e].nunique() for e in value} == {"initial": 2, "final": 3, "tone": 1}
+
+
 def test_file_dataset_and_catalog(spark, tmp_path):
     for did, n in (("08533", 2), ("23C57", 3)):
         (tmp_path / f"{did}.csv").write_text("character,cid,initial,final,tone\n" + "".join(f"火,{i:04d},h,u,{i}\n" for i in range(n)))
