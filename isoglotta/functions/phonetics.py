@@ -23,14 +23,16 @@ SUPRASEGMENTALS = (
 TONES = (
     "12345²³¹⁴⁵˥˦˧˨˩↗↘ꜛꜜ"
 )
-# non-standard code point, standard code point
-CHAR_MAP = """
-    0030 2205 003a 02d0 0041 1d00 0042 0062 0043 0063 0044 0064 0045 1d07 0046 0066 0047 0067 0048 0068 0049 026a 004a 006a
-    004b 006b 004c 006c 004d 006d 004e 006e 004f 006f 0050 0070 0051 0071 0052 0072 0053 0073 0054 0074 0055 0075 0056 0076
-    0057 0077 0058 0078 0059 028f 005a 007a 0067 0261 007e 0303 00b7 2205 00d8 00f8 0131 0069 019e 014b 01b2 028b 01dd 0259
-    01fe 00f8 01ff 00f8 0241 0294 02bb 02b0 02dc 0303 0307 0329 030d 0329 0311 032f 0323 0329 0331 0320 034a 0303 03b5 025b
-    1d02 00e6 2018 02b0 25cb 2205 ff10 2205 ff1a 02d0 ff4b 006b fffb 2205
-"""
+# non-standard character: standard character
+CHAR_MAP = {
+    "0": "∅", ":": "ː", "A": "ᴀ", "B": "b", "C": "c", "D": "d", "E": "ᴇ", "F": "f",
+    "G": "g", "H": "h", "I": "ɪ", "J": "j", "K": "k", "L": "l", "M": "m", "N": "n",
+    "O": "o", "P": "p", "Q": "q", "R": "r", "S": "s", "T": "t", "U": "u", "V": "v",
+    "W": "w", "X": "x", "Y": "ʏ", "Z": "z", "g": "ɡ", "~": "\u0303", "·": "∅", "Ø": "ø",
+    "ı": "i", "ƞ": "ŋ", "Ʋ": "ʋ", "ǝ": "ə", "Ǿ": "ø", "ǿ": "ø", "Ɂ": "ʔ", "ʻ": "ʰ",
+    "˜": "\u0303", "\u0307": "\u0329", "\u030d": "\u0329", "\u0311": "\u032f", "\u0323": "\u0329", "\u0331": "\u0320", "\u034a": "\u0303", "ε": "ɛ",
+    "ᴂ": "æ", "‘": "ʰ", "○": "∅", "０": "∅", "：": "ː", "ｋ": "k", "\ufffb": "∅",
+}
 # precomposed or variant string, standard string; replaced in this order after CHAR_MAP
 STRING_MAP = (
     ("ø\u0301", "ø"),
@@ -46,29 +48,35 @@ STRING_MAP = (
     ("ǫ", "o\u031c"),
     ("ṇ", "n\u0329"),
 )
-MANNERS = """
-    b plosive c plosive d plosive f non-sibilant-fricative h non-sibilant-fricative
-    j approximant k plosive l lateral-approximant m nasal n nasal
-    p plosive q plosive r trill s sibilant-fricative t plosive
-    v non-sibilant-fricative w approximant x non-sibilant-fricative z sibilant-fricative ç non-sibilant-fricative
-    ð non-sibilant-fricative ħ non-sibilant-fricative ŋ nasal ƈ implosive ƙ implosive
-    ƛ lateral-affricate ƥ implosive ƭ implosive ǀ click ǁ lateral-click
-    ǂ click ǃ click ȴ lateral-approximant ɓ implosive ɕ sibilant-fricative
-    ɖ plosive ɗ implosive ɟ plosive ɠ implosive ɡ plosive
-    ɢ plosive ɣ non-sibilant-fricative ɥ approximant ɦ non-sibilant-fricative ɧ sibilant-fricative
-    ɫ lateral-approximant ɬ lateral-fricative ɭ lateral-approximant ɮ lateral-fricative ɰ approximant
-    ɱ nasal ɲ nasal ɳ nasal ɴ nasal ɸ non-sibilant-fricative
-    ɹ approximant ɺ lateral-flap ɻ approximant ɽ flap ɾ flap
-    ʀ trill ʁ non-sibilant-fricative ʂ sibilant-fricative ʃ sibilant-fricative ʄ implosive
-    ʇ click ʈ plosive ʋ approximant ʍ approximant ʎ lateral-approximant
-    ʐ sibilant-fricative ʑ sibilant-fricative ʒ sibilant-fricative ʔ plosive ʕ non-sibilant-fricative
-    ʖ lateral-click ʗ click ʘ click ʙ trill ʛ implosive
-    ʜ trill ʝ non-sibilant-fricative ʞ click ʟ lateral-approximant ʠ implosive
-    ʡ plosive ʢ trill ʣ sibilant-affricate ʤ sibilant-affricate ʥ sibilant-affricate
-    ʦ sibilant-affricate ʧ sibilant-affricate ʨ sibilant-affricate Φ non-sibilant-fricative β non-sibilant-fricative
-    θ non-sibilant-fricative λ lateral-affricate χ non-sibilant-fricative ᶑ implosive ‼ click
-    ⱱ flap ⱳ flap ꞎ lateral-fricative
-"""
+# consonant: manner of articulation
+MANNERS = {
+    "b": "plosive", "c": "plosive", "d": "plosive", "f": "non-sibilant-fricative",
+    "h": "non-sibilant-fricative", "j": "approximant", "k": "plosive", "l": "lateral-approximant",
+    "m": "nasal", "n": "nasal", "p": "plosive", "q": "plosive",
+    "r": "trill", "s": "sibilant-fricative", "t": "plosive", "v": "non-sibilant-fricative",
+    "w": "approximant", "x": "non-sibilant-fricative", "z": "sibilant-fricative", "ç": "non-sibilant-fricative",
+    "ð": "non-sibilant-fricative", "ħ": "non-sibilant-fricative", "ŋ": "nasal", "ƈ": "implosive",
+    "ƙ": "implosive", "ƛ": "lateral-affricate", "ƥ": "implosive", "ƭ": "implosive",
+    "ǀ": "click", "ǁ": "lateral-click", "ǂ": "click", "ǃ": "click",
+    "ȴ": "lateral-approximant", "ɓ": "implosive", "ɕ": "sibilant-fricative", "ɖ": "plosive",
+    "ɗ": "implosive", "ɟ": "plosive", "ɠ": "implosive", "ɡ": "plosive",
+    "ɢ": "plosive", "ɣ": "non-sibilant-fricative", "ɥ": "approximant", "ɦ": "non-sibilant-fricative",
+    "ɧ": "sibilant-fricative", "ɫ": "lateral-approximant", "ɬ": "lateral-fricative", "ɭ": "lateral-approximant",
+    "ɮ": "lateral-fricative", "ɰ": "approximant", "ɱ": "nasal", "ɲ": "nasal",
+    "ɳ": "nasal", "ɴ": "nasal", "ɸ": "non-sibilant-fricative", "ɹ": "approximant",
+    "ɺ": "lateral-flap", "ɻ": "approximant", "ɽ": "flap", "ɾ": "flap",
+    "ʀ": "trill", "ʁ": "non-sibilant-fricative", "ʂ": "sibilant-fricative", "ʃ": "sibilant-fricative",
+    "ʄ": "implosive", "ʇ": "click", "ʈ": "plosive", "ʋ": "approximant",
+    "ʍ": "approximant", "ʎ": "lateral-approximant", "ʐ": "sibilant-fricative", "ʑ": "sibilant-fricative",
+    "ʒ": "sibilant-fricative", "ʔ": "plosive", "ʕ": "non-sibilant-fricative", "ʖ": "lateral-click",
+    "ʗ": "click", "ʘ": "click", "ʙ": "trill", "ʛ": "implosive",
+    "ʜ": "trill", "ʝ": "non-sibilant-fricative", "ʞ": "click", "ʟ": "lateral-approximant",
+    "ʠ": "implosive", "ʡ": "plosive", "ʢ": "trill", "ʣ": "sibilant-affricate",
+    "ʤ": "sibilant-affricate", "ʥ": "sibilant-affricate", "ʦ": "sibilant-affricate", "ʧ": "sibilant-affricate",
+    "ʨ": "sibilant-affricate", "Φ": "non-sibilant-fricative", "β": "non-sibilant-fricative", "θ": "non-sibilant-fricative",
+    "λ": "lateral-affricate", "χ": "non-sibilant-fricative", "ᶑ": "implosive", "‼": "click",
+    "ⱱ": "flap", "ⱳ": "flap", "ꞎ": "lateral-fricative",
+}
 INITIAL_VARIANTS = ("ᵐᵑᵛⁿ", "mŋᶹn")
 LIGATURES = (("ʣ", "dz"), ("ʤ", "dʒ"), ("ʥ", "dʑ"), ("ʦ", "ts"), ("ʧ", "tʃ"), ("ʨ", "tɕ"))
 INITIAL_REWRITES = (
@@ -86,10 +94,7 @@ EMPTY = "∅"
 
 LETTERS = CONSONANTS + VOWELS
 ALPHABET = LETTERS + DIACRITICS + SUPRASEGMENTALS + TONES
-_PAIRS = [int(x, 16) for x in CHAR_MAP.split()]
-CHAR_FROM, CHAR_TO = ("".join(map(chr, _PAIRS[i::2])) for i in (0, 1))
-_WORDS = MANNERS.split()
-MANNER_OF = dict(zip(_WORDS[0::2], _WORDS[1::2]))
+CHAR_FROM, CHAR_TO = "".join(CHAR_MAP), "".join(CHAR_MAP.values())
 TYPE_OF = {c: t for s, t in ((CONSONANTS, "consonant"), (VOWELS, "vowel"), (DIACRITICS, "diacritic"), (SUPRASEGMENTALS, "suprasegmental"), (TONES, "tone")) for c in s}
 
 
@@ -198,7 +203,7 @@ def char_features(x: Column) -> Column:
         c = F.when(k < 0, F.lit("BOS")).when(k >= n, F.lit("EOS")).otherwise(F.get(chars, k))
         real = (k >= 0) & (k < n)
         kind = F.when(real, F.coalesce(_at("".join(TYPE_OF), list(TYPE_OF.values()), c), F.lit("other")))
-        return [c.alias(f"{tag}_char"), kind.alias(f"{tag}_type"), F.when(real, _at("".join(MANNER_OF), list(MANNER_OF.values()), c)).alias(f"{tag}_manner")]
+        return [c.alias(f"{tag}_char"), kind.alias(f"{tag}_type"), F.when(real, _at("".join(MANNERS), list(MANNERS.values()), c)).alias(f"{tag}_manner")]
 
     each = lambda chars: F.transform(chars, lambda c, i: F.struct(i.alias("pos"), *at(chars, i, -1, "before"), *at(chars, i, 0, "own"), *at(chars, i, 1, "after")))
     # the split is bound once: as a plain expression it would be made again for every character

@@ -476,7 +476,7 @@ _LOOK = lambda t: "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in t.items())
 
 @query(f"""WITH {WORDS}, ch AS (SELECT word, s, unnest(range(1, length(s) + 1)) AS i FROM w), f AS (
   SELECT word, i - 1 AS pos, CASE WHEN i = 1 THEN 'BOS' ELSE s[i - 1] END AS before_char, s[i] AS own_char, CASE WHEN i = length(s) THEN 'EOS' ELSE s[i + 1] END AS after_char FROM ch)
-SELECT word, CAST(pos AS INT) AS pos, before_char, own_char, after_char, coalesce({_LOOK(P.TYPE_OF)}[own_char], 'other') AS own_type, {_LOOK(P.MANNER_OF)}[own_char] AS own_manner,
+SELECT word, CAST(pos AS INT) AS pos, before_char, own_char, after_char, coalesce({_LOOK(P.TYPE_OF)}[own_char], 'other') AS own_type, {_LOOK(P.MANNERS)}[own_char] AS own_manner,
   CASE WHEN length(after_char) = 1 THEN coalesce({_LOOK(P.TYPE_OF)}[after_char], 'other') END AS after_type FROM f""")
 def char_features(spark, sf):
     f = words(spark, sf).select("word", F.explode(P.char_features(F.col("s"))).alias("f")).select("word", "f.*")

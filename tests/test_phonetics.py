@@ -12,8 +12,8 @@ def values(spark, fn, xs):
 
 def test_tables_have_their_sizes():
     assert [len(x) for x in (P.CONSONANTS, P.VOWELS, P.DIACRITICS, P.SUPRASEGMENTALS, P.TONES, P.CHAR_FROM, P.STRING_MAP)] == [106, 41, 119, 8, 19, 55, 12]
-    assert len(set(P.ALPHABET)) == len(P.ALPHABET) and len(P.MANNER_OF) == 103
-    assert set(P.CONSONANTS) - set(P.MANNER_OF) == set("ȡȵȶ")
+    assert len(set(P.ALPHABET)) == len(P.ALPHABET) and len(P.MANNERS) == 103
+    assert set(P.CONSONANTS) - set(P.MANNERS) == set("ȡȵȶ")
 
 
 def test_clean_ipa_maps_once(spark):
@@ -21,6 +21,35 @@ def test_clean_ipa_maps_once(spark):
     assert values(spark, lambda c: P.clean_ipa(c, True), ["t#s%"]) == ["ts"]
 
 
+MAPPED = {
+    "zero and marks": ("0０·○\ufffb:：", "∅∅∅∅∅ːː"),
+    "capitals with letters of their own": ("AEIY", "ᴀᴇɪʏ"),
+    "other capitals": ("BCDFGHJKLMNOPQRSTUVWXZ", "bcdfghjklmnopqrstuvwxz"),
+    "look-alike letters": ("gｋıƞƲǝεᴂɁØǾǿ", "ɡkiŋʋəɛæʔøøø"),
+    "aspiration": ("ʻ‘", "ʰʰ"),
+    "marks": ("~˜\u034a\u0307\u030d\u0323\u0311\u0331", "\u0303\u0303\u0303\u0329\u0329\u0329\u032f\u0320"),
+}
+MANNER_CASES = {
+    "plosive": "bcdkpqtɖɟɡɢʈʔʡ", "nasal": "mnŋɱɲɳɴ", "trill": "rʀʙʜʢ", "flap": "ɽɾⱱⱳ", "lateral-flap": "ɺ", "approximant": "jwɥɰɹɻʋʍ", "lateral-approximant": "lȴɫɭʎʟ",
+    "sibilant-fricative": "szɕɧʂʃʐʑʒ", "non-sibilant-fricative": "fhvxçðħɣɦɸʁʕʝΦβθχ", "lateral-fricative": "ɬɮꞎ", "sibilant-affricate": "ʣʤʥʦʧʨ", "lateral-affricate": "ƛλ",
+    "implosive": "ƈƙƥƭɓɗɠʄʛʠᶑ", "click": "ǀǂǃʇʗʘʞ‼", "lateral-click": "ǁʖ",
+}
+
+
+def test_every_mapped_character(spark):
+    pairs = [(a, b) for x, y in MAPPED.values() for a, b in zip(x, y, strict=True)]
+    assert sorted(a for a, _ in pairs) == sorted(P.CHAR_MAP)
+    assert values(spark, P.clean_ipa, ["t" + a + "s" for a, _ in pairs]) == ["t" + b + "s" for _, b in pairs]
+    strings = {"ø\u0301": "ø", "ã": "a\u0303", "õ": "o\u0303", "ĕ": "e\u0306", "ĩ": "i\u0303", "ũ": "u\u0303", "ḷ": "l\u0329", "ṃ": "m\u0329", "ẽ": "e\u0303", "ỹ": "y\u0303", "ǫ": "o\u031c", "ṇ": "n\u0329"}
+    assert values(spark, P.clean_ipa, list(strings)) == list(strings.values())
+
+
+def test_every_manner(spark):
+    want = {c: m for m, cs in MANNER_CASES.items() for c in cs}
+    got = values(spark, P.char_features, list(want))
+    assert [f[0]["own_manner"] for f in got] == list(want.values()) and set(want) == set(P.MANNERS)
+
+
 def test_clean_elements(spark):
     assert values(spark, P.clean_initial, ["∅", "∅t", None]) == ["∅", "t", None]
     assert values(spark, P.clean_tone, ["∅", "21a", "0"]) == ["∅", "21", ""]
