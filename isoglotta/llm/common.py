@@ -2,63 +2,88 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-import weakref
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+#: Temporary folders of local sessions by application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a temporary one only in local mode."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or getattr(spark, "_isoglotta_dir", None)
-    if found:
+    if found := sc.getConf().get("spark.checkpoint.dir"):
         return found
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark._isoglotta_dir = f"file://{tempfile.mkdtemp(prefix='isoglotta-')}"
-    return spark._isoglotta_dir
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="isoglotta-")
+        atexit.register(shutil.rmtree, _LOCAL[sc.applicationId], True)
+    return f"file://{_LOCAL[sc.applicationId]}"
+
+
+#: Tables that exist: path -> (weak reference, in the JVM, to what a plan needs to read it; deletes it).
+_LIVE: dict[str, tuple] = {}
 
 
-def _delete(jvm, conf, path: str) -> None:
+def _delete(path: str) -> None:
     try:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    except Exception:  # the session may have ended; then its owner clears the folder
+        _LIVE.pop(path)[1]()
+    except Exception:  # the JVM may have ended; then the shared folder's owner clears it
         pass
 
 
+def sweep() -> None:
+    """Delete the tables that no plan can read any more."""
+    for path, (held, _) in list(_LIVE.items()):
+        try:
+            if held.refersTo(None):
+                _delete(path)
+        except Exception:  # of a JVM that has ended
+            _LIVE.pop(path, None)
+
+
+@atexit.register
+def _end() -> None:
+    for path in list(_LIVE):
+        _delete(path)
+
+
 class Scratch:
-    """Parquet tables in the shared folder, deleted when the last result that reads them goes.
+    """Parquet tables in the shared folder, each there as long as any plan can read it.
 
-    ``table`` cuts the lineage as a checkpoint does, but columnar, compressed and column-pruned.
-    ``bind`` ties the tables to a result; ``release`` deletes one early.
+    ``table`` cuts the lineage as a checkpoint does, but columnar, compressed and column-pruned. All frames
+    derived from a table hold its file index in the JVM, and so do cached plans and views; once that is
+    garbage the next ``table`` deletes the files, and the end of the process deletes the rest. ``release``
+    deletes a table early, which must have no reader left.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/isoglotta-{uuid.uuid4().hex}"
-        sc = spark.sparkContext
-        self._paths: dict[int, str] = {}
-        self._drop = lambda path, jvm=sc._jvm, conf=sc._jsc.hadoopConfiguration(): _delete(jvm, conf, path)
-        weakref.finalize(self, _delete, sc._jvm, sc._jsc.hadoopConfiguration(), self.root)
+        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/isoglotta-{spark.sparkContext.applicationId}"
+        sweep()
 
     def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex}"
+        sweep()
+        path, sc = f"{self.root}/{uuid.uuid4().hex}", self.spark.sparkContext
         df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        out._isoglotta = self
+        jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+
+        def drop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+        _LIVE[path] = jvm.java.lang.ref.WeakReference(out._jdf.queryExecution().analyzed().relation().location()), drop
+        out._isoglotta_path = path
         return out
 
     def release(self, df: DataFrame) -> None:
-        if path := self._paths.pop(id(df), None):
-            self._drop(path)
-
-    def bind(self, df: DataFrame) -> DataFrame:
-        df._isoglotta = self
-        return df
+        _delete(df._isoglotta_path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -6,10 +6,14 @@ words (but some) is one pattern. Patterns of one length share tables: a shift ta
 three words says how far a search may jump when the block at its end is in no pattern at that place, a
 bucket by the last block lists the patterns that may end there, and direct comparison confirms them.
 
-Documents are never shuffled; the benchmark is broadcast in blocks of at most ``block_bytes`` of text
-(documents are searched once for each block, and hits of several blocks are united by document).
-Null or wordless texts have n_words 0 and no hits; wordless items never match; repeated items all count.
-Rows that repeat a document id are searched one by one. Other columns of the inputs are ignored.
+Documents are never shuffled while the benchmark's distinct (item, text) rows have at most ``block_bytes``
+of text: then it is broadcast whole. A larger one is dealt into blocks of about that size, so that a worker
+holds the tables of one block only; documents get row numbers in a written table, each block is searched
+in a pass of its own over that table, and the hits (only of rows that have any) meet by row number.
+
+Null or wordless texts have n_words 0 and no hits; wordless items never match; an item counts once however
+often its rows repeat. Rows that repeat a document id, or have none, are searched and returned one by one.
+Other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -80,8 +84,8 @@ def union_length(spans) -> int:
     return total
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> int:
-    total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+def _blocks(items: DataFrame, block_bytes: int) -> int:
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     return max(1, -(-total // block_bytes))
 
 
@@ -89,79 +93,83 @@ def digest(items) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """Per document: id, n_words, n_hit, items (array), spans (array of start, end word positions)."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     arrow_item = pa.string() if item_kind == "string" else pa.int64()
-    n_blocks = _blocks(benchmark, item_col, item_text, block_bytes)
-    keyed = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("t"), F.pmod(F.xxhash64(item_text, item_col), F.lit(n_blocks)).alias("b"))
-    schema = f"`{id_col}` {kind}, n_words bigint, items array<{item_kind}>, starts array<int>, ends array<int>, row bigint"
+    distinct = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")).distinct()
+    n_blocks = _blocks(distinct, block_bytes)
+    dealt = distinct.withColumn("b", F.pmod(F.xxhash64("t", "item"), F.lit(n_blocks)))
+    numbered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    if n_blocks > 1:
+        numbered = Scratch(spark).table(numbered)  # else a second pass might number rows otherwise
+    schema = f"id {kind}, n_words bigint, items array<{item_kind}>, starts array<int>, ends array<int>, row bigint"
 
     def search(k: int) -> DataFrame:
-        items = [(r["item"], r["t"]) for r in keyed.where(F.col("b") == k).select("item", "t").collect()]  # at most about block_bytes
+        items = [(r["item"], r["t"]) for r in dealt.where(F.col("b") == k).select("item", "t").collect()]  # about block_bytes
         sent = spark.sparkContext.broadcast(items)
         made: list = []
 
         def run(batches):
-            from pyspark import TaskContext
-
             if not made:
                 made.append(WuManber(sent.value, size))
-            row = TaskContext.get().partitionId() << 40
             for batch in batches:
                 for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                     found = []
-                    for t in part.column(1).to_pylist():
-                        w = words_of(t)
+                    for i, t in enumerate(part.column(1)):
+                        w = words_of(t.as_py())
                         spans, hit = made[0].find(w)
-                        found.append((len(w), sorted(hit), [s for s, _ in spans], [e for _, e in spans], row))
-                        row += 1
+                        if spans or not k:  # the first pass tells the words of every document
+                            found.append((i, len(w), sorted(hit), [s for s, _ in spans], [e for _, e in spans]))
                     cols = list(zip(*found)) if found else [()] * 5
-                    kinds = (pa.int64(), pa.list_(arrow_item), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, t in zip(cols, kinds))], names=[id_col, "n_words", "items", "starts", "ends", "row"])
-
-        return docs.select(id_col, text_col).mapInArrow(run, schema)
-
-    parts = [search(k) for k in range(n_blocks)]
-    spans = F.arrays_zip("starts", "ends")
-    if n_blocks == 1:
-        whole = parts[0]
-    else:  # rows of one scan are numbered alike in each pass; hits of all blocks meet by document and row
-        store = Scratch(spark)
-        whole = store.table(parts[0])
-        for p in parts[1:]:
-            whole = whole.unionByName(store.table(p))
-        whole = store.bind(whole.groupBy(id_col, "row", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")))
-    ordered = F.array_sort(spans)
+                    at, kinds = pa.array(list(cols[0]), pa.int32()), (pa.int64(), pa.list_(arrow_item), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), *(pa.array(list(c), t) for c, t in zip(cols[1:], kinds)), part.column(2).take(at)], names=["id", "n_words", "items", "starts", "ends", "row"])
+
+        return numbered.mapInArrow(run, schema)
+
+    whole = search(0)
+    if n_blocks > 1:
+        for k in range(1, n_blocks):
+            whole = whole.unionByName(search(k))
+        whole = whole.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    ordered = F.array_sort(F.arrays_zip("starts", "ends"))
     reach = F.aggregate(
         ordered,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["ends"] - F.greatest(s["starts"], a["to"]))).alias("n"), F.greatest(a["to"], s["ends"]).alias("to")),
         lambda a: a["n"].cast("long"),
     )
-    out = whole.select(id_col, "n_words", reach.alias("n_hit"), "items", ordered.alias("spans"))
-    return whole._isoglotta.bind(out) if n_blocks > 1 else out
+    return whole.select(F.col("id").alias(id_col), "n_words", reach.alias("n_hit"), "items", ordered.alias("spans"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, all columns kept: one filter for each benchmark block, no join."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, all columns kept.
+
+    One filter, without a join; with a large benchmark one for each block, each over what the last one kept, as written.
+    """
     spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index(text_col)
-    n_blocks = _blocks(benchmark, item_col, item_text, block_bytes)
-    keyed = benchmark.select(F.col(item_text).alias("t"), F.pmod(F.xxhash64(item_text, item_col), F.lit(n_blocks)).alias("b"))
+    texts = benchmark.select(F.col(item_text).alias("t")).distinct()
+    n_blocks = _blocks(texts, block_bytes)
+    dealt = texts.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(n_blocks)))
 
     def clean(sent):
         def run(batches):
             search = WuManber(sent.value, size)
             for b in batches:
                 for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                    yield part.filter(pa.array([not search.find(words_of(t))[0] for t in part.column(at).to_pylist()], pa.bool_()))
+                    yield part.filter(pa.array([not search.find(words_of(t.as_py()))[0] for t in part.column(at)], pa.bool_()))
 
         return run
 
+    store = Scratch(spark)
     for k in range(n_blocks):
-        items = [(0, r["t"]) for r in keyed.where(F.col("b") == k).select("t").collect()]  # at most about block_bytes
-        docs = docs.mapInArrow(clean(spark.sparkContext.broadcast(items)), schema)
+        items = [(0, r["t"]) for r in dealt.where(F.col("b") == k).select("t").collect()]  # about block_bytes
+        sent = spark.sparkContext.broadcast(items)
+        docs = docs.mapInArrow(clean(sent), schema)
+        if k < n_blocks - 1:
+            docs = store.table(docs)
+            sent.unpersist()
     return docs
 
 

@@ -324,10 +324,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({k: pa.array(v, pa.int64() if k in ("id", "n_tokens", "n_known") else pa.float64()) for k, v in out.items()})
 
     scored = blocks.drop("bytes").groupBy("block").cogroup(all_answers.groupBy("block")).applyInArrow(finish, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    return store.bind(scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(m["N"]).cast("long").alias("train_tokens"), "base_score", "score"))
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(m["N"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(read(spark, sf_dir, "documents"))
     out = scored.select("doc_id", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    return scored._isoglotta.bind(out)
+    return out

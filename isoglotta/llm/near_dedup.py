@@ -278,14 +278,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = classes.select("k1", "k2", "id").join(label, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("comp"))
     out = signed.select("id", "n", "k1", "k2").join(top, ["k1", "k2"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    return store.bind(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), comp.eqNullSafe(F.col("id")).alias("kept")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), comp.eqNullSafe(F.col("id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay (one document of each component), all columns kept. Rows without an id stay."""
     groups = near_groups(docs, id_col, text_col)
     gone = groups.where(~F.col("kept")).select(id_col)
-    return groups._isoglotta.bind(docs.join(gone, id_col, "left_anti").select(docs.columns))
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

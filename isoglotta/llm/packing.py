@@ -250,7 +250,7 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer_path: str |
     store = Scratch(docs.sparkSession)
     pieces = store.table(token_pieces(docs, tokenizer_path or public_path("word_bpe_49k.json"), capacity))
     out = pack_lengths(pieces, store, capacity)
-    return store.bind(out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
