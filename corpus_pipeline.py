@@ -50,6 +50,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, docs = Scratch(spark), read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = store.table(stage(spark, docs, sf_dir))
-    last = STAGES[-1][1](spark, docs, sf_dir)
-    last._isoglotta_inputs = docs
-    return last
+    return STAGES[-1][1](spark, docs, sf_dir)
