@@ -1,118 +1,152 @@
-"""Main text of web pages: page structure, and a suffix array over each host's pages.
-
-A page is read as a stream of tags and text; block elements bound blocks, character references are
-decoded, white space inside a block becomes one space. Scripts, styles, forms, menus, page headers and
-footers, sidebars, hidden parts, and parts whose class or id names an advert, notice, menu, share bar or
-comment list, are chrome. If the page marks its article (``article``, else ``main`` or role=main), text
-outside it is chrome too, and what is inside it and not chrome is protected: real articles share
-passages, so repetition doesn't make their text boilerplate.
-
-Where a page has no such mark, the host decides. Token streams of a host's pages are concatenated (with a
-separator no other page has), and a suffix array, built by prefix doubling to runs of ``run`` tokens, gives
-the classes of equal runs. A run is boilerplate if at least ``min_pages`` distinct pages of the host hold it, marked
-pages too; its tokens go wherever they stand on unmarked pages, and the rest of a block stays.
-
-Hosts with many pages are dealt into shards of about ``shard_pages`` pages by a hash of the page's id, so a hot host is
-many tasks of bounded size. If such a host has an unmarked page, each shard sends the fingerprint (128 bits) and page
-count of each of its runs, the counts are added over the host, and the runs that reach ``min_pages`` return to the
-shards that hold them: shards don't change the verdict. Only text without markup and these counts cross the network.
-Page counts of large hosts are broadcast up to ``broadcast_hosts`` of them, else joined.
-
-Null or empty html, and pages without text, give an empty text; a null or odd url is the host "".
-Repeated rows are pages each (copies of one page id don't count as distinct pages). Other columns are ignored.
+"""Main text of web pages: a suffix array over each host's pages, bounded by page structure.
+
+A page is read as a stream of tags and text. Block elements bound blocks, character references are decoded,
+white space inside a block becomes one space. Scripts, styles, forms and hidden parts are no text at all. Every other
+block is
+
+* body: in the page's marked article (``article``, else ``main`` or role=main) and not chrome;
+* chrome: a menu, page header, footer or sidebar, or a part whose class or id names an advert, notice, cookie
+  bar, comment list and so on; on a page with a marked article also whatever stands outside it;
+* open: the rest, that is all other blocks of a page without a marked article, and parts of an article whose class only
+  hints at chrome (``share-price``).
+
+A page with several articles and more text outside them (teasers around a story) counts as unmarked.
+
+The token streams of a host's chrome and open blocks are concatenated, with a separator between pages that occurs
+once, and sorted into a suffix array (prefix doubling; longest common prefixes from the doubling's ranks). Each place's
+longest substring that another page of the host has too follows from its neighbours in the array; substrings of at
+least ``run`` tokens are boilerplate and all they cover is removed. Unique runs of open blocks stay and join the body
+in page order; what the array leaves of chrome goes too, since the contract wants no menu or advert, repeated or
+not. Body is kept whole: real articles of a host share passages (quotes, copies). ``protect=False`` is the array alone: every block is open.
+
+Pages with equal html are one page here, so copies don't make their text boilerplate. Hosts with many or long pages are dealt
+into shards. Each distinct run of ``run`` tokens of a shard is sent as a 64-bit fingerprint with the least and the
+largest page that hold it; if these differ over all shards, two pages share the run, and it returns to the
+shards that hold it. A substring of at least ``run`` tokens is a chain of such runs, so shards don't change the result.
+
+Null or empty html, and pages without text, give an empty text; a null or odd url is the host "". Repeated rows, and
+rows with a null id, are rows each. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, mix, read
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_SPACE = re.compile(r"\s+")
+#: Possessive, so a tag that doesn't end fails in one pass.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_TELLS = re.compile(r"class|id|role|hidden|style", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_MAIN = re.compile(r"role\s*=\s*[\"']?main\b", re.I)
 #: Their content is text, not markup, up to their end tag.
-RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp"))
+RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul video audio".split()
+    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul video audio xmp".split()
 )
-CHROME = frozenset("nav aside footer form script style head noscript template iframe button select option textarea object svg canvas menu dialog title".split())
+NO_TEXT = frozenset("form script style head noscript template iframe noembed noframes button select option textarea object svg canvas title dialog".split())
+CHROME = frozenset("nav aside footer menu".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
-CHROME_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice popup modal newsletter subscribe subscription signup login share sharing social comment comments disqus respond reply replies related recommended pagination pager toolbar widget".split()
-)
-#: Elements whose end a new block or the parent's end implies.
-P_ENDS = frozenset("p li dd dt option tr td th".split())
-
-
-def _is_chrome(tag: str, attrs: str, inside: bool) -> bool:
+#: Any part of a class or id.
+CHROME_NAMES = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo sidebar menu nav navbar breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr newsletter popup modal comments disqus pagination pager".split())
+#: The whole of a class or id; as a part of one they are a hint.
+CHROME_HINTS = frozenset("banner promotion navigation notice notices subscribe subscription signup login share sharing social comment respond reply replies related recommended toolbar widget".split())
+ENDED_BY_LIKE = frozenset(("li", "dd", "dt", "option", "tr", "td", "th"))
+CHROME_ZONE, OPEN_ZONE, BODY_ZONE = 0, 1, 2
+
+
+def _standing(tag: str, attrs: str, inside: bool) -> int:
+    """0 text, 1 hint of chrome, 2 chrome, 3 no text; of an element."""
+    if tag in NO_TEXT:
+        return 3
     if tag in CHROME or tag == "header" and not inside:
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
+        return 2
+    if not attrs or tag in ("html", "body") or not _TELLS.search(attrs):
+        return 0
+    found = 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _UNSEEN.search(value):
+            return 3
         if name == "role" and value in CHROME_ROLES:
-            return True
-        if name in ("class", "id") and not CHROME_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
-
-
-def parse(html: str | None) -> list[tuple[bool, str]]:
-    """(protected, text) of the blocks that structure keeps, in page order.
-
-    If the page marks an article or a main part, only blocks of these, protected; else all blocks that
-    aren't chrome, unprotected.
-    """
+            found = 2
+        if name in ("class", "id"):
+            for whole in value.split():
+                parts = re.split(r"[^a-z0-9]+", whole)
+                if whole in CHROME_HINTS or not CHROME_NAMES.isdisjoint(parts):
+                    found = 2
+                elif not CHROME_HINTS.isdisjoint(parts):
+                    found = max(found, 1)
+    return found
+
+
+def parse(html: str | None) -> list[tuple[int, str]]:
+    """(zone, text) of a page's blocks, in page order. Linear in the page's length."""
     html = html or ""
-    low = html.lower()
-    stack: list[tuple[str, bool, int]] = []  # tag, chrome from here on, kind of the container (0, 1 main, 2 article)
-    blocks: list[tuple[int, str]] = []
+    size, last = len(html), html.rfind(">")
+    blocks: list[tuple[int, int, str]] = []  # kind of the container (0, 1 main, 2 article), standing, text
     run: list[str] = []
-    chrome = kind = at = 0
+    stack: list[tuple[str, int, int]] = []  # tag, standing, kind outside of it
+    open_: dict[str, int] = {}
+    standing, kind, articles, at, pattern = [0, 0, 0, 0], 0, 0, 0, _TAG
 
     def flush():
         if run:
-            text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
-            if text:
-                blocks.append((kind, text))
+            if text := " ".join("".join(run).split()):
+                blocks.append((kind, 2 if standing[2] else 1 if standing[1] else 0, text))
             run.clear()
 
     def pop():
-        nonlocal chrome, kind
-        tag, bad, _ = stack.pop()
+        nonlocal kind
+        tag, bad, outside = stack[-1]
         if tag in BLOCK or bad:
             flush()
-        chrome -= bad
-        kind = max((k for _, _, k in stack), default=0)
-
-    while at < len(html):
-        m = _TOKEN.search(html, at)
-        end = m.start() if m else len(html)
-        if end > at and not chrome:
-            run.append(html[at:end])
-        if not m:
+        stack.pop()
+        open_[tag] -= 1
+        standing[bad] -= 1
+        kind = outside
+
+    while at < size:
+        i = html.find("<", at)
+        end = size if i < 0 else i
+        if end > at and not standing[3]:
+            text = html[at:end]
+            run.append(entities.unescape(text) if "&" in text else text)
+        if i < 0:
             break
-        at = m.end()
-        if not m[2]:
+        if html.startswith("<!--", i):
+            close = html.find("-->", i + 2)
+            at = close + 3 if close >= 0 else size
+            continue
+        m = pattern.match(html, i) if i < last else None
+        if not m:
+            if i < last and html[i + 1 : i + 2] in ("!", "?"):
+                at = html.find(">", i) + 1
+                continue
+            if i < last and pattern is _TAG and re.match(r"</?[a-zA-Z]", html[i : i + 3]):
+                pattern = _LOOSE_TAG  # a quote never ends: from here on quotes don't hide a tag's end
+                at = i
+                continue
+            if not standing[3]:
+                run.append("<")
+            at = i + 1
             continue
-        tag = m[2].lower()
+        at, tag, attrs = m.end(), m[2].lower(), m[3]
         if m[1]:
-            if tag == "p" and not any(t == "p" for t, _, _ in stack) or tag == "br":
+            if tag == "br" or tag == "p" and not open_.get("p"):
                 flush()
-            elif any(t == tag for t, _, _ in stack):
-                while stack:
+            elif open_.get(tag):
+                while True:
                     top = stack[-1][0]
                     pop()
                     if top == tag:
@@ -120,150 +154,213 @@ def parse(html: str | None) -> list[tuple[bool, str]]:
             continue
         if tag in BLOCK:
             flush()
-            while stack and stack[-1][0] == "p" and tag != "br":
+            while tag != "br" and stack and stack[-1][0] == "p":
                 pop()
-        if tag in ("li", "dd", "dt", "option", "tr", "td", "th") and stack and stack[-1][0] == tag:
+        if tag in ENDED_BY_LIKE and stack and stack[-1][0] == tag:
             pop()
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID:
             continue
-        bad = _is_chrome(tag, m[3], kind > 0)
         if tag in RAW:
-            if bad:
+            close = RAW[tag].search(html, at)
+            stop = close.start() if close else size
+            flush()
+            if tag == "xmp" and not standing[3]:
+                run.append(html[at:stop])
                 flush()
-            close = low.find("</" + tag, at) if len(low) == len(html) else html.lower().find("</" + tag, at)
-            at = len(html) if close < 0 else (html.find(">", close) + 1 or len(html))
+            at = html.find(">", stop) + 1 or size
+            continue
+        if attrs.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        own = 2 if tag == "article" else 1 if tag == "main" or re.search(r"role\s*=\s*[\"']?main\b", m[3]) else 0
-        if bad and not chrome:
+        bad = _standing(tag, attrs, kind > 0)
+        if bad:
             flush()
-        stack.append((tag, bad, own))
-        chrome += bad
-        kind = max(kind, own)
+        stack.append((tag, bad, kind))
+        open_[tag] = open_.get(tag, 0) + 1
+        standing[bad] += 1
+        if tag == "article":
+            articles += kind < 2
+            kind = 2
+        elif tag == "main" or attrs and _MAIN.search(attrs):
+            kind = max(kind, 1)
     flush()
-    best = max((k for k, _ in blocks), default=0)
-    return [(True, t) for k, t in blocks if k == best] if best else [(False, t) for _, t in blocks]
+    weight = [0, 0, 0]
+    for k, s, t in blocks:
+        if s < 2:
+            weight[k] += len(t)
+    level = max((k for k in range(3) if weight[k]), default=0)
+    if level == 2 and articles > 1 and weight[0] + weight[1] > weight[2]:
+        level = 1 if weight[1] else 0
+    return [(CHROME_ZONE if s == 2 or k < level else OPEN_ZONE if not level or s else BODY_ZONE, t) for k, s, t in blocks]
 
 
-def run_classes(tokens: np.ndarray, run: int) -> np.ndarray:
-    """Rank class of the run of ``run`` tokens (a power of two) at every place of the suffix array's text.
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of their suffixes, longest common prefix of each with the one before).
 
-    Prefix doubling: ranks of runs of 2k tokens from pairs of ranks of runs of k. Places too near the end
-    keep shorter runs, which no other place equals, as the text ends with a separator of its own.
+    Prefix doubling. The last token must occur nowhere else.
     """
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64).reshape(-1)
-    k = 1
-    while k < run:
-        after = np.full(len(rank), -1, dtype=np.int64)
-        after[:-k] = rank[k:]
-        rank = np.unique(rank * (len(rank) + 2) + after + 1, return_inverse=True)[1].astype(np.int64).reshape(-1)
-        k *= 2
-    return rank
+    n = len(tokens)
+    ranks = [np.unique(tokens, return_inverse=True)[1].astype(np.int64).reshape(-1)]
+    while (k := 1 << (len(ranks) - 1)) < n and int(ranks[-1].max(initial=0)) < n - 1:
+        after = np.full(n, -1, dtype=np.int64)
+        after[:-k] = ranks[-1][k:]
+        ranks.append(np.unique(ranks[-1] * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64).reshape(-1))
+    order = np.empty(n, dtype=np.int64)
+    order[ranks[-1]] = np.arange(n)
+    common = np.zeros(n, dtype=np.int64)
+    a, b = order[:-1], order[1:]
+    for j in range(len(ranks) - 1, -1, -1):
+        x, y = a + common[1:], b + common[1:]
+        common[1:] += np.where((x < n) & (y < n) & (ranks[j][np.minimum(x, n - 1)] == ranks[j][np.minimum(y, n - 1)]), 1 << j, 0)
+    return order, common
+
+
+def shared_lengths(order: np.ndarray, common: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """By place, the length of the longest substring from there that a place of another owner starts too.
+
+    That is the common prefix with the next suffix of another owner, before or after in the array: running
+    minima over the stretch of suffixes of one owner in between.
+    """
+    n, own = len(order), owner[order]
+    best = np.zeros(n, dtype=np.int64)
+    if n < 2:
+        return best
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    last = np.concatenate([first[1:], [n]]) - 1
+    after = np.concatenate([common[1:], [0]])
+    for at, step, edge in ((first, 1, common), (last, -1, after)):
+        at, ends = at.copy(), (last if step > 0 else first)
+        low = edge[at]
+        while len(at):
+            best[at] = np.maximum(best[at], low)
+            going = at != ends
+            at, ends, low = at[going] + step, ends[going], low[going]
+            low = np.minimum(low, edge[at])
+    out = np.empty(n, dtype=np.int64)
+    out[order] = best
+    return out
 
 
 class Host:
-    """Pages (page id, blocks' texts) of a host or a shard, and their runs of ``run`` tokens."""
+    """The streams of a host's (or a shard's) pages, as (page, texts of its blocks), and their suffix array."""
 
-    def __init__(self, pages: list[tuple[object, list[str]]], run: int = 8):
+    def __init__(self, pages: list[tuple[int, list[str]]], run: int = 8):
         words: dict[str, int] = {}
-        ids, page_of, self.spans = [], [], []
-        number: dict[object, int] = {}
-        for name, blocks in pages:
-            p, own = number.setdefault(name, len(number)), []
+        number: dict[int, int] = {}
+        ids, owner, self.spans = [], [], []
+        for page, blocks in pages:
+            p, own = number.setdefault(page, len(number)), []
             for b in blocks:
                 w = [words.setdefault(x, len(words)) for x in b.split(" ")]
                 own.append((len(ids), len(ids) + len(w)))
                 ids += w
-                page_of += [p] * len(w)
             self.spans.append(own)
             ids.append(-1 - len(self.spans))  # a separator that occurs once
-            page_of.append(p)
-        self.run, self.words = run, list(words)
-        self.tokens, owner = np.array(ids, dtype=np.int64), np.array(page_of, dtype=np.int64)
-        if len(ids):
-            self.classes = run_classes(self.tokens, run)
-            pairs = np.unique(self.classes * (len(number) + 1) + owner)
-            self.holders = np.bincount(pairs // (len(number) + 1), minlength=int(self.classes.max()) + 1)
-
-    def fingerprints(self) -> tuple[np.ndarray, list[bytes]]:
-        """(class, fingerprint) of each run that lies within a page."""
-        if not len(self.tokens):
-            return np.empty(0, dtype=np.int64), []
+            owner.append((p, len(ids)))
+        self.run, self.words, self.pages = run, list(words), np.array(list(number), dtype=np.int64)
+        self.tokens = np.array(ids, dtype=np.int64)
+        self.owner = np.repeat([p for p, _ in owner], np.diff([0] + [e for _, e in owner])).astype(np.int64)
+        self.order, self.common = suffix_array(self.tokens)
+        self.shared = shared_lengths(self.order, self.common, self.owner)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places, fingerprints) of the runs that lie within a page."""
+        hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.words] or [0], dtype=np.uint64)
+        n = max(0, len(self.tokens) - self.run + 1)
         breaks = np.concatenate([[0], np.cumsum(self.tokens < 0)])
-        at = np.arange(max(0, len(self.tokens) - self.run + 1))
-        at = at[breaks[at + self.run] == breaks[at]]
-        kept, first = np.unique(self.classes[at], return_index=True)
-        return kept, [hashlib.blake2b(" ".join(self.words[t] for t in self.tokens[i : i + self.run]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in at[first]]
-
-    def without(self, repeated: np.ndarray) -> list[list[str]]:
-        """Per page the blocks' texts without the tokens that runs of the classes marked in ``repeated`` cover."""
-        if not len(self.tokens):
-            return [[] for _ in self.spans]
-        marks = np.zeros(len(self.tokens) + self.run + 1, dtype=np.int64)
-        places = np.flatnonzero(repeated[self.classes])
-        np.add.at(marks, places, 1)
-        np.add.at(marks, places + self.run, -1)
-        covered = np.cumsum(marks)[: len(self.tokens)] > 0
-        texts = [[" ".join(self.words[t] for t in self.tokens[s:e][~covered[s:e]]) for s, e in own] for own in self.spans]
-        return [[t for t in own if t] for own in texts]
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_pages: int = 256, broadcast_hosts: int = 10_000, run: int = 8, min_pages: int = 2) -> DataFrame:
-    """Per row: id, url, text, n_chars."""
+        at = np.flatnonzero(breaks[self.run : self.run + n] == breaks[:n])
+        out = np.zeros(len(at), dtype=np.uint64)
+        for j in range(self.run):
+            out = mix(out + hashes[self.tokens[at + j]])
+        return at, out.view(np.int64)
+
+    def held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(fingerprint, least page, largest page) of each distinct run."""
+        at, prints = self.runs()
+        distinct, where = np.unique(prints, return_inverse=True)
+        pages = self.pages[self.owner[at]] if len(at) else np.empty(0, dtype=np.int64)
+        low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
+        np.minimum.at(low, where, pages)
+        np.maximum.at(high, where, pages)
+        return distinct, low, high
+
+    def covered(self, elsewhere: np.ndarray | None = None) -> np.ndarray:
+        """Which tokens shared substrings cover; ``elsewhere``: fingerprints of runs that other shards share."""
+        here = np.arange(len(self.tokens))
+        ends = np.where(self.shared >= self.run, here + self.shared, 0)
+        if elsewhere is not None and len(elsewhere):
+            at, prints = self.runs()
+            at = at[np.isin(prints, elsewhere)]
+            ends[at] = np.maximum(ends[at], at + self.run)
+        return np.maximum.accumulate(ends) > here if len(ends) else ends.astype(bool)
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_pages: int = 256, shard_bytes: int = 16 << 20, broadcast_hosts: int = 10_000, run: int = 8, protect: bool = True) -> DataFrame:
+    """Per row: id, url, text, n_chars, n_repeated (tokens outside the body that the array removed), n_chrome (tokens it left to the rules)."""
     spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^:]*://([^/?#]*)", 1))
     keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    large = keyed.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > shard_pages).select("host", F.ceil(F.col("n") / shard_pages).alias("shards"))
-
-    def small(hosts: DataFrame) -> tuple[DataFrame, list]:
-        found = hosts.limit(broadcast_hosts + 1).collect()
-        if len(found) <= broadcast_hosts:  # else a shuffled join, which adaptive execution splits at hot hosts
-            hosts = F.broadcast(spark.createDataFrame(found, hosts.schema))
-        return hosts, found
-
-    large, sharded = small(large)
-    # copies of an id share a shard, so that page counts of shards add up
-    dealt = keyed.join(large, "host", "left").select("id", "url", "html", "host", F.pmod(F.xxhash64("id"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"), F.col("shards").isNotNull().alias("wide"))
-
-    def blocks(batches):
+    shards = F.ceil(F.greatest(F.count("*") / shard_pages, F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / shard_bytes)).cast("int")
+    large = keyed.groupBy("host").agg(shards.alias("shards")).where("shards > 1")
+    found = large.limit(broadcast_hosts + 1).collect()
+    if len(found) <= broadcast_hosts:  # else a shuffled join, which adaptive execution splits at hot hosts
+        large = F.broadcast(spark.createDataFrame(found, large.schema))
+    # any deal of rows will do; the partition is in it so that a row with thousands of repeats is spread
+    dealt = keyed.withColumn("part", F.spark_partition_id()).join(large, "host", "left").select("id", "url", "html", "host", F.pmod(F.xxhash64("id", "url", "part"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"), F.col("shards").isNotNull().alias("wide"))
+    names = ["id", "url", "host", "shard", "page", "zones", "blocks"]
+
+    def read_pages(batches):
         for b in batches:
-            found = [parse(x.as_py()) for x in b.column(2)]
-            texts = pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))
-            marked = pa.array([bool(f) and f[0][0] for f in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), marked, texts], names=["id", "url", "host", "shard", "marked", "blocks"])
-
-    parse_all = lambda d: d.select("id", "url", "html", "host", "shard").mapInArrow(blocks, f"id {kind}, url string, host string, shard int, marked boolean, blocks array<string>")
+            htmls = [x.as_py() or "" for x in b.column(2)]
+            parsed = [parse(x) if protect else [(OPEN_ZONE, t) for _, t in parse(x)] for x in htmls]
+            page = pa.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in htmls], pa.int64())
+            zones, texts = pa.array([[z for z, _ in p] for p in parsed], pa.list_(pa.int8())), pa.array([[t for _, t in p] for p in parsed], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), page, zones, texts], names=names)
+
+    parse_all = lambda d: d.select("id", "url", "html", "host", "shard").mapInArrow(read_pages, f"id {kind}, url string, host string, shard int, page bigint, zones array<tinyint>, blocks array<string>")
+
+    def streams(table: pa.Table) -> tuple[list, list, Host]:
+        zones, texts = table.column("zones").to_pylist(), table.column("blocks").to_pylist()
+        outside = [[t for z, t in zip(zs, ts) if z != BODY_ZONE] for zs, ts in zip(zones, texts)]
+        return zones, texts, Host(list(zip(table.column("page").to_pylist(), outside)), run)
+
+    def clean(table: pa.Table, elsewhere: pa.Table | None = None) -> pa.Table:
+        zones, texts, h = streams(table)
+        covered = h.covered(None if elsewhere is None else elsewhere.column("run").to_numpy())
+        out, repeated, chrome = [], [], []
+        for zs, ts, spans in zip(zones, texts, h.spans):
+            kept, gone, left, k = [], 0, 0, 0
+            for z, t in zip(zs, ts):
+                if z == BODY_ZONE:
+                    kept.append(t)
+                    continue
+                s, e = spans[k]
+                k += 1
+                n = int(covered[s:e].sum())
+                gone += n
+                if z == CHROME_ZONE:
+                    left += e - s - n
+                elif n < e - s:
+                    kept.append(t if not n else " ".join(w for w, c in zip(t.split(" "), covered[s:e]) if not c))
+            out.append(" ".join(kept))
+            repeated.append(gone)
+            chrome.append(left)
+        counts = {"n_chars": [len(t) for t in out], "n_repeated": repeated, "n_chrome": chrome}
+        return pa.table({id_col: table.column("id"), "url": table.column("url"), "text": pa.array(out, pa.string())} | {k: pa.array(v, pa.int64()) for k, v in counts.items()})
+
+    schema = f"`{id_col}` {kind}, url string, text string, n_chars bigint, n_repeated bigint, n_chrome bigint"
     parsed = parse_all(dealt)
-
-    def clean(table: pa.Table, verdict: pa.Table | None = None) -> pa.Table:
-        marked, texts = table.column("marked").to_pylist(), table.column("blocks").to_pylist()
-        cut = texts
-        if not all(marked):
-            h = Host(list(zip(table.column("id").to_pylist(), texts)), run)
-            if len(h.tokens):
-                repeated = h.holders >= min_pages
-                if verdict is not None and len(verdict):
-                    known = set(verdict.column("run").to_pylist())
-                    for c, f in zip(*h.fingerprints()):
-                        repeated[c] |= f in known
-                cut = h.without(repeated)
-        out = [" ".join(own if keep else less) for keep, own, less in zip(marked, texts, cut)]
-        return pa.table({id_col: table.column("id"), "url": table.column("url"), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())})
-
-    schema = f"`{id_col}` {kind}, url string, text string, n_chars bigint"
-    open_hosts, found = small(parse_all(dealt.where("wide")).where("NOT marked AND size(blocks) > 0").select("host").distinct()) if sharded else (None, [])
     if not found:
         return parsed.groupBy("host", "shard").applyInArrow(lambda table: clean(table), schema)
 
-    def count(table: pa.Table) -> pa.Table:
-        h = Host(list(zip(table.column("id").to_pylist(), table.column("blocks").to_pylist())), run)
-        classes, prints = h.fingerprints()
-        n = h.holders[classes] if len(classes) else []
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(prints), pa.string()), "shard": pa.array([table.column("shard")[0].as_py()] * len(prints), pa.int32()), "run": pa.array(prints, pa.binary()), "n": pa.array(n, pa.int64())})
+    def hold(table: pa.Table) -> pa.Table:
+        prints, low, high = streams(table)[2].held()
+        n = len(prints)
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * n, pa.string()), "shard": pa.array([table.column("shard")[0].as_py()] * n, pa.int32()), "run": prints, "low": low, "high": high})
 
-    counts = parse_all(dealt.where("wide").join(open_hosts, "host", "left_semi")).groupBy("host", "shard").applyInArrow(count, "host string, shard int, run binary, n bigint")
-    total = counts.groupBy("host", "run").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards"))
-    verdict = total.where(F.col("n") >= min_pages).select("host", F.explode("shards").alias("shard"), "run")
-    return parsed.groupBy("host", "shard").cogroup(verdict.groupBy("host", "shard")).applyInArrow(lambda table, runs: clean(table, runs), schema)
+    held = Scratch(spark).table(parse_all(dealt.where("wide")).groupBy("host", "shard").applyInArrow(hold, "host string, shard int, run bigint, low bigint, high bigint"))
+    shared = held.groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "run")
+    elsewhere = held.select("host", "run", "shard").join(shared, ["host", "run"], "left_semi")
+    return parsed.groupBy("host", "shard").cogroup(elsewhere.groupBy("host", "shard")).applyInArrow(lambda table, runs: clean(table, runs), schema)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
