@@ -294,7 +294,7 @@ class Host:
         return np.maximum.accumulate(ends) > here if len(ends) else ends.astype(bool)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_pages: int = 256, shard_bytes: int = 16 << 20, broadcast_hosts: int = 10_000, run: int = 8, protect: bool = True) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_pages: int = 256, shard_bytes: int = 4 << 20, broadcast_hosts: int = 10_000, run: int = 8, protect: bool = True) -> DataFrame:
     """Per row: id, url, text, n_chars, n_repeated (tokens outside the body that the array removed), n_chrome (tokens it left to the rules)."""
     spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^:]*://([^/?#]*)", 1))
@@ -308,15 +308,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     dealt = keyed.withColumn("part", F.spark_partition_id()).join(large, "host", "left").select("id", "url", "html", "host", F.pmod(F.xxhash64("id", "url", "part"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"), F.col("shards").isNotNull().alias("wide"))
     names = ["id", "url", "host", "shard", "page", "zones", "blocks"]
 
-    def read_pages(batches):
-        for b in batches:
-            htmls = [x.as_py() or "" for x in b.column(2)]
-            parsed = [parse(x) if protect else [(OPEN_ZONE, t) for _, t in parse(x)] for x in htmls]
-            page = pa.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in htmls], pa.int64())
-            zones, texts = pa.array([[z for z, _ in p] for p in parsed], pa.list_(pa.int8())), pa.array([[t for _, t in p] for p in parsed], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), page, zones, texts], names=names)
+    def parse_all(d: DataFrame, whole: bool = True) -> DataFrame:
+        """``whole``: with the body; else only what the array reads."""
 
-    parse_all = lambda d: d.select("id", "url", "html", "host", "shard").mapInArrow(read_pages, f"id {kind}, url string, host string, shard int, page bigint, zones array<tinyint>, blocks array<string>")
+        def run_on(batches):
+            for b in batches:
+                htmls = [x.as_py() or "" for x in b.column(2)]
+                parsed = [parse(x) if protect else [(OPEN_ZONE, t) for _, t in parse(x)] for x in htmls]
+                page = pa.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in htmls], pa.int64())
+                zones, texts = ([[x[k] for x in p if whole or x[0] != BODY_ZONE] for p in parsed] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), page, pa.array(zones, pa.list_(pa.int8())), pa.array(texts, pa.list_(pa.string()))], names=names)
+
+        return d.select("id", "url", "html", "host", "shard").mapInArrow(run_on, f"id {kind}, url string, host string, shard int, page bigint, zones array<tinyint>, blocks array<string>")
 
     def streams(table: pa.Table) -> tuple[list, list, Host]:
         zones, texts = table.column("zones").to_pylist(), table.column("blocks").to_pylist()
@@ -357,7 +360,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         n = len(prints)
         return pa.table({"host": pa.array([table.column("host")[0].as_py()] * n, pa.string()), "shard": pa.array([table.column("shard")[0].as_py()] * n, pa.int32()), "run": prints, "low": low, "high": high})
 
-    held = Scratch(spark).table(parse_all(dealt.where("wide")).groupBy("host", "shard").applyInArrow(hold, "host string, shard int, run bigint, low bigint, high bigint"))
+    held = Scratch(spark).table(parse_all(dealt.where("wide"), False).drop("id", "url").groupBy("host", "shard").applyInArrow(hold, "host string, shard int, run bigint, low bigint, high bigint"))
     shared = held.groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "run")
     elsewhere = held.select("host", "run", "shard").join(shared, ["host", "run"], "left_semi")
     return parsed.groupBy("host", "shard").cogroup(elsewhere.groupBy("host", "shard")).applyInArrow(lambda table, runs: clean(table, runs), schema)
