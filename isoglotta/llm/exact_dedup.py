@@ -5,20 +5,21 @@ that end a run of at least ``low`` characters, and after ``high`` characters at
 content, so texts that share a passage share its chunks.
 
 Every distinct chunk crosses the network once, keyed by its 64-bit hash and compared byte by byte there:
-chunks that share a hash get ordinals, and a chunk's verified identifier is (hash, ordinal). Texts with
-such a chunk look the ordinal up; all others keep 0. A document's recipe is the ordered list of its
-identifiers; documents are equal when recipes are. Only recipes, about a hundredth of the text, are grouped
+chunks that share a hash get ordinals, and a chunk's verified identifier is (hash, ordinal). Where hashes
+collide (at 100 TB some hundred do), the chunks with such a hash, and no others, look their ordinals up; they go
+back to their texts as (position, ordinal), so no text is moved for it. A document's recipe is the ordered list of
+its identifiers; documents are equal when recipes are. Only recipes, about a hundredth of the text, are grouped
 (with partial aggregation, so a hot group is one row a task) and joined back, which adaptive execution
 splits where a recipe is hot.
 
 Null texts count as empty, and all empty texts are one group (an empty recipe). The largest id of a group
-stays; rows with a null id stay only if the group has no other; rows that repeat the kept id all count as
-kept. Other columns are ignored.
+stays; rows with a null id stay only if the group has no other. Rows that repeat the kept id (or, in a group
+without ids, all its rows) count as kept each in ``exact_groups``; ``keep_one`` keeps one of them. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, read
@@ -39,26 +40,30 @@ def collided(hashed: DataFrame) -> DataFrame:
     """Ordinals above 0 of chunks whose hash other chunks share: hash, chunk, ordinal. Empty as a rule."""
     distinct = hashed.groupBy("hash", "chunk").agg(F.lit(1).alias("one"))
     several = distinct.groupBy("hash").agg(F.count("one").alias("n")).where("n > 1").select("hash")
-    return distinct.join(several, "hash").groupBy("hash").agg(F.array_sort(F.collect_list("chunk")).alias("all")).select("hash", F.posexplode("all").alias("ordinal", "chunk")).where("ordinal > 0")
+    order = Window.partitionBy("hash").orderBy("chunk")
+    return distinct.join(several, "hash").select("hash", "chunk", (F.row_number().over(order) - 1).alias("ordinal")).where("ordinal > 0")
 
 
 def recipes(docs: DataFrame, store: Scratch, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64) -> DataFrame:
-    """id, recipe (array of hash and ordinal), text_sha256 of every row. ``hash_of``: for tests."""
+    """id, recipe (array of hash and ordinal), text_sha256 of every row, written. ``hash_of``: for tests."""
     cut = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"))
     pieces = cut.select(F.explode(chunks(F.col("t"))).alias("chunk")).select(hash_of("chunk").alias("hash"), "chunk")
     odd = store.table(collided(pieces))
-    plain = cut.select("id", F.transform(chunks(F.col("t")), lambda c: F.struct(hash_of(c).alias("hash"), F.lit(0).alias("ordinal"))).alias("recipe"), F.sha2(F.col("t"), 256).alias("text_sha256"))
+    sha = F.sha2(F.col("t"), 256).alias("text_sha256")
+    own = store.table(cut.select("id", F.transform(chunks(F.col("t")), lambda c: F.struct(hash_of(c).alias("hash"), F.lit(0).alias("ordinal"))).alias("recipe"), sha))
     if odd.isEmpty():
-        return plain
-    keyed = cut.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "t", F.posexplode_outer(chunks(F.col("t"))).alias("pos", "chunk")).withColumn("hash", hash_of("chunk"))
-    found = keyed.join(odd, ["hash", "chunk"], "left").withColumn("part", F.when(F.col("pos").isNotNull(), F.struct("pos", F.struct("hash", F.coalesce("ordinal", F.lit(0)).alias("ordinal")).alias("key"))))
-    return found.groupBy("row").agg(F.first("id").alias("id"), F.first("t").alias("t"), F.array_sort(F.collect_list("part")).alias("parts")).select("id", F.transform("parts", lambda p: p["key"]).alias("recipe"), F.sha2("t", 256).alias("text_sha256"))
+        return own
+    places = cut.select(sha, F.posexplode(chunks(F.col("t"))).alias("pos", "chunk")).withColumn("hash", hash_of("chunk"))
+    found = places.join(odd.select("hash").distinct(), "hash", "left_semi").join(odd, ["hash", "chunk"]).select("text_sha256", "pos", "ordinal").distinct()
+    ordinals = found.groupBy("text_sha256").agg(F.map_from_entries(F.collect_list(F.struct("pos", "ordinal"))).alias("at"))  # at most a text's chunks
+    mended = F.transform("recipe", lambda x, i: F.struct(x["hash"].alias("hash"), F.coalesce(F.try_element_at("at", i), F.lit(0)).alias("ordinal")))
+    return store.table(own.join(ordinals, "text_sha256", "left").select("id", F.when(F.col("at").isNull(), F.col("recipe")).otherwise(mended).alias("recipe"), "text_sha256"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64) -> DataFrame:
     """Per row: id, keep_id, group_size, kept, text_sha256."""
     store = Scratch(docs.sparkSession)
-    own = store.table(recipes(docs, store, id_col, text_col, hash_of))
+    own = recipes(docs, store, id_col, text_col, hash_of)
     # written, so that the join reads two plain exchanges and adaptive execution can split a hot recipe
     groups = store.table(own.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
     joined = own.join(groups, "recipe", "left")
@@ -67,11 +72,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns kept. Rows without an id stay."""
-    groups = exact_groups(docs, id_col, text_col)
-    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    out = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.sha2(normalised(docs[text_col]), 256) == gone["_sha"]), "left_anti")
-    return out
+    """The rows of ``docs`` that stay, one of each group of equal texts, all columns kept."""
+    store = Scratch(docs.sparkSession)
+    groups = store.table(exact_groups(docs, id_col, text_col).where("group_size > 1").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
+    again = groups.where("kept").groupBy("_id", "_sha").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_sha")
+    on = lambda side: docs[id_col].eqNullSafe(side["_id"]) & (F.sha2(normalised(docs[text_col]), 256) == side["_sha"])
+    gone = groups.where(~F.col("kept")).select("_id", "_sha")
+    if again.isEmpty():
+        return docs.join(gone, on(gone), "left_anti")
+    gone = gone.unionByName(again)
+    rest, repeated = docs.join(gone, on(gone), "left_anti"), docs.join(again, on(again), "left_semi")
+    plain = [c for c in docs.columns if c not in (id_col, text_col)]
+    one = repeated.groupBy(id_col, F.sha2(normalised(F.col(text_col)), 256).alias("_sha")).agg(F.first(F.struct(text_col, *plain)).alias("_row"))
+    return rest.unionByName(one.select(id_col, "_row.*").select(docs.columns))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

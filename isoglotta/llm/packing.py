@@ -9,7 +9,8 @@ the least room, into open sequences or new ones.
 
 The plan is a list of runs "ranks a to b of length L lie at offset o of sequences s, s+1, ..."; its size
 depends on the number of distinct lengths only. A document's rank among those of its length is the count
-in earlier partitions plus its place in its own, so nothing is sorted and no length is gathered in a task.
+in earlier partitions plus its place in its own, so nothing is sorted and no length is gathered in a task. These
+counts, at most ``capacity`` a partition, meet the partition's pieces in its own task; only the plan is broadcast.
 
 Null texts count as empty: one end id. Repeated rows are packed each. Other columns are ignored.
 """
@@ -199,25 +200,26 @@ def pack_lengths(pieces: DataFrame, store: Scratch, capacity: int = 4096, length
     spark = pieces.sparkSession
     counts = pieces.groupBy(part_col, length_col).agg(F.count("*").alias("n"))
     before = Window.partitionBy(length_col).orderBy(part_col).rowsBetween(Window.unboundedPreceding, 0)
-    firsts = store.table(counts.select(part_col, length_col, "n", (F.sum("n").over(before) - F.col("n")).alias("first")))
-    histogram = {r[0]: r[1] for r in firsts.groupBy(length_col).agg(F.sum("n")).collect()}  # at most capacity rows
+    firsts = store.table(counts.select(F.col(part_col).alias("part"), F.col(length_col).alias("length"), "n", (F.sum("n").over(before) - F.col("n")).alias("first")))
+    histogram = {r[0]: r[1] for r in firsts.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
     sent = spark.sparkContext.broadcast(runs(plan(histogram, capacity)))  # bounded by the distinct lengths
-    joined = pieces.join(firsts.drop("n"), [part_col, length_col])
-    rest = [c for c in joined.columns if c not in (part_col, rank_col, "first")]
+    rest = [c for c in pieces.columns if c not in (part_col, rank_col)]
 
-    def place(batches):
+    def place(mine: pa.Table, starts: pa.Table) -> pa.Table:
+        """The pieces of one part; ``starts``: the rank of its first piece of each length, at most capacity rows."""
         r = sent.value
         span = int(r["rank"].max(initial=0)) + 1
         key = r["length"] * span + r["rank"]
-        for b in batches:
-            length = b.column(length_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = b.column("first").to_numpy(zero_copy_only=False) + b.column(rank_col).to_numpy(zero_copy_only=False)
-            k = np.searchsorted(key, length * span + np.minimum(rank, span - 1), side="right") - 1
-            d = rank - r["rank"][k]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(r["sequence"][k] + d // r["same"][k]), pa.array(r["offset"][k] + d % r["same"][k] * length)], names=[*rest, "sequence_id", "offset"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*rest).schema)
-    return joined.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
+        length = mine.column(length_col).to_numpy().astype(np.int64)
+        first = np.zeros(capacity + 1, dtype=np.int64)
+        first[starts.column("length").to_numpy()] = starts.column("first").to_numpy()
+        rank = first[length] + mine.column(rank_col).to_numpy()
+        k = np.searchsorted(key, length * span + np.minimum(rank, span - 1), side="right") - 1
+        d = rank - r["rank"][k]
+        return mine.select(rest).append_column("sequence_id", pa.array(r["sequence"][k] + d // r["same"][k])).append_column("offset", pa.array(r["offset"][k] + d % r["same"][k] * length))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*rest).schema)
+    return pieces.groupBy(part_col).cogroup(firsts.groupBy("part")).applyInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
