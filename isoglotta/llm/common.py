@@ -48,6 +48,20 @@ def sweep() -> None:
             _LIVE.pop(path, None)
 
 
+def watch(df: DataFrame, path: str) -> DataFrame:
+    """Delete ``path`` once no plan can read the files that ``df`` reads there."""
+    sc, leaves = df.sparkSession.sparkContext, df._jdf.queryExecution().analyzed().collectLeaves()
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    files = next(x.relation().location() for x in map(leaves.apply, range(leaves.size())) if x.nodeName().startswith("LogicalRelation") and path.split("/")[-1] in x.relation().location().rootPaths().mkString())
+
+    def drop():
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+    _LIVE[path] = jvm.java.lang.ref.WeakReference(files), drop
+    return df
+
+
 @atexit.register
 def _end() -> None:
     for path in list(_LIVE):
@@ -67,18 +81,15 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/isoglotta-{spark.sparkContext.applicationId}"
         sweep()
 
-    def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
+    def folder(self) -> str:
+        """A path of its own, for files that ``watch`` then ties to their readers."""
         sweep()
-        path, sc = f"{self.root}/{uuid.uuid4().hex}", self.spark.sparkContext
-        df.write.option("compression", compression).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-
-        def drop():
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        return f"{self.root}/{uuid.uuid4().hex}"
 
-        _LIVE[path] = jvm.java.lang.ref.WeakReference(out._jdf.queryExecution().analyzed().relation().location()), drop
+    def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
+        path = self.folder()
+        df.write.option("compression", compression).parquet(path)
+        out = watch(self.spark.read.schema(df.schema).parquet(path), path)
         out._isoglotta_path = path
         return out
 

@@ -2,22 +2,25 @@
 
 A shard is one self-contained byte string, little-endian throughout:
 
-    "FRVB", u32 number of documents, u64 number of ids, u32 number of distinct ids,
-    the distinct ids by falling frequency in the shard (u32 each; ties by id),
+    "FRV2", u32 part, u32 place in the part, u64 ids in earlier shards of the part,
+    u32 number of documents, u64 number of ids, u32 number of distinct ids,
+    a byte for each document (1: it has an id), the document ids (i64 each),
     the number of ids of each document (u32 each),
+    the distinct ids by falling frequency in the shard (u32 each; ties by id),
     control bytes (two bits a value, four values a byte: its length in bytes less one),
     data bytes (each id's rank, 1 to 4 bytes).
 
 Frequent ids have ranks under 256 and take one byte. Decoding looks every control byte up in a table of
 256 x 4 lengths and gathers all values with numpy; no value is handled on its own.
 
-Documents are range-partitioned and sorted by id, so shards follow each other in ascending order; ranks
-are of the shard, so no pass over the corpus comes before. A shard holds about ``shard_ids`` ids and at
-least one document. Shards are stored through Spark's writer (one row each), so any store that Spark
-writes will do; ``encode_shard`` and ``decode_shard`` are the format itself.
+A set of files is a folder that the caller names: ``shards`` (one shard a row, in parts) and ``index`` (the ids
+before each part), both stored through Spark's writer, so any store that Spark writes will do. Documents are
+range-partitioned and sorted by id, so parts and shards follow each other in ascending order; ranks are of the shard,
+so no pass over the corpus comes before. A shard holds about ``shard_ids`` ids and at least one document.
+``encode_shard`` and ``decode_shard`` are the format itself.
 
 Null texts count as empty (only the end id); rows with a null id come first, rows that repeat an id stay
-next to each other, ordered by text. Other columns are ignored.
+next to each other, ordered by text. Ids must be integers. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, read, watch
 from .tokenization import cached_tokenizer, public_path
 
-MAGIC, HEAD = b"FRVB", struct.Struct("<4sIQI")
+MAGIC, HEAD = b"FRV2", struct.Struct("<4sIIQIQI")
 #: Lengths of the four values that each control byte describes.
 LENGTHS = np.array([[1 + (b >> 2 * k & 3) for k in range(4)] for b in range(256)], dtype=np.uint8)
 
@@ -62,33 +65,61 @@ def decode_values(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarr
     return out
 
 
-def encode_shard(docs: list[np.ndarray]) -> bytes:
-    """One shard of documents' ids."""
-    ids = np.concatenate(docs).astype(np.uint32) if docs else np.empty(0, dtype=np.uint32)
+def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids by falling frequency, rank of every id)."""
+    if len(ids) and int(ids.max()) < 1 << 22:  # a vocabulary's ids: count them without sorting
+        counts = np.bincount(ids)
+        distinct = np.flatnonzero(counts)
+        table = distinct[np.lexsort((distinct, -counts[distinct]))]
+        rank = np.zeros(len(counts), dtype=np.uint32)
+        rank[table] = np.arange(len(table), dtype=np.uint32)
+        return table, rank[ids]
     distinct, where, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((distinct, -counts))
     rank = np.empty(len(order), dtype=np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    control, data = encode_values(rank[where.reshape(-1)])
-    sizes = np.array([len(d) for d in docs], dtype="<u4")
-    return b"".join((HEAD.pack(MAGIC, len(docs), len(ids), len(distinct)), distinct[order].astype("<u4").tobytes(), sizes.tobytes(), control.tobytes(), data.tobytes()))
+    return distinct[order], rank[where.reshape(-1)]
 
 
-def decode_shard(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all documents in turn, ids per document)."""
-    magic, docs, count, distinct = HEAD.unpack_from(blob)
+def encode_shard(docs: list[np.ndarray], names: list[int | None], part: int = 0, seq: int = 0, before: int = 0) -> bytes:
+    """One shard of documents' ids."""
+    ids = np.concatenate(docs).astype(np.uint32, copy=False) if docs else np.empty(0, dtype=np.uint32)
+    table, rank = ranked(ids)
+    control, data = encode_values(rank)
+    head = HEAD.pack(MAGIC, part, seq, before, len(docs), len(ids), len(table))
+    has = np.array([n is not None for n in names], dtype=np.uint8)
+    known, sizes = np.array([n or 0 for n in names], dtype="<i8"), np.array([len(d) for d in docs], dtype="<u4")
+    return b"".join((head, *(x.tobytes() for x in (has, known, sizes, table.astype("<u4"), control, data))))
+
+
+def shard_head(blob: bytes) -> tuple[int, int, int, int]:
+    """(part, place in the part, ids before it in the part, ids)."""
+    magic, part, seq, before, _, count, _ = HEAD.unpack_from(blob)
     if magic != MAGIC:
         raise ValueError("not a token-id shard")
+    return part, seq, before, count
+
+
+def decode_shard(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[int | None]]:
+    """(ids of all documents in turn, ids per document, document ids)."""
+    shard_head(blob)
+    *_, docs, count, distinct = HEAD.unpack_from(blob)
     at = HEAD.size
-    table = np.frombuffer(blob, "<u4", distinct, at)
-    sizes = np.frombuffer(blob, "<u4", docs, at := at + 4 * distinct)
-    raw = np.frombuffer(blob, np.uint8, offset=at + 4 * docs)
+    has = np.frombuffer(blob, np.uint8, docs, at)
+    known = np.frombuffer(blob, "<i8", docs, at := at + docs)
+    sizes = np.frombuffer(blob, "<u4", docs, at := at + 8 * docs)
+    table = np.frombuffer(blob, "<u4", distinct, at := at + 4 * docs)
+    raw = np.frombuffer(blob, np.uint8, offset=at + 4 * distinct)
     n_control = -(-count // 4)
-    return table[decode_values(raw[:n_control], raw[n_control:], count)] if count else np.empty(0, dtype=np.uint32), sizes
+    ids = table[decode_values(raw[:n_control], raw[n_control:], count)] if count else np.empty(0, dtype=np.uint32)
+    return ids, sizes, [n if h else None for n, h in zip(known.tolist(), has.tolist())]
 
 
-def write_token_files(docs: DataFrame, store: Scratch, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 20) -> DataFrame:
-    """The table of shards: part, seq, before (ids of the part's earlier shards), n_ids, doc_ids, shard."""
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 20) -> None:
+    """Write the files of ``docs`` to the folder ``path``, which must not exist."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids must be integers, not {kind}")
 
     def encode(batches):
         from pyspark import TaskContext
@@ -99,14 +130,14 @@ def write_token_files(docs: DataFrame, store: Scratch, tokenizer_path: str, id_c
 
         def shard():
             nonlocal seq, before, size, names, held
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([encode_shard(held)], pa.binary())], names=["part", "seq", "before", "n_ids", "doc_ids", "shard"])
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([encode_shard(held, names, part, seq, before)], pa.binary())], names=["part", "n_ids", "shard"])
             seq, before, size, names, held = seq + 1, before + size, 0, [], []
             return row
 
         for b in batches:
-            for name, text in zip(b.column(0), b.column(1)):
+            for name, text in zip(b.column(0).to_pylist(), b.column(1)):
                 held.append(np.frombuffer(tok.ids(text.as_py()) + end, "<u4"))
-                names.append(name.as_py())
+                names.append(name)
                 size += len(held[-1])
                 if size >= shard_ids:
                     yield shard()
@@ -114,31 +145,36 @@ def write_token_files(docs: DataFrame, store: Scratch, tokenizer_path: str, id_c
             yield shard()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    return store.table(ordered.mapInArrow(encode, "part int, seq int, before bigint, n_ids bigint, doc_ids array<bigint>, shard binary"), "none")
+    ordered.mapInArrow(encode, "part int, n_ids bigint, shard binary").write.option("compression", "none").parquet(f"{path}/shards")
+    sizes = docs.sparkSession.read.parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")  # a row a part
+    sizes.select("part", before.alias("start")).coalesce(1).write.parquet(f"{path}/index")
 
 
-def read_token_files(shards: DataFrame) -> DataFrame:
-    """Per document: doc_id, start (ids of all documents before), n_tokens, ids_crc32; decoded from the shards.
+def read_token_files(spark: SparkSession, path: str, broadcast_parts: int = 1_000_000) -> DataFrame:
+    """Per document: doc_id, start (ids of all documents before), n_tokens, ids_crc32; all from the shards but the start of their part.
 
-    Offsets of parts come from one row for each part, so what is broadcast is bounded by their number.
+    The index has a row for each part; it is broadcast up to ``broadcast_parts`` of them, else joined.
     """
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    starts = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("part_start"))
+    index = spark.read.schema("part int, start bigint").parquet(f"{path}/index")
+    shards = spark.read.schema("part int, n_ids bigint, shard binary").parquet(f"{path}/shards")
 
     def decode(batches):
         for b in batches:
-            for start, doc_ids, shard in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                ids, sizes = decode_shard(shard.as_py())
+            for part_start, shard in zip(b.column(0).to_pylist(), b.column(1)):
+                blob = shard.as_py()
+                ids, sizes, names = decode_shard(blob)
                 ends = np.cumsum(sizes, dtype=np.int64)
                 raw = ids.astype("<u4")
                 crc = [zlib.crc32(raw[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - sizes, pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                start = part_start + shard_head(blob)[2] + ends - sizes
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    joined = shards.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("before")).alias("start"), "doc_ids", "shard")
-    return joined.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    starts = F.broadcast(index) if index.count() <= broadcast_parts else index
+    return shards.join(starts, "part").select("start", "shard").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = Scratch(spark)
-    shards = write_token_files(read(spark, sf_dir, "documents"), store, public_path("byte_bpe_50k.json"))
-    return read_token_files(shards)
+    folder = Scratch(spark).folder()
+    write_token_files(read(spark, sf_dir, "documents"), folder, public_path("byte_bpe_50k.json"))
+    return watch(read_token_files(spark, folder), folder)

@@ -202,8 +202,20 @@ def test_chunks_join_to_the_text(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=40), max_size=8))
 def test_shards_round_trip(lists):
-    ids, sizes = token_files.decode_shard(token_files.encode_shard([np.array(x, dtype=np.uint32) for x in lists]))
-    assert ids.tolist() == [v for x in lists for v in x] and sizes.tolist() == [len(x) for x in lists]
+    names = [None if len(x) % 3 == 2 else len(x) - 9 for x in lists]
+    blob = token_files.encode_shard([np.array(x, dtype=np.uint32) for x in lists], names, 3, 4, 1 << 40)
+    ids, sizes, got = token_files.decode_shard(blob)
+    assert ids.tolist() == [v for x in lists for v in x] and sizes.tolist() == [len(x) for x in lists] and got == names
+    assert token_files.shard_head(blob) == (3, 4, 1 << 40, len(ids))
+
+
+def test_ranks_of_small_and_large_ids():
+    ids = RNG.integers(0, 50, 500).astype(np.uint32)
+    for x in (ids, ids + np.uint32(1 << 31)):
+        table, rank = token_files.ranked(x)
+        assert (table[rank] == x).all()
+        n = Counter(x.tolist())
+        assert table.tolist() == sorted(n, key=lambda v: (-n[v], v))
 
 
 def test_values_of_every_width():
@@ -212,19 +224,22 @@ def test_values_of_every_width():
     assert len(data) == 1 + 1 + 2 + 2 + 3 + 3 + 4 + 4 + 1 and token_files.decode_values(control, data, len(v)).tolist() == v.tolist()
 
 
-def test_token_files_of_documents(spark):
-    from isoglotta.llm.common import Scratch
-
-    texts = ODD + [prose(int(n)) for n in RNG.integers(1, 200, 40)] + ["<|endoftext|> a", "a\n\nb  c", "don't  stop\r\n"]
-    store = Scratch(spark)
-    shards = token_files.write_token_files(docs(spark, texts).repartition(3), store, public_path("byte_bpe_50k.json"), shard_ids=500)
-    got = {r["doc_id"]: tuple(r)[1:] for r in token_files.read_token_files(shards).collect()}
-    t, at = CachedTokenizer(public_path("byte_bpe_50k.json")), 0
-    for i, x in enumerate(texts):
+def test_token_files_of_documents(spark, tmp_path):
+    texts = ODD + [prose(int(n)) for n in RNG.integers(1, 200, 40)] + ["<|endoftext|> a", "a\n\nb  c", "don't  stop\r\n", "m " * 300_000]
+    d = docs(spark, texts).unionByName(docs(spark, ["z", None]).withColumn("doc_id", F.lit(None).cast("bigint"))).unionByName(docs(spark, ["again"]))
+    rows = sorted([(i, x) for i, x in enumerate(texts)] + [(None, "z"), (None, None), (0, "again")], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    token_files.write_token_files(d.repartition(3), str(tmp_path / "f"), public_path("byte_bpe_50k.json"), shard_ids=500)
+    got = sorted((tuple(r) for r in token_files.read_token_files(spark, str(tmp_path / "f")).collect()), key=lambda r: r[1])
+    t, at, want = CachedTokenizer(public_path("byte_bpe_50k.json")), 0, []
+    for i, x in rows:
         b = t.whole(x or "") + np.array([2], "<u4").tobytes()
-        assert got[i] == (at, len(b) // 4, zlib.crc32(b))
+        want.append((i, at, len(b) // 4, zlib.crc32(b)))
         at += len(b) // 4
-    assert shards.count() > 3
+    assert got == want and spark.read.parquet(str(tmp_path / "f/shards")).count() > 3
+    token_files.write_token_files(d.limit(0), str(tmp_path / "e"), public_path("byte_bpe_50k.json"))
+    assert token_files.read_token_files(spark, str(tmp_path / "e")).count() == 0
+    with pytest.raises(TypeError):
+        token_files.write_token_files(d.withColumn("doc_id", F.lit("x")), str(tmp_path / "s"), public_path("byte_bpe_50k.json"))
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
