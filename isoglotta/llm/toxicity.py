@@ -9,13 +9,17 @@ dictionaries turns the counts into a score.
 
 Training. Ordinary dictionary: zstandard's trainer over windows of ordinary rows. Toxic dictionary: the
 spans of toxic rows' words whose byte 5-grams are over-represented by number of distinct texts
-(``min_ratio``), frequent ones last, which is where matches are cheapest. Labelled rows are drawn by a hash of their id, at
-most about ``max_toxic`` and ``max_ordinary`` rows of at most ``max_chars`` characters, so the driver's
-share of the work is bounded. Everything else runs over all rows and whole texts, without a shuffle.
+(``min_ratio``), frequent ones last, which is where matches are cheapest; ``spans="trained"`` leaves the
+choice to zstandard's trainer instead. Labelled rows are drawn by a hash of their id, at most about ``max_toxic``
+and ``max_ordinary`` of them (and never more than twice the two bounds); of a text of more than ``max_chars`` characters a stretch of that length is
+read, at a place that the id's hash gives. The ordinary dictionary is trained on at most ``max_windows`` windows; either
+dictionary has at most ``size`` bytes. So the driver's share of the work is bounded. Everything
+else runs over all rows and whole texts, without a shuffle, in groups of ``GROUP`` windows however long a text is.
 
 Null and empty texts have no window and get the score of no evidence. Rows with a null label teach
 nothing; of several labels of a document the larger counts. Without toxic training rows all scores are 0.
-Labels of ids that the documents lack are ignored, and so are other columns.
+Labels of ids that the documents lack are ignored, and so are other columns. Repeated rows are scored each; of an
+id's rows the least text teaches. A null id is scored and not held out.
 """
 
 from __future__ import annotations
@@ -34,14 +38,17 @@ from .common import read
 
 #: A run that text hardly holds; before each window and at the dictionaries' end, so that no window is stored raw.
 PAD = b"~#~#~~##~~#~#~## "
-GRAM, LEVELS = 5, 4
+GRAM, LEVELS, GROUP = 5, 4, 20_000
 
 
-def windows(text: str | None, words: int = 4) -> list[bytes]:
-    w = (text or "").lower().encode("utf-8", "surrogatepass").split()
+def windows_of(w: list[bytes], words: int) -> list[bytes]:
     return [PAD + b" ".join(w[i : i + words]) + b" " for i in range(0, len(w), words)]
 
 
+def windows(text: str | None, words: int = 4) -> list[bytes]:
+    return windows_of((text or "").lower().encode("utf-8", "surrogatepass").split(), words)
+
+
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
@@ -67,27 +74,27 @@ def margins(model: Model, flat: list[bytes]) -> np.ndarray:
 
 def features(model: Model, texts) -> np.ndarray:
     """Per text: 1, log of 1 + windows with a margin of at least 1, 2, ..., log of 1 + windows."""
-    out, flat, ends = np.zeros((len(texts), LEVELS + 2)), [], []
-
-    def flush(first: int):
-        m = margins(model, flat)
-        at = 0
-        for k, e in enumerate(ends):
-            own = m[at:e]
-            out[first + k] = (1, *(np.log1p((own >= t).sum()) for t in range(1, LEVELS + 1)), np.log1p(e - at))
-            at = e
+    counts, flat, parts = np.zeros((len(texts), LEVELS + 1)), [], []
+
+    def flush():
+        m, at = margins(model, flat), 0
+        for i, n in parts:
+            own = m[at : at + n]
+            counts[i] += (*((own >= t).sum() for t in range(1, LEVELS + 1)), n)
+            at += n
         flat.clear()
-        ends.clear()
+        parts.clear()
 
-    first = 0
     for i, t in enumerate(texts):
-        flat += windows(t, model.words)
-        ends.append(len(flat))
-        if len(flat) > 20_000:
-            flush(first)
-            first = i + 1
-    flush(first)
-    return out
+        words = (t or "").lower().encode("utf-8", "surrogatepass").split()
+        for at in range(0, len(words), model.words * GROUP):
+            own = windows_of(words[at : at + model.words * GROUP], model.words)
+            flat += own
+            parts.append((i, len(own)))
+            if len(flat) >= GROUP:
+                flush()
+    flush()
+    return np.concatenate([np.ones((len(texts), 1)), np.log1p(counts)], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -126,7 +133,14 @@ def contrast_spans(toxic: list[bytes], ordinary: list[bytes], min_ratio: float,
     return [s for s, _ in sorted(spans.items(), key=lambda x: (x[1], x[0]))]
 
 
-def fit(rows: list[tuple[str, int]], prior: float | None = None, words: int = 4, min_ratio: float = 15, min_share: float = 0.02, size: int = 32_768) -> Model:
+def _trained(samples: list[bytes], size: int) -> bytes:
+    try:
+        return z.train_dictionary(size, samples).as_bytes()
+    except z.ZstdError:  # the trainer needs more samples; then the text itself is the dictionary
+        return b"".join(samples)[-size:]
+
+
+def fit(rows: list[tuple[str, int]], prior: float | None = None, words: int = 4, min_ratio: float = 15, min_share: float = 0.02, size: int = 32_768, max_windows: int = 60_000, spans: str = "contrast") -> Model:
     """Fit on (text, label) rows: two thirds make the dictionaries, one third the calibration. ``prior``: the share of toxic rows."""
     rows = sorted({(t or "", int(y)) for t, y in rows})
     rng = np.random.default_rng(7)
@@ -137,19 +151,19 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None, words: int = 4,
         return Model(b"", b"", (-50.0 if not toxic else 50.0, *[0.0] * (LEVELS + 1)), words)
     made = [x[: max(1, 2 * len(x) // 3)] for x in (toxic, ordinary)]
     low = [[b" " + b" ".join(t.lower().encode("utf-8", "surrogatepass").split()) + b" " for t in x] for x in made]
-    spans = b"\n".join(contrast_spans(*low, min_ratio, min_share))[-size // 2 :] + b"\n"
     flat = [w[len(PAD) - 1 :] for t in made[1] for w in windows(t, words)]
-    flat = [flat[i] for i in rng.permutation(len(flat))[:60_000]]
-    try:
-        base = z.train_dictionary(size, flat).as_bytes()
-    except z.ZstdError:  # the trainer needs more samples; then the text itself is the dictionary
-        base = b"".join(flat)[-size:]
-    model = Model(base, spans, (), words)
+    base = _trained([flat[i] for i in rng.permutation(len(flat))[:max_windows]], size)
+    if spans == "trained":
+        bad = [w[len(PAD) - 1 :] for t in made[0] for w in windows(t, words)]
+        toxic_dict = _trained([bad[i] for i in rng.permutation(len(bad))[:max_windows]], size)
+    else:
+        toxic_dict = b"\n".join(contrast_spans(*low, min_ratio, min_share))[-size // 2 :] + b"\n"
+    model = Model(base, toxic_dict, (), words)
     rest = [x[len(m) :] or m for x, m in zip((toxic, ordinary), made)]
     y = np.array([1] * len(rest[0]) + [0] * len(rest[1]))
     share = prior if prior is not None else len(toxic) / len(rows)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return Model(base, spans, tuple(logistic(features(model, rest[0] + rest[1]), y, weight).tolist()), words)
+    return Model(base, toxic_dict, tuple(logistic(features(model, rest[0] + rest[1]), y, weight).tolist()), words)
 
 
 def score(model: Model, texts) -> np.ndarray:
@@ -160,15 +174,17 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_ordinary: int = 4000, max_chars: int = 30_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_ordinary: int = 4000, max_chars: int = 30_000, **fit_options) -> Model:
     """Fit on a bounded hash sample of the labelled rows that aren't held out."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~F.coalesce(held_out(), F.lit(False)))
     n = {r["t"]: r["n"] for r in usable.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     cut = F.when(F.col("toxic") > 0, min(1.0, max_toxic / max(1, n.get(True, 0)))).otherwise(min(1.0, max_ordinary / max(1, n.get(False, 0))))
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cut * (1 << 20)).limit(2 * (max_toxic + max_ordinary))
-    few = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(drawn), "doc_id")  # at most twice the bounds
+    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cut * (1 << 20)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * (max_toxic + max_ordinary))
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1).cast("int") + 1
+    few = docs.select("doc_id", F.substring("text", start, F.lit(max_chars)).alias("text")).join(F.broadcast(drawn), "doc_id")  # drawn: at most twice the bounds
+    few = few.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # an id's repeated rows count once
     rows = [(r["text"], int(r["toxic"] > 0)) for r in few.select("text", "toxic").collect()]
-    return fit(rows, n.get(True, 0) / max(1, sum(n.values())))
+    return fit(rows, n.get(True, 0) / max(1, sum(n.values())), **fit_options)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
