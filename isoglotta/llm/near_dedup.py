@@ -9,10 +9,13 @@ Candidates are compared in rounds, and no bucket is ever expanded into all its p
 
 1. In each bucket every member is paired with the most central one (one pair a member): that whose
    buckets are largest. What many copies derive from is central, and joins them at once.
-2. Members of a bucket that are still in different components are compared, in blocks of about ``block`` x
-   ``block`` members a task that hold signatures and sets, so no pair leaves a task but a verified link, at most
-   one for each join of two components there. Pairs within a component can't change the result and are skipped,
-   and a pair that shares several buckets is compared in its first. So every candidate pair that could matter is looked at.
+2. Members of a bucket that are still in different components are compared. A bucket of more than ``block`` members
+   is first split by further bands: its members meet only where one of ``FINE`` bands of four other minima agrees too. A pair at
+   the threshold agrees in none with probability (1 - 0.85**4)**23 = 4e-8; texts that share no more than what
+   made the bucket hot mostly part. What is left is compared in blocks of about ``block`` x ``block`` members a task
+   that hold signatures and sets, so no pair leaves a task but a verified link, at most one for each join of two
+   components there. Pairs within a component can't change the result and are skipped, and a pair that shares several
+   buckets (or finer bands of one) is compared in its first. So every candidate pair that could matter is looked at.
 
 A comparison takes signature batches one after another and stops when the posterior probability that the
 similarity reaches the threshold (uniform prior; a binomial tail) falls below ``miss``. Survivors are
@@ -25,7 +28,8 @@ table in the shared folder. Hot keys (a bucket's leader, a class) sit in joins t
 splits, and are pre-aggregated where grouped.
 
 Null or wordless texts have an empty set and are linked with nothing. Rows that repeat an id are one
-document of that id. A null id is linked with nothing and gets a null component. Other columns are ignored.
+document of that id, with the links of any of its texts. A null id is linked with nothing and gets a null component.
+Ids may have any type that sorts. Other columns are ignored. ``keep_one`` keeps one of rows that repeat id and text.
 """
 
 from __future__ import annotations
@@ -76,6 +80,19 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+#: Bands of four minima for splitting hot buckets.
+FINE = 23
+
+
+def fine_keys(sig: np.ndarray) -> np.ndarray:
+    """Keys above 0 of the finer bands: every value once but the first eight."""
+    with np.errstate(over="ignore"):
+        x = np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for j in range(4):
+            x = mix(x + sig[K - 4 * FINE :].reshape(FINE, 4)[:, j])
+    return (x >> np.uint64(1)).astype(np.int64) | np.int64(1)
+
+
 def least_matches(n: int, threshold: float, miss: float) -> int:
     """Fewest matches of n for which P(similarity >= threshold) is at least ``miss`` (uniform prior)."""
     tail = 0.0
@@ -133,12 +150,12 @@ def _matrix(column) -> np.ndarray:
 
 
 def block_links(key, ids, comp, chunk, sig, sets, percent, bounds):
-    """Verified links (a, b) between components in one block (bucket, chunk i, chunk j): at most one for each two components joined."""
-    bucket, left, right = key
-    sizes, names = np.array([len(x) for x in sets]), sorted(set(comp.tolist()))
-    keys = np.stack([band_keys(g) for g in sig])
-    number = {c: i for i, c in enumerate(names)}
-    own, top = np.array([number[c] for c in comp.tolist()]), np.arange(len(names))
+    """Verified links (a, b) between components in one block (bucket, finer key or 0, chunk i, chunk j): at most one for each two components joined."""
+    bucket, fine, left, right = key
+    sizes, number = np.array([len(x) for x in sets]), {}
+    own = np.array([number.setdefault(c, len(number)) for c in comp])
+    top = np.arange(len(number))
+    keys, finer = np.stack([band_keys(g) for g in sig]), np.stack([fine_keys(g) for g in sig]) if fine else None
     shingles, where = np.unique(np.concatenate(sets), return_inverse=True)
     parts = np.split(where.reshape(-1), np.cumsum(sizes)[:-1])
     mark, out = np.zeros(len(shingles), dtype=np.int64), []
@@ -146,9 +163,10 @@ def block_links(key, ids, comp, chunk, sig, sets, percent, bounds):
     for x in np.flatnonzero(chunk == left).tolist():
         y = others[others > x] if left == right else others
         y = y[(top[own[y]] != top[own[x]]) & sizes_fit(sizes[y], sizes[x], percent)]
-        if len(y):
-            first = (sig[y] == sig[x]).reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            y = y[keys[x][first] == bucket]
+        for bands, here in ((keys, bucket), (finer, fine)):  # is this the first place where the pair meets?
+            if len(y) and here:
+                first = (bands[y] == bands[x]).argmax(axis=1)
+                y = y[bands[x][first] == here]
         if len(y):
             y = y[survivors(np.broadcast_to(sig[x], (len(y), K)), sig[y], bounds)]
         if not len(y):
@@ -161,26 +179,25 @@ def block_links(key, ids, comp, chunk, sig, sets, percent, bounds):
             if p != q:
                 top[top == q] = p
                 out.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
-    a = np.array(out, dtype=np.int64).reshape(-1, 2)
-    return a[:, 0], a[:, 1]
+    return out
 
 
 def components(edges: DataFrame, store: Scratch) -> DataFrame:
     """id and comp (smallest id reachable) of every id with an edge. Columns of ``edges``: a, b."""
     both = store.table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = store.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
+    held = store.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
     while True:
+        label = held.select("id", "comp")
         near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("comp").alias("m"))
-        step = label.join(near, label["id"] == near["a"]).select("id", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
-        step = store.table(step)
+        step = store.table(label.join(near, label["id"] == near["a"]).select("id", F.least("comp", "m").alias("comp"), F.col("comp").alias("was")))
         up = step.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
         new = store.table(step.join(up, "comp").select("id", F.least("comp", "top").alias("comp"), "was"))
-        moved = new.where("comp <> was").isEmpty()
-        store.release(label)
+        done = new.where("comp <> was").isEmpty()
+        store.release(held)
         store.release(step)
-        label = new.select("id", "comp")
-        if moved:
-            return label
+        held = new
+        if done:
+            return held.select("id", "comp")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, miss: float = 1e-5, block: int = 256) -> DataFrame:
@@ -242,21 +259,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = held.where("m > 2").join(led.withColumnRenamed("leader", "id"), ["bucket", "id"], "left_anti").join(label, "id", "left")
     rest = store.table(rest.select("bucket", "id", "m", F.coalesce("comp", "id").alias("comp")))
     open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    still = store.table(rest.join(open_, "bucket").select("bucket", F.lit(0).cast("long").alias("fine"), "id", "m", "comp"))
+
+    def refine(batches):
+        for t in batches:
+            sig = _matrix(t.column("sig"))
+            finer = np.concatenate([fine_keys(g) for g in sig]) if len(sig) else np.empty(0, dtype=np.int64)
+            yield t.select(["bucket", "id", "comp"]).take(pa.array(np.repeat(np.arange(t.num_rows), FINE))).append_column("fine", pa.array(finer))
+
+    hot = still.where(F.col("m") > block)
+    if hot.isEmpty():
+        places = still
+    else:
+        finer = store.table(hot.join(members.select("id", "sig"), "id").select("bucket", "id", "comp", "sig").mapInArrow(refine, f"bucket bigint, id {kind}, comp {kind}, fine bigint"))
+        met = finer.groupBy("bucket", "fine").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "fine", "m")
+        places = still.where(F.col("m") <= block).unionByName(finer.join(met, ["bucket", "fine"]).select("bucket", "fine", "id", "m", "comp"))
     chunks = F.ceil(F.col("m") / block).cast("int")
-    dealt = rest.join(open_, "bucket").select("bucket", "id", "comp", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o"))
-    placed = dealt.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "comp").join(members, "id")
-    ordered = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = places.select("bucket", "fine", "id", "comp", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o"))
+    placed = dealt.select("bucket", "fine", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "comp").join(members, "id")
+    group_by = ("bucket", "fine", "i", "j")
+    ordered = placed.repartition(*group_by).sortWithinPartitions(*group_by)
 
     def across(batches):
         held_rows, key = [], None
 
         def group():
             t = pa.Table.from_batches(held_rows)
-            a, b = block_links(key, t.column("id").to_numpy(), t.column("comp").to_numpy(), t.column("c").to_numpy(), _matrix(t.column("sig")), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("items")], percent, bounds)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            kept = block_links(key, t.column("id").to_pylist(), t.column("comp").to_pylist(), t.column("c").to_numpy(), _matrix(t.column("sig")), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("items")], percent, bounds)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], t.schema.field("id").type) for k in (0, 1)], names=["a", "b"])
 
         for t in batches:
-            k = np.stack([t.column(x).to_numpy().astype(np.int64) for x in ("bucket", "i", "j")], axis=1)
+            k = np.stack([t.column(x).to_numpy().astype(np.int64) for x in group_by], axis=1)
             cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
             for s, e in zip(cuts, cuts[1:]):
                 if s == e:
@@ -270,8 +303,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held_rows:
             yield group()
 
-    wanted = ordered.select("bucket", "i", "j", "c", F.col("id").cast("long").alias("id"), F.col("comp").cast("long").alias("comp"), "sig", "items")
-    found = store.table(wanted.mapInArrow(across, "a bigint, b bigint").distinct())
+    wanted = ordered.select(*group_by, "c", "id", "comp", "sig", "items")
+    found = store.table(wanted.mapInArrow(across, f"a {kind}, b {kind}").distinct())
     if not found.isEmpty():
         label = components(links.unionByName(found), store)
 
@@ -284,8 +317,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay (one document of each component), all columns kept. Rows without an id stay."""
     groups = near_groups(docs, id_col, text_col)
-    gone = groups.where(~F.col("kept")).select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    gone = groups.where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col)
+    rest = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
+    if again.isEmpty():
+        return rest
+    plain = [c for c in docs.columns if c not in (id_col, text_col)]
+    one = rest.join(again, id_col, "left_semi").groupBy(id_col, F.struct(text_col).alias("_t")).agg(F.first(F.struct(F.lit(0), *plain)).alias("_row"))
+    return rest.join(again, id_col, "left_anti").select(docs.columns).unionByName(one.select(id_col, "_t.*", *(F.col("_row")[c].alias(c) for c in plain)).select(docs.columns))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
