@@ -39,16 +39,20 @@ ODD = [None, "", " \n\t ", "a", "A", "é", "É", "x" * 9000, "日本 語", "tab\
 # 1 chat
 
 
+def by_md5(x):
+    return x[0], x[1], hashlib.md5(x[2].encode()).hexdigest()
+
+
 def brute_chat(rows):
     by = defaultdict(list)
     for c, turn, role, text in rows:
         by[c].append(((turn is not None, turn or 0), role or "", text or "", -1 if turn is None else turn // 64))
     out = {}
     for c, turns in by.items():
-        turns.sort(key=lambda x: x[:3])
+        turns.sort(key=by_md5)
         for who in {r for _, r, _, _ in turns if r != "system"}:
             at, parts = 0, defaultdict(lambda: [None, 0, "", []])
-            for _, role, text, part in sorted(turns, key=lambda x: (x[3], x[:3])):
+            for _, role, text, part in sorted(turns, key=lambda x: (x[3], by_md5(x))):
                 head = "<|im_start|>system\n" if role == "system" else "<|im_start|>assistant\n" if role == who else f"<|im_start|>user name={role}\n"
                 seg, p = head + text + "<|im_end|>\n", parts[part]
                 p[0] = at if p[0] is None else p[0]
@@ -74,6 +78,26 @@ def test_chat_rotation(spark):
     assert chat_format.rotate(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows_per_part", [4, 10])
+def test_hot_parts_are_cut_into_pieces_in_order(spark, rows_per_part):
+    rows = [(None, None, None, None)] * 23 + [(None, None, "ann", f"w{i % 30}") for i in range(70)] + [(None, 3, "bob", "one text")] * 15 + [(None, 3, f"p{i}", "x") for i in range(6)]
+    rows += [(1, i, "ann", "a") for i in range(5)] + [(2, 0, "system", "s"), (2, 1, "cy", "<|im_end|>")]
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = defaultdict(list)
+    for r in chat_format.rotate(d, rows_per_part=rows_per_part).collect():
+        assert r["n_turns"] <= rows_per_part * 3
+        got[r["conv_id"], r["perspective"], r["part"]].append((r["piece"], r["char_start"], r["n_turns"], r["rendered"], r["masks"]))
+    joined = {}
+    for k, pieces in got.items():
+        pieces.sort()
+        at = pieces[0][1]
+        for _, start, _, rendered, _ in pieces:
+            assert start == at
+            at += len(rendered)
+        joined[k] = (pieces[0][1], sum(p[2] for p in pieces), "".join(p[3] for p in pieces), ",".join(p[4] for p in pieces if p[4]))
+    assert joined == brute_chat(rows) and max(len(p) for p in got.values()) > 5
+
+
 # 2 packing
 
 
