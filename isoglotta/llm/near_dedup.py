@@ -9,13 +9,10 @@ Candidates are compared in rounds, and no bucket is ever expanded into all its p
 
 1. In each bucket every member is paired with the most central one (one pair a member): that whose
    buckets are largest. What many copies derive from is central, and joins them at once.
-2. Members of a bucket that are still in different components are compared. A bucket of more than ``block`` members
-   is first split by further bands: its members meet only where one of ``FINE`` bands of four other minima agrees too. A pair at
-   the threshold agrees in none with probability (1 - 0.85**4)**23 = 4e-8; texts that share no more than what
-   made the bucket hot mostly part. What is left is compared in blocks of about ``block`` x ``block`` members a task
-   that hold signatures and sets, so no pair leaves a task but a verified link, at most one for each join of two
-   components there. Pairs within a component can't change the result and are skipped, and a pair that shares several
-   buckets (or finer bands of one) is compared in its first. So every candidate pair that could matter is looked at.
+2. Members of a bucket that are still in different components are compared, in blocks of about ``block`` x
+   ``block`` members a task that hold signatures and sets, so no pair leaves a task but a verified link, at most
+   one for each join of two components there. Pairs within a component can't change the result and are skipped,
+   and a pair that shares several buckets is compared in its first. So every candidate pair that could matter is looked at.
 
 A comparison takes signature batches one after another and stops when the posterior probability that the
 similarity reaches the threshold (uniform prior; a binomial tail) falls below ``miss``. Survivors are
@@ -80,19 +77,6 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-#: Bands of four minima for splitting hot buckets.
-FINE = 23
-
-
-def fine_keys(sig: np.ndarray) -> np.ndarray:
-    """Keys above 0 of the finer bands: every value once but the first eight."""
-    with np.errstate(over="ignore"):
-        x = np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        for j in range(4):
-            x = mix(x + sig[K - 4 * FINE :].reshape(FINE, 4)[:, j])
-    return (x >> np.uint64(1)).astype(np.int64) | np.int64(1)
-
-
 def least_matches(n: int, threshold: float, miss: float) -> int:
     """Fewest matches of n for which P(similarity >= threshold) is at least ``miss`` (uniform prior)."""
     tail = 0.0
@@ -150,12 +134,12 @@ def _matrix(column) -> np.ndarray:
 
 
 def block_links(key, ids, comp, chunk, sig, sets, percent, bounds):
-    """Verified links (a, b) between components in one block (bucket, finer key or 0, chunk i, chunk j): at most one for each two components joined."""
-    bucket, fine, left, right = key
+    """Verified links (a, b) between components in one block (bucket, chunk i, chunk j): at most one for each two components joined."""
+    bucket, left, right = key
     sizes, number = np.array([len(x) for x in sets]), {}
     own = np.array([number.setdefault(c, len(number)) for c in comp])
     top = np.arange(len(number))
-    keys, finer = np.stack([band_keys(g) for g in sig]), np.stack([fine_keys(g) for g in sig]) if fine else None
+    keys = np.stack([band_keys(g) for g in sig])
     shingles, where = np.unique(np.concatenate(sets), return_inverse=True)
     parts = np.split(where.reshape(-1), np.cumsum(sizes)[:-1])
     mark, out = np.zeros(len(shingles), dtype=np.int64), []
@@ -163,10 +147,9 @@ def block_links(key, ids, comp, chunk, sig, sets, percent, bounds):
     for x in np.flatnonzero(chunk == left).tolist():
         y = others[others > x] if left == right else others
         y = y[(top[own[y]] != top[own[x]]) & sizes_fit(sizes[y], sizes[x], percent)]
-        for bands, here in ((keys, bucket), (finer, fine)):  # is this the first place where the pair meets?
-            if len(y) and here:
-                first = (bands[y] == bands[x]).argmax(axis=1)
-                y = y[bands[x][first] == here]
+        if len(y):  # is this the first bucket that the pair shares?
+            first = (keys[y] == keys[x]).argmax(axis=1)
+            y = y[keys[x][first] == bucket]
         if len(y):
             y = y[survivors(np.broadcast_to(sig[x], (len(y), K)), sig[y], bounds)]
         if not len(y):
@@ -259,25 +242,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = held.where("m > 2").join(led.withColumnRenamed("leader", "id"), ["bucket", "id"], "left_anti").join(label, "id", "left")
     rest = store.table(rest.select("bucket", "id", "m", F.coalesce("comp", "id").alias("comp")))
     open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    still = store.table(rest.join(open_, "bucket").select("bucket", F.lit(0).cast("long").alias("fine"), "id", "m", "comp"))
-
-    def refine(batches):
-        for t in batches:
-            sig = _matrix(t.column("sig"))
-            finer = np.concatenate([fine_keys(g) for g in sig]) if len(sig) else np.empty(0, dtype=np.int64)
-            yield t.select(["bucket", "id", "comp"]).take(pa.array(np.repeat(np.arange(t.num_rows), FINE))).append_column("fine", pa.array(finer))
-
-    hot = still.where(F.col("m") > block)
-    if hot.isEmpty():
-        places = still
-    else:
-        finer = store.table(hot.join(members.select("id", "sig"), "id").select("bucket", "id", "comp", "sig").mapInArrow(refine, f"bucket bigint, id {kind}, comp {kind}, fine bigint"))
-        met = finer.groupBy("bucket", "fine").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "fine", "m")
-        places = still.where(F.col("m") <= block).unionByName(finer.join(met, ["bucket", "fine"]).select("bucket", "fine", "id", "m", "comp"))
     chunks = F.ceil(F.col("m") / block).cast("int")
-    dealt = places.select("bucket", "fine", "id", "comp", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o"))
-    placed = dealt.select("bucket", "fine", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "comp").join(members, "id")
-    group_by = ("bucket", "fine", "i", "j")
+    dealt = rest.join(open_, "bucket").select("bucket", "id", "comp", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o"))
+    placed = dealt.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "comp").join(members, "id")
+    group_by = ("bucket", "i", "j")
     ordered = placed.repartition(*group_by).sortWithinPartitions(*group_by)
 
     def across(batches):
