@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import functools
 import os
-import sys
-from array import array
+import struct
 
 import numpy as np
 import regex
 
 #: White space as Unicode and the tokenizers see it.
-_ODD = regex.compile(r"[\x00\x1c-\x1f]|\s\s|^\s|\s$")
+_ODD = regex.compile(r"[\x00\x1c-\x1f]|\s\s|^ $|^[^\S\n ]|\s(?<!\n)$")
 _SPLIT_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPLIT_BYTE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -39,10 +38,9 @@ class CachedTokenizer:
         self.tok, self.limit, self.new, self.old = Tokenizer.from_file(path), limit, {}, {}
         self.model, letters = self.tok.model, _byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
+        self.coded = [struct.pack("<I", i) for i in range(self.tok.get_vocab_size())]
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         normalizer, pre = type(self.tok.normalizer).__name__, type(self.tok.pre_tokenizer).__name__
-        if sys.byteorder != "little" or array("I").itemsize != 4:
-            normalizer = "other"
         self.kind = {("Sequence", "Sequence"): "word", ("NoneType", "ByteLevel"): "byte"}.get((normalizer, pre), "")
         if self.kind and not self._agrees():
             self.kind = ""
@@ -57,31 +55,43 @@ class CachedTokenizer:
 
     def piece(self, p: str) -> bytes:
         """Ids of one piece; Latin-1 pieces take the vocabulary's own split, and their parts share the cache."""
-        if not p.isascii():
+        if p.isascii():
+            if self.kind == "word":
+                p = p.lower()
+            body = p[1:] if p[0] == " " else p
+            if body.isalpha():
+                return self._model(p)
+            if p[-1] in ".,;:!?" and body[:-1].isalpha():
+                return self._part(p[:-1]) + self._part(p[-1])
+        else:
             try:
                 p.encode("latin-1")
             except UnicodeEncodeError:
                 return self.whole(p)
-        if self.kind == "word":
-            low = p.lower()
-            if len(low) != len(p) or not p.isprintable():
-                return self.whole(p)
-        else:
-            low = p
+        low = p.lower() if self.kind == "word" else p
+        if self.kind == "word" and (len(low) != len(p) or not p.isprintable()):
+            return self.whole(p)
         body = low[1:] if low[0] == " " else low
         if body.isalpha():
-            parts = [low]
-        elif body[:-1].isalpha() and body[-1] in ".,;:!?":
-            parts = [low[:-1], low[-1]]
-        else:
-            parts = (_SPLIT_WORD if self.kind == "word" else _SPLIT_BYTE).findall(low)
-        if parts == [p]:
-            return self._model(p)
-        return b"".join([self.new.get(x) or self.old.get(x) or self._keep(x, self._model(x)) for x in parts])
+            return self._part(low)
+        if body[:-1].isalpha() and body[-1] in ".,;:!?":
+            return self._part(low[:-1]) + self._part(low[-1])
+        return b"".join(map(self._part, (_SPLIT_WORD if self.kind == "word" else _SPLIT_BYTE).findall(low)))
+
+    def _part(self, x: str) -> bytes:
+        v = self.new.get(x)
+        if v is None:
+            v = self.old.get(x)
+            v = self._keep(x, self._model(x) if v is None else v)
+        return v
 
     def _model(self, x: str) -> bytes:
-        s = x if x.isascii() and x[0] != " " and x.isprintable() else x.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
+        if x.isascii() and x.isprintable():
+            s = self.letters[32] + x[1:] if x[0] == " " else x
+        else:
+            s = x.encode().decode("latin-1").translate(self.letters)
+        found = self.model.tokenize(s)
+        return self.coded[found[0].id] if len(found) == 1 else b"".join([self.coded[t.id] for t in found])
 
     def _keep(self, p: str, v: bytes) -> bytes:
         if len(p) < 64:
@@ -90,24 +100,28 @@ class CachedTokenizer:
             self.new[p] = v
         return v
 
-    def _get(self, p: str) -> bytes:
-        return self._keep(p, self.old.get(p) or self.piece(p))
-
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.kind or any(s in text for s in self.special) or self.kind == "byte" and _ODD.search(text):
+        if not self.kind or any(s in text for s in self.special):
             return self.whole(text)
         if self.kind == "word":
             pieces = text.replace("\n", " ").split(" ")
-        else:
+        else:  # white space beside other white space shows as an empty piece or a lone space; neither is ever kept
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         out = list(map(self.new.get, pieces))
-        for i in [i for i, v in enumerate(out) if v is None]:
-            if p := pieces[i]:
-                out[i] = self.new.get(p) or self._get(p)
-            else:
-                out[i] = b""
+        places = [i for i, v in enumerate(out) if v is None]
+        if not places:
+            return b"".join(out)
+        found, wanted = {"": b""}, {pieces[i] for i in places}
+        if self.kind == "byte" and ("" in wanted or any(map(_ODD.search, wanted))):
+            return self.whole(text)
+        for p in wanted:
+            if p:
+                v = self.old.get(p)
+                found[p] = self._keep(p, self.piece(p) if v is None else v)
+        for i in places:
+            out[i] = found[pieces[i]]
         return b"".join(out)
 
 
