@@ -19,6 +19,7 @@ from isoglotta.operators import cells as C
 from isoglotta.operators import encode as E
 from isoglotta.operators import geo as G
 from isoglotta.operators import impute as I
+from isoglotta.operators import lookup as L
 from isoglotta.operators import models as M
 from isoglotta.operators import recon as X
 from isoglotta.operators import rules as RU
@@ -745,6 +746,62 @@ def sample_dialects(spark, sf):
     return D.Dataset(readings(spark, sf)).sample(6, seed=1).data
 
 
+# lookups, numbering and splits by count
+
+
+@query("SELECT ps.l_orderkey, ps.l_linenumber, CAST(o.event_id AS VARCHAR) AS event_id FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem) ps LEFT JOIN (SELECT user_id, event_id % 100 AS k, min(event_id) AS event_id FROM events GROUP BY ALL) o ON o.user_id = ps.l_suppkey AND o.k = ps.l_partkey % 100")
+def composite_lookup(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("user_id"), (F.col("l_partkey") % 100).alias("k"))
+    known = table(spark, sf, "events").groupBy("user_id", (F.col("event_id") % 100).alias("k")).agg(F.min("event_id").alias("v"))
+    return L.lookup(lines, known, ["user_id", "k"], "v", "event_id").select("l_orderkey", "l_linenumber", F.col("event_id").cast("string").alias("event_id"))
+
+
+@query("""WITH d AS (SELECT p_partkey, p_brand, p_type, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END AS label FROM part), t AS (SELECT p_brand, p_type, min(p_partkey) AS label FROM part WHERE p_size < 20 GROUP BY ALL)
+SELECT p_partkey, CAST(coalesce(d.label, t.label) AS VARCHAR) AS label FROM d LEFT JOIN t USING (p_brand, p_type)""")
+def fill_labels(spark, sf):
+    p = table(spark, sf, "part")
+    t = p.where("p_size < 20").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("label"))
+    return L.fill_from(p.select("p_partkey", "p_brand", "p_type", F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey")).alias("label")), t, ["p_brand", "p_type"], "label").select("p_partkey", F.col("label").cast("string").alias("label"))
+
+
+@query(f"WITH {READ} SELECT did, cid, seq, n_name FROM r LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) n ON CAST(n.n_nationkey AS VARCHAR) = did")
+def attach_info(spark, sf):
+    info = table(spark, sf, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").cast("string").alias("did"), "n_name", "n_regionkey")
+    return L.attach(readings(spark, sf), info, "did", ["n_name", "n_regionkey"]).select("did", "cid", "seq", "n_name")
+
+
+@query("SELECT 'nation' AS dataset, n_name AS name, row_number() OVER (ORDER BY n_name) - 1 AS did FROM nation UNION ALL SELECT 'supplier', s_name, row_number() OVER (ORDER BY s_name) - 1 + (SELECT count(*) FROM nation) FROM supplier")
+def concat_numbered(spark, sf):
+    n, s = table(spark, sf, "nation").select(F.col("n_name").alias("name")), table(spark, sf, "supplier").select(F.col("s_name").alias("name"))
+    return L.concat_numbered(["name"], nation=n, supplier=s).select("dataset", "name", "did")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS number FROM customer")
+def number_rows(spark, sf):
+    return L.numbered(table(spark, sf, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"], ranges=16).select("c_custkey", "number")
+
+
+@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def keep_first(spark, sf):
+    return L.keep_first(table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+_HASH = "CAST('0x' || substr(md5(CAST({} AS VARCHAR) || '#0'), 1, 8) AS BIGINT)"
+
+
+@query(f"""WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source), e AS (SELECT source, n * 50 / sum(n) OVER () AS t, n * 30 / sum(n) OVER () AS v FROM n),
+s AS (SELECT source, floor(t) + CASE WHEN row_number() OVER (ORDER BY round(t - floor(t), 9) DESC, source) <= 50 - sum(floor(t)) OVER () THEN 1 ELSE 0 END AS t, floor(v) + CASE WHEN row_number() OVER (ORDER BY round(v - floor(v), 9) DESC, source) <= 30 - sum(floor(v)) OVER () THEN 1 ELSE 0 END AS v FROM e),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_HASH.format('doc_id')}, doc_id) AS r FROM documents)
+SELECT doc_id, CASE WHEN r <= t THEN 'test' WHEN r <= t + v THEN 'val' ELSE 'train' END AS part FROM r JOIN s USING (source)""")
+def split_counts(spark, sf):
+    return L.split_counts(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", "source", 50, 30).select("doc_id", "part")
+
+
+@query(f"WITH d AS (SELECT DISTINCT c_custkey FROM customer) SELECT c_custkey, CAST(CASE WHEN row_number() OVER (ORDER BY {_HASH.format('c_custkey')}, c_custkey) <= (SELECT count(*) FROM d) // 2 THEN 1 ELSE 2 END AS INTEGER) AS half FROM d")
+def random_halves(spark, sf):
+    return L.halves(table(spark, sf, "customer"), "c_custkey")
+
+
 # numerics without SQL: tests hold them against numpy
 
 
@@ -753,7 +810,7 @@ def _halves(spark, sf):
 
     A glyph is a name and a brand among 2,000 parts: the names alone are so few that in larger tables no glyph has one reading.
     """
-    c = cells(spark, sf).localCheckpoint()  # read for each step of the alignment
+    c = cells(spark, sf).persist()  # read for each step of the alignment
     name = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("cid"), F.concat_ws(" ", "p_name", "p_brand", F.floor(F.col("p_partkey") / 2000).cast("string")).alias("glyph"))
     out = []
     for i in (1, 2):
