@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -232,3 +235,22 @@ def day_of_year_repair(x: Column) -> Column:
     """A tone that was turned into a date (y年m月d日) is its day of the year; '.0' at the end goes."""
     day = F.dayofyear(F.try_to_timestamp(x, F.lit("y年M月d日")))
     return F.regexp_replace(F.when(F.rlike(x, F.lit(r"^\d+年\d+月\d+日$")), day.cast("string")).otherwise(x), r"\.0$", "")
+
+
+def convert_script(x: Column, chars: dict[str, str], phrases: dict[str, str] | None = None) -> Column:
+    """Script conversion by dictionaries that the caller brings: phrases first (the longest one at each place), then single characters.
+
+    Without phrases it is one translation in the JVM; with them one pattern finds all phrases and each match is looked up.
+    """
+    single = {k: v for k, v in chars.items() if len(k) == 1 and len(v) == 1}
+    one = F.translate(x, "".join(single), "".join(single.values())) if single else x
+    if not phrases:
+        return one
+    pattern = re.compile("|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p))) + "|.", re.S)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        swap = lambda m: phrases.get(m[0]) or chars.get(m[0], m[0])
+        return texts.map(lambda t: None if t is None else pattern.sub(swap, t))
+
+    return run(x)

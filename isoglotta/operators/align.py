@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .geo import upgma
 from .impute import token_weights
+from .lookup import concat_numbered, fill_from, halves, lookup, numbered
 
 MAX_FEATURES = 6000
 
@@ -77,6 +78,117 @@ def embed(weights: Sequence[DataFrame], train: DataFrame, size: int = 10) -> lis
     return out
 
 
+def base_embeddings(cells: DataFrame, na_threshold: float = 0.5, size: int = 10) -> DataFrame:
+    """(cid, e0..) of every character: its readings projected on the first singular vectors (not centred) of the characters of
+    which a share below ``na_threshold`` of the columns is missing."""
+    w = token_weights(cells)
+    all_columns = cells.select("col").distinct().count()
+    known = cells.where(F.coalesce("value", F.lit("")) != "").groupBy("cid").agg(F.countDistinct("col").alias("n"))
+    train = w.join(known.where((1 - F.col("n") / all_columns) < na_threshold).select("cid"), "cid", "left_semi")
+    features = train.select("col", "token").distinct().limit(MAX_FEATURES + 1).toPandas().sort_values(["col", "token"]).reset_index(drop=True)
+    if not 0 < len(features) <= MAX_FEATURES:
+        raise ValueError(f"{len(features)} features; 1 to {MAX_FEATURES} are possible")
+    number = {k: i for i, k in enumerate(features.itertuples(index=False, name=None))}
+    other = train.select("cid", *(F.col(c).alias(f"_{c}") for c in ("col", "token", "w")))
+    gram = train.join(other, "cid").groupBy("col", "token", "_col", "_token").agg(F.sum(F.col("w") * F.col("_w")).alias("g")).toPandas()
+    g = np.zeros((len(features), len(features)))
+    for a, b, c, d, v in gram.itertuples(index=False, name=None):
+        g[number[a, b], number[c, d]] = v
+    value, vector = np.linalg.eigh(g)
+    v = vector[:, np.argsort(-value)[:size]]
+    table = pd.DataFrame(v, columns=[f"p{k}" for k in range(v.shape[1])]).assign(col=features.col, token=features.token)
+    joined = w.join(F.broadcast(cells.sparkSession.createDataFrame(table)), ["col", "token"])  # at most MAX_FEATURES rows
+    found = joined.groupBy("cid").agg(*(F.sum(F.col("w") * F.col(f"p{k}")).alias(f"e{k}") for k in range(v.shape[1])))
+    return cells.select("cid").distinct().join(found, "cid", "left").fillna(0.0)
+
+
+def align_no_cid(cells: DataFrame, chars: DataFrame, data: DataFrame, to_simplified, to_traditional, na_threshold: float = 0.5, size: int = 10) -> DataFrame:
+    """(did, seq, label, simplified, traditional): the base character of every reading of localities without character ids.
+
+    ``cells``: base cells (cid, col, value). ``chars``: cid (integer), simplified, traditional (or none: then simplified forms decide).
+    ``data``: did, seq, character, initial, final, tone; did and seq name a reading. A locality in which fewer than three
+    characters change when simplified is written in simplified characters. Null labels: the base lacks the character.
+    """
+    e = base_embeddings(cells, na_threshold, size).persist()
+    vectors = e.select(F.col("cid").cast("long").alias("position"), F.array(*(c for c in e.columns if c != "cid")).alias("v"))
+    simple = to_simplified(F.col("character"))
+    script = data.groupBy("did").agg((F.count_if(F.col("character") != simple) < 3).alias("is_simple"))
+    d = data.join(script, "did").withColumn("simplified", F.when(F.col("is_simple"), F.col("character")).otherwise(simple)).withColumn("traditional", F.when(F.col("is_simple"), to_traditional(F.col("character"))).otherwise(F.col("character")))
+    both = "traditional" in chars.columns
+    by_trad = ~F.col("is_simple") if both else F.lit(False)
+    # spellings of the two scripts are kept apart by a mark
+    d = d.withColumn("glyph", F.when(by_trad, F.concat(F.lit("t"), "traditional")).otherwise(F.concat(F.lit("s"), "simplified")))
+    spell = lambda m, c: chars.where(F.col(c).isNotNull()).select(F.col("cid").cast("long").alias("position"), F.concat(F.lit(m), c).alias("glyph"))
+    listed = spell("s", "simplified").unionByName(spell("t", "traditional")) if both else spell("s", "simplified")
+    tokens = F.filter(F.array(*(F.concat(F.lit(c + "="), F.col(c)) for c in ("initial", "final", "tone"))), lambda t: t.isNotNull() & ~t.endswith("="))
+    found = annotate(vectors, listed, d.select("did", F.col("seq").alias("cid"), F.coalesce("glyph", F.lit("")).alias("glyph"), tokens.alias("tokens")))
+    found = found.select("did", F.col("cid").alias("seq"), F.when(F.col("position") >= 0, F.col("position")).alias("label"))
+    return d.select("did", "seq", "simplified", "traditional").join(found, ["did", "seq"]).select("did", "seq", "label", "simplified", "traditional")
+
+
+def extend_characters(chars: DataFrame, labels: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
+    """(characters, labels): spellings without a label become new characters from ``start`` on, in order, and label their readings."""
+    new = labels.where("label IS NULL AND simplified IS NOT NULL AND traditional IS NOT NULL").select("simplified", "traditional").distinct()
+    new = numbered(new, ["simplified", "traditional"], "label", start)
+    return chars.unionByName(new.withColumnRenamed("label", "cid"), allowMissingColumns=True), fill_from(labels, new, ["simplified", "traditional"], "label")
+
+
+def unify(with_ids: dict[str, DataFrame], without_ids: dict[str, DataFrame], glyphs: dict[str, DataFrame], to_simplified, to_traditional, size: int = 10) -> dict[str, DataFrame]:
+    """The tables of an alignment job: charmap, characters, dialects, readings.
+
+    Readings: did, cid (if the dataset has ids), character, initial, final, tone, seq. ``glyphs``: cid, character of the datasets with ids.
+    charmap: dataset, cid, label. characters: cid (new), simplified, traditional, character. dialects: dataset, original_did, did.
+    readings: dataset, did (new), cid (new), initial, final, tone.
+    """
+    names = list(with_ids)
+    melted = [cells_of(d).persist() for d in with_ids.values()]  # read at every step
+    listed = reduce(DataFrame.unionByName, (glyphs[n].select(F.lit(i).alias("ds"), "cid", to_simplified(F.col("character")).alias("glyph")) for i, n in enumerate(names, 1)))
+    found = align([m.select("cid", "col", "value") for m in melted], listed, size).persist()
+    charmap = reduce(DataFrame.unionByName, (found.where(F.col("ds") == i).join(glyphs[n].select("cid", "character"), "cid").select(F.lit(n).alias("dataset"), "cid", "label", F.col("glyph").alias("simplified"), F.col("character").alias("traditional")) for i, n in enumerate(names, 1)))
+    chars = charmap.groupBy(F.col("label").alias("cid")).agg(F.min("simplified").alias("simplified"), F.min("traditional").alias("traditional"))
+    dialects = concat_numbered(["original_did"], **{n: d.select(F.col("did").alias("original_did")).distinct() for n, d in (with_ids | without_ids).items()})
+    out = []
+    for n, d in with_ids.items():
+        own = charmap.where(F.col("dataset") == n).select("cid", F.col("label").alias("new"))
+        out.append(d.join(own, "cid").select(F.lit(n).alias("dataset"), "did", F.col("new").alias("cid"), "initial", "final", "tone"))
+    if without_ids:
+        base = reduce(DataFrame.unionByName, (m.join(charmap.where(F.col("dataset") == n).select("cid", "label"), "cid").select(F.col("label").alias("cid"), F.concat_ws("/", F.lit(n), "col").alias("col"), "value") for n, m in zip(names, melted)))
+        base = base.groupBy("cid", "col").agg(F.concat_ws(" ", F.array_sort(F.collect_set("value"))).alias("value"))
+        rows = reduce(DataFrame.unionByName, (d.select(F.struct(F.lit(n).alias("dataset"), "did").alias("did"), "seq", "character", "initial", "final", "tone") for n, d in without_ids.items()))
+        keyed = rows.withColumn("did", F.to_json("did"))
+        labels = align_no_cid(base.persist(), chars, keyed, to_simplified, to_traditional, size=size).persist()
+        top = chars.agg(F.max("cid")).first()[0]
+        chars, labels = extend_characters(chars, labels, 0 if top is None else top + 1)
+        told = keyed.join(labels.select("did", "seq", "label"), ["did", "seq"]).where("label IS NOT NULL").withColumn("at", F.from_json("did", "dataset string, did string"))
+        out.append(told.select("at.dataset", F.col("at.did").alias("did"), F.col("label").alias("cid"), "initial", "final", "tone"))
+    key = dialects.select("dataset", F.col("original_did").alias("did"), F.col("did").alias("new"))
+    readings = lookup(reduce(DataFrame.unionByName, out), key, ["dataset", "did"], "new", "_new").withColumn("did", F.col("_new")).drop("_new")
+    # persisted frames are the caller's to free: they back all four tables
+    return {"charmap": charmap, "characters": chars.withColumn("character", F.coalesce("traditional", "simplified")), "dialects": dialects, "readings": readings}
+
+
+def cells_of(readings: DataFrame) -> DataFrame:
+    """(cid, col, value): a column for each locality and element; a cell's distinct readings in order."""
+    x = F.explode(F.array(*(F.struct(F.lit(e).alias("e"), F.col(e).alias("v")) for e in ("initial", "final", "tone"))))
+    d = readings.where("did IS NOT NULL AND cid IS NOT NULL").select("did", "cid", x.alias("x")).where("x.v IS NOT NULL")
+    return d.groupBy("cid", F.concat_ws("/", "did", "x.e").alias("col")).agg(F.concat_ws(" ", F.array_sort(F.collect_set("x.v"))).alias("value"))
+
+
+def evaluate(readings: DataFrame, chars: DataFrame, seed: int = 0, size: int = 10) -> DataFrame:
+    """One row: accuracy, correct, total of polyphones if the localities, in two random halves, are aligned as if ids were unknown.
+
+    ``readings``: did, cid, initial, final, tone. ``chars``: cid, character. A reading counts if its character has
+    several ids and both halves have this one.
+    """
+    half = halves(readings, "did", seed)
+    parts = [readings.join(half.where(F.col("half") == i), "did", "left_semi") for i in (1, 2)]
+    listed = reduce(DataFrame.unionByName, (chars.join(d.select("cid").distinct(), "cid", "left_semi").select(F.lit(i).alias("ds"), "cid", F.col("character").alias("glyph")) for i, d in enumerate(parts, 1)))
+    labels = align([cells_of(d).persist() for d in parts], listed, size).persist()
+    several = chars.join(chars.groupBy("character").agg(F.count("*").alias("n")).where("n > 1"), "character", "left_semi").select("cid")
+    a, b = (labels.where(F.col("ds") == i).join(several, "cid", "left_semi").select("cid", "label") for i in (1, 2))
+    return accuracy(a, b, ["cid"])
+
+
 def unit(e: DataFrame) -> DataFrame:
     """(cid, v): embeddings of length one (zero ones stay zero)."""
     cols = [c for c in e.columns if c != "cid"]
@@ -88,16 +200,27 @@ def half_square(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / 2
 
 
-def polyphone_distance(glyphs: DataFrame, embeddings: Sequence[DataFrame]) -> DataFrame:
+#: Distances of two vectors by name; embeddings are made unit vectors for the first.
+METRICS = {
+    "cosine": half_square,
+    "euclidean": lambda a, b: F.sqrt(2 * half_square(a, b)),
+    "sqeuclidean": lambda a, b: 2 * half_square(a, b),
+    "cityblock": lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x),
+    "chebyshev": lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y))),
+}
+
+
+def polyphone_distance(glyphs: DataFrame, embeddings: Sequence[DataFrame], metric: str = "cosine") -> DataFrame:
     """(glyph, ds1, cid1, ds2, cid2, distance): readings of the same glyph in two datasets, ds1 < ds2.
 
-    ``glyphs``: glyph, ds, cid. Distance: half the squared distance of unit embeddings (cosine distance; 0.5 if one is zero).
+    ``glyphs``: glyph, ds, cid. Cosine distance is half the squared distance of unit embeddings (0.5 if one is zero).
     """
-    all_ = reduce(DataFrame.unionByName, (unit(e).withColumn("ds", F.lit(i)) for i, e in enumerate(embeddings, 1)))
+    whole = lambda e: e.select("cid", F.array(*(c for c in e.columns if c != "cid")).alias("v"))
+    all_ = reduce(DataFrame.unionByName, ((unit if metric == "cosine" else whole)(e).withColumn("ds", F.lit(i)) for i, e in enumerate(embeddings, 1)))
     r = glyphs.join(all_, ["ds", "cid"])
     a = r.select("glyph", F.col("ds").alias("ds1"), F.col("cid").alias("cid1"), F.col("v").alias("v1"))
     b = r.select(F.col("glyph").alias("g2"), F.col("ds").alias("ds2"), F.col("cid").alias("cid2"), F.col("v").alias("v2"))
-    return a.join(b, (F.col("glyph") == F.col("g2")) & (F.col("ds1") < F.col("ds2"))).select("glyph", "ds1", "cid1", "ds2", "cid2", half_square("v1", "v2").alias("distance"))
+    return a.join(b, (F.col("glyph") == F.col("g2")) & (F.col("ds1") < F.col("ds2"))).select("glyph", "ds1", "cid1", "ds2", "cid2", METRICS[metric]("v1", "v2").alias("distance"))
 
 
 def cut_tree(d: np.ndarray, threshold: float) -> np.ndarray:
@@ -132,7 +255,7 @@ def cluster(distances: DataFrame, max_distance: float = 10.0, threshold: float =
     return distances.groupBy("glyph").applyInPandas(run, f"glyph string, ds int, cid {kind}, label int")
 
 
-def align(datasets: Sequence[DataFrame], glyphs: DataFrame, size: int = 10, threshold: float = 0.3) -> DataFrame:
+def align(datasets: Sequence[DataFrame], glyphs: DataFrame, size: int = 10, threshold: float = 0.3, metric: str = "cosine") -> DataFrame:
     """(ds, cid, glyph, label): equal labels mean the same reading of the same glyph.
 
     ``datasets``: cells (cid, col, value) of each. ``glyphs``: ds (from 1), cid, glyph. A glyph with one reading in every
@@ -146,12 +269,12 @@ def align(datasets: Sequence[DataFrame], glyphs: DataFrame, size: int = 10, thre
     mono = g.where((F.col("most") == 1) & (F.col("sets") == len(datasets)))
     train = reduce(lambda a, b: a.join(b, "glyph"), (mono.where(F.col("ds") == i).select("glyph", F.col("cid").alias(f"idx{i}")) for i in range(1, len(datasets) + 1)))
     poly = g.where((F.col("most") > 1) & (F.col("sets") > 1)).select("glyph", "ds", "cid")
-    labels = cluster(polyphone_distance(poly, embed(weights, train, size)), threshold=threshold)
+    labels = cluster(polyphone_distance(poly, [e.persist() for e in embed(weights, train, size)], metric), threshold=threshold)
     own = F.row_number().over(Window.partitionBy("ds", "glyph").orderBy("cid")) - 1
     out = g.join(labels.withColumnRenamed("label", "c"), ["glyph", "ds", "cid"], "left")
     split = F.when(F.col("most") == 1, 0).when(F.col("sets") == 1, own).otherwise(F.coalesce("c", F.lit(1_000_000) + F.col("ds") * 1000 + own))
-    text = out.select("ds", "cid", "glyph", F.concat("glyph", F.lit("\0"), split.cast("string")).alias("text"))
-    rank = text.select("text").distinct().withColumn("label", (F.row_number().over(Window.orderBy("text")) - 1).cast("long"))
+    text = out.select("ds", "cid", "glyph", F.concat("glyph", F.lit("\0"), split.cast("string")).alias("text")).persist()  # numbered and joined
+    rank = numbered(text.select("text").distinct(), ["text"], "label")
     return text.join(rank, "text").select("ds", "cid", "glyph", "label")
 
 

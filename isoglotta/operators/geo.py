@@ -37,13 +37,59 @@ def upgma(d: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def leaf_order(d: np.ndarray) -> list[int]:
-    """Leaves of the average-linkage tree, subtrees turned so that neighbours at every joint are as near as the turn allows."""
+    """Leaves of the average-linkage tree, turned so that the sum of distances of neighbours is least.
+
+    For each node and each pair of its outer leaves the best sum is kept (cubic in the leaves); ties go to the first leaves.
+    """
     n = len(d)
-    runs = {i: [i] for i in range(n)}
+    if n < 2:
+        return list(range(n))
+    member, best, how, child = {i: [i] for i in range(n)}, {i: np.zeros((1, 1)) for i in range(n)}, {}, {}
     for k, (a, b, _) in enumerate(upgma(d)):
-        x, y = runs.pop(a), runs.pop(b)
-        runs[n + k] = min(((p + q) for p in (x, x[::-1]) for q in (y, y[::-1])), key=lambda r: d[r[len(x) - 1], r[len(x)]])
-    return next(iter(runs.values())) if runs else []
+        node, x, y = n + k, member[a], member[b]
+        child[node], member[node] = (a, b), x + y
+        size = len(x) + len(y)
+        cost, inner = np.full((size, size), np.inf), np.full((size, size, 2), -1)
+        joint = d[np.ix_(x, y)]
+        # left[i, j]: best over i's far ends m of best[a][i, m] + d[m, j]
+        left = (best[a][:, :, None] + joint[None, :, :])
+        m = left.argmin(axis=1)
+        left = left.min(axis=1)
+        both = left[:, :, None] + best[b][None, :, :]
+        r = both.argmin(axis=1)
+        cost[: len(x), len(x) :] = both.min(axis=1)
+        cost[len(x) :, : len(x)] = cost[: len(x), len(x) :].T
+        inner[: len(x), len(x) :, 1] = r
+        inner[: len(x), len(x) :, 0] = np.take_along_axis(m, r, axis=1)
+        best[node], how[node] = cost, inner
+        del best[a], best[b]
+
+    def walk(node: int, first: int, last: int) -> list[int]:
+        """Leaves of a node from its ``first`` to its ``last`` member (places among its members)."""
+        if node < n:
+            return [node]
+        a, b = child[node]
+        na = len(member[a])
+        if first >= na:
+            return walk(node, last, first)[::-1]
+        m, r = how[node][first, last]
+        return walk(a, first, int(m)) + walk(b, int(r), last - na)
+
+    root = 2 * n - 2
+    first, last = divmod(int(best[root].argmin()), len(member[root]))
+    return walk(root, first, last)
+
+
+def dendrogram(d: np.ndarray, order: list[int] | None = None) -> list[tuple[int, float, float, float, float, float]]:
+    """(merge, x and height of the left part, x and height of the right one, height of the joint); leaf k of the order stands at 10 k + 5."""
+    n, order = len(d), order or leaf_order(d)
+    at = {leaf: (10.0 * k + 5, 0.0) for k, leaf in enumerate(order)}
+    out = []
+    for k, (a, b, h) in enumerate(upgma(d)):
+        (x1, y1), (x2, y2) = sorted((at.pop(a), at.pop(b)))
+        out.append((k, x1, y1, x2, y2, h))
+        at[n + k] = ((x1 + x2) / 2, h)
+    return out
 
 
 def matrix(m: DataFrame) -> tuple[list, np.ndarray]:
@@ -63,6 +109,17 @@ def heatmap_order(m: DataFrame) -> DataFrame:
     return m.sparkSession.createDataFrame([(keys[k], i) for i, k in enumerate(order)], f"id {m.schema['a'].dataType.simpleString()}, place int")
 
 
+def dendro_heat(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((merge, x1, y1, x2, y2, height), (a, b, x, y, value)): the tree's joints and the matrix in leaf order; drawing is left to a plotter."""
+    keys, d = matrix(m)
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    order, spark = leaf_order(d), m.sparkSession
+    kind = m.schema["a"].dataType.simpleString()
+    places = spark.createDataFrame([(keys[k], i) for i, k in enumerate(order)], f"id {kind}, place int")
+    heat = m.join(places.select(F.col("id").alias("a"), F.col("place").alias("x")), "a").join(places.select(F.col("id").alias("b"), F.col("place").alias("y")), "b")
+    return spark.createDataFrame(dendrogram(d, order), "merge int, x1 double, y1 double, x2 double, y2 double, height double"), heat.select("a", "b", "x", "y", "value")
+
+
 def _points(points: DataFrame, value: str, key: str) -> pd.DataFrame:
     ok = points.where(f"lat IS NOT NULL AND lon IS NOT NULL AND `{value}` IS NOT NULL")
     if ok.limit(MAX_POINTS + 1).count() > MAX_POINTS:

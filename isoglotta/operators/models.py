@@ -6,6 +6,9 @@ training step sums gradients over partitions, so the driver sees one gradient a
 
 from __future__ import annotations
 
+import copy
+import json
+from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -45,8 +48,6 @@ class Processor:
         return data
 
     def to_json(self) -> str:
-        import json
-
         return json.dumps({"dialect_vocabs": list(self.dialects.values()), "char_vocabs": list(self.chars.values()), "target_vocabs": list(self.targets.values())}, ensure_ascii=False)
 
 
@@ -89,19 +90,21 @@ class BilinearEncoder:
             out.append(e / e.sum(axis=1, keepdims=True))
         return out
 
-    def gradients(self, d_ids, c_ids, t_ids) -> tuple[dict[str, np.ndarray], float, np.ndarray, np.ndarray]:
-        """(gradient sums, loss sum, correct and counted per target); missing targets are masked."""
+    def gradients(self, d_ids, c_ids, t_ids, weights=None) -> tuple[dict[str, np.ndarray], float, np.ndarray, np.ndarray]:
+        """(gradient sums, loss sum, correct and counted per target); missing targets are masked, targets weigh 1 if no weights are given."""
         d, c = self._mean("d", d_ids), self._mean("c", c_ids)
         out, g = self.transform(d, c), {k: np.zeros_like(v) for k, v in self.p.items()}
         g_out, loss, right, seen = np.zeros_like(out), 0.0, np.zeros(self.n["t"]), np.zeros(self.n["t"])
         for i, p in enumerate(self.probabilities(d_ids, c_ids)):
             y = t_ids[:, i]
             mask = np.ones(len(y), dtype=bool) if self.missing_id is None else y != self.missing_id
-            loss -= np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))[mask].sum()
+            scale = 1.0 if weights is None else weights[i]
+            loss -= scale * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))[mask].sum()
             right[i], seen[i] = (p.argmax(axis=1) == y)[mask].sum(), mask.sum()
             z = p.copy()
             z[np.arange(len(y)), y] -= 1
             z[~mask] = 0
+            z *= scale
             g[f"t{i}"] += z.T @ out
             if f"b{i}" in g:
                 g[f"b{i}"] += z.sum(axis=0)
@@ -127,14 +130,80 @@ class BilinearEncoder:
         kinds = ", ".join(f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keys)
         return encoded.select(*keys, "dialect_ids", "char_ids").mapInPandas(run, f"{kinds}, predicted array<bigint>")
 
-    def _sums(self, encoded: DataFrame):
+    def predict_proba(self, encoded: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """keys and probabilities (for each target an array of its classes')."""
+        sent = encoded.sparkSession.sparkContext.broadcast(self)
+
+        def run(frames):
+            for f in frames:
+                if len(f):
+                    p = sent.value.probabilities(np.stack(f.dialect_ids), np.stack(f.char_ids))
+                    yield f[list(keys)].assign(probabilities=[[x[i].tolist() for x in p] for i in range(len(f))])
+
+        kinds = ", ".join(f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keys)
+        return encoded.select(*keys, "dialect_ids", "char_ids").mapInPandas(run, f"{kinds}, probabilities array<array<double>>")
+
+    def fit_batches(self, train: DataFrame, validate: DataFrame | None = None, target_weights: Sequence[float] | None = None, epochs: int = 20, batch_size: int = 100, rate: float = 0.1, path: str | None = None) -> list[dict]:
+        """Mini-batch training; per epoch a dict of training loss and, with ``validate``, its loss and accuracy.
+
+        In an epoch every partition takes gradient steps over batches of its own rows, starting from the broadcast weights; the results,
+        weighted by rows, are averaged (with one partition that is plain mini-batch descent). With ``path`` the weights and losses of each
+        epoch are written there, and a later call goes on after the last epoch that it finds.
+        """
+        spark, log, first = train.sparkSession, [], 0
+        weights = None if target_weights is None else np.asarray(target_weights, dtype=float)
+        if path is not None and (done := self._epochs(spark, path)):
+            first = max(done)
+            self.load(spark, f"{path}/epoch={first}/weights")
+            log = [{k: v for k, v in r.asDict().items() if v is not None} for r in spark.read.json(f"{path}/epoch={first}/log").orderBy("epoch").collect()]
+        names = sorted(self.p)
+        for epoch in range(first + 1, epochs + 1):
+            sent = spark.sparkContext.broadcast(self)
+
+            def run(frames):
+                m, rows, loss = copy.deepcopy(sent.value), 0, 0.0  # noqa: B023
+                for f in frames:
+                    for at in range(0, len(f), batch_size):
+                        b = f.iloc[at : at + batch_size]
+                        g, own, _, _ = m.gradients(*(np.stack(b[c]) for c in ("dialect_ids", "char_ids", "target_ids")), weights)
+                        for k in m.p:
+                            m.p[k] -= rate * g[k] / len(b)
+                        rows, loss = rows + len(b), loss + own
+                if rows:
+                    yield pd.DataFrame({"w": [np.concatenate([m.p[k].ravel() for k in names]).tobytes()], "n": [rows], "loss": [loss]})
+
+            found = train.select("dialect_ids", "char_ids", "target_ids").mapInPandas(run, "w binary, n bigint, loss double").collect()  # one a partition
+            sent.unpersist()
+            if not found:
+                raise ValueError("no rows to learn from")
+            n = sum(r["n"] for r in found)
+            mean, at = sum(np.frombuffer(bytes(r["w"])) * (r["n"] / n) for r in found), 0
+            for k in names:
+                self.p[k], at = mean[at : at + self.p[k].size].reshape(self.p[k].shape).copy(), at + self.p[k].size
+            log.append({"epoch": epoch, "loss": sum(r["loss"] for r in found) / n})
+            if validate is not None:
+                e = self.evaluate(validate, weights)
+                log[-1] |= {"validation_loss": e["loss"], "validation_accuracy": e["accuracy"]}
+            if path is not None:
+                self.save(spark, f"{path}/epoch={epoch}/weights")
+                spark.createDataFrame([(json.dumps(x),) for x in log], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/epoch={epoch}/log")
+        return log
+
+    @staticmethod
+    def _epochs(spark: SparkSession, path: str) -> list[int]:
+        """Epochs that were written whole: the log comes last."""
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/log/_SUCCESS")
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+        return [int(f.getPath().toString().rsplit("epoch=", 1)[1].split("/")[0]) for f in found]
+
+    def _sums(self, encoded: DataFrame, weights=None):
         sent = encoded.sparkSession.sparkContext.broadcast(self)
 
         def run(frames):
             total = None
             for f in frames:
                 if len(f):
-                    g, loss, right, seen = sent.value.gradients(*(np.stack(f[c]) for c in ("dialect_ids", "char_ids", "target_ids")))
+                    g, loss, right, seen = sent.value.gradients(*(np.stack(f[c]) for c in ("dialect_ids", "char_ids", "target_ids")), weights)
                     own = np.concatenate([g[k].ravel() for k in sorted(g)] + [[loss], right, seen, [len(f)]])
                     total = own if total is None else total + own
             if total is not None:
@@ -162,8 +231,8 @@ class BilinearEncoder:
                 self.p[k] = self.p[k] - rate * 0.1 * step / (np.sqrt(cache[k]) + 1e-8)
         return losses
 
-    def evaluate(self, encoded: DataFrame) -> dict:
-        _, loss, right, seen, n = self._sums(encoded)
+    def evaluate(self, encoded: DataFrame, target_weights: Sequence[float] | None = None) -> dict:
+        _, loss, right, seen, n = self._sums(encoded, None if target_weights is None else np.asarray(target_weights, dtype=float))
         return {"loss": float(loss / n), "accuracy": [float(r / s) if s else float("nan") for r, s in zip(right, seen)]}
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -184,6 +253,32 @@ class LinearChain:
     weights: dict[tuple[str, str], float]
     transitions: dict[tuple[str, str], float]
 
+    @classmethod
+    def train(cls, sequences: list[tuple[list[list[str]], list[str]]], epochs: int = 5) -> "LinearChain":
+        """Averaged perceptron over (features of each place, tags) sequences: after each wrong path the right one's weights rise by 1 and the wrong one's fall."""
+        tags = sorted({t for _, ts in sequences for t in ts})
+        now: dict[str, dict] = {"w": defaultdict(float), "t": defaultdict(float)}
+        total: dict[str, dict] = {"w": defaultdict(float), "t": defaultdict(float)}
+        tagger, seen = cls(tags, now["w"], now["t"]), 0
+
+        def add(kind, key, by):
+            now[kind][key] += by
+            total[kind][key] += by * seen  # what the average lacks of this change
+
+        for _ in range(epochs):
+            for rows, right in sequences:
+                found = tagger.decode(rows)
+                if found != right:
+                    for path, by in ((right, 1.0), (found, -1.0)):
+                        for fs, t in zip(rows, path):
+                            for f in fs:
+                                add("w", (f, t), by)
+                        for a, b in zip(path, path[1:]):
+                            add("t", (a, b), by)
+                seen += 1
+        mean = {kind: {k: v - total[kind][k] / max(1, seen) for k, v in now[kind].items()} for kind in now}
+        return cls(tags, mean["w"], mean["t"])
+
     def decode(self, rows: list[list[str]]) -> list[str]:
         if not rows:
             return []
@@ -200,14 +295,25 @@ class LinearChain:
         return [self.tags[i] for i in reversed(path)]
 
 
-def tag_syllables(data: DataFrame, column: str, tagger: LinearChain, out: str = "tags") -> DataFrame:
-    """Tags of each character, from its features and its neighbours'; decoding is sequential, so it is a pandas function."""
+def train_tagger(data: DataFrame, column: str, tags: str, epochs: int = 5, max_rows: int = 50_000) -> LinearChain:
+    """A tagger from syllables and their tags (array, one a character); at most ``max_rows`` rows, drawn by hash, reach the driver."""
     from isoglotta.functions.phonetics import char_features
 
+    rows = data.where(F.size(tags) == F.length(column)).orderBy(F.xxhash64(column), column).limit(max_rows).select(char_features(F.col(column)).alias("f"), F.col(tags).alias("t")).collect()
+    return LinearChain.train([(feature_rows(r["f"]), list(r["t"])) for r in rows], epochs)
+
+
+def feature_rows(features) -> list[list[str]]:
     names = [f"{p}_{k}" for p in ("before", "own", "after") for k in ("char", "type", "manner")]
+    return [[f"{n}={r[n]}" for n in names if r[n] is not None] for r in features]
+
+
+def tag_syllables(data: DataFrame, column: str, tagger: LinearChain, out: str = "tags") -> DataFrame:
+    """Tags of each character, from its features and its neighbours'; decoding is sequential, so it is a pandas function."""
+    from isoglotta.functions.phonetics import char_features
 
     @F.pandas_udf("array<string>")
     def decode(features: pd.Series) -> pd.Series:
-        return features.map(lambda rows: None if rows is None else tagger.decode([[f"{n}={r[n]}" for n in names if r[n] is not None] for r in rows]))
+        return features.map(lambda rows: None if rows is None else tagger.decode(feature_rows(rows)))
 
     return data.withColumn(out, decode(char_features(F.col(column))))

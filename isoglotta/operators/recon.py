@@ -1,4 +1,4 @@
-"""Reconstruction of proto-classes: most-frequent imputation, decision trees over one-hot readings, class summaries.
+"""Reconstruction of proto-classes: imputation, decision trees over one-hot readings, class summaries.
 
 The character x locality table of a language group fits the driver (``MAX_ROWS`` is checked); the tree is grown there
 with numpy, as all outputs share each split. Its input and its summaries are distributed.
@@ -84,6 +84,84 @@ def impute_frequent(cells: DataFrame) -> DataFrame:
     return grid.join(known, ["cid", "col"], "left").select("cid", "col", F.coalesce("value", "m").alias("value"))
 
 
+def l1_logistic(x: np.ndarray, y: np.ndarray, classes: int, c: float = 1.0, steps: int = 40) -> np.ndarray:
+    """Weights (features x classes, the last row the constant) of multinomial logistic regression with an L1 penalty of strength 1 / c.
+
+    Accelerated proximal gradient steps of the summed loss; the constant isn't penalised. The step is the inverse of a bound on
+    the curvature: half the largest eigenvalue of x'x, from power steps.
+    """
+    x = np.hstack([x, np.ones((len(x), 1))])
+    v = np.ones(x.shape[1])
+    for _ in range(20):
+        v = x.T @ (x @ v)
+        v /= max(np.linalg.norm(v), 1e-12)
+    step = 1 / (0.5 * 1.05 * max(np.linalg.norm(x @ v) ** 2, 1e-12))
+    w = u = np.zeros((x.shape[1], classes))
+    t, target = 1.0, np.eye(classes)[y]
+    for _ in range(steps):
+        z = x @ u
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        new = u - step * (x.T @ (p - target))
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step / c, 0)
+        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        u, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+    return w
+
+
+def impute_logistic(cells: DataFrame, rounds: int = 3, c: float = 1.0, steps: int = 40) -> DataFrame:
+    """(cid, col, value): missing cells start as their column's most frequent value; then, for ``rounds`` rounds and column by column (fewest
+    missing first), they become what L1 logistic regression on all other columns' one-hot values predicts."""
+    n = cells.select("cid").distinct().limit(MAX_ROWS + 1).count()
+    if n > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS} characters")
+    known = cells.where(F.coalesce("value", F.lit("")) != "").toPandas().pivot(index="cid", columns="col", values="value").sort_index()
+    values = {k: sorted(known[k].dropna().unique()) for k in known.columns}
+    code = np.stack([known[k].map({v: i for i, v in enumerate(values[k])}).fillna(-1).to_numpy(dtype=int) for k in known.columns], axis=1)
+    missing = code < 0
+    for j in range(code.shape[1]):
+        code[missing[:, j], j] = np.bincount(code[~missing[:, j], j]).argmax()
+    sizes = [len(values[k]) for k in known.columns]
+    blocks = np.cumsum([0] + sizes)
+    hot = np.zeros((len(code), blocks[-1]))
+    for j in range(code.shape[1]):
+        hot[np.arange(len(code)), blocks[j] + code[:, j]] = 1
+    for _ in range(rounds):
+        for j in sorted(np.flatnonzero(missing.any(axis=0)).tolist(), key=lambda j: (missing[:, j].sum(), j)):
+            gone = missing[:, j]
+            if sizes[j] > 1:
+                others = np.delete(hot, np.s_[blocks[j] : blocks[j + 1]], axis=1)
+                w = l1_logistic(others[~gone], code[~gone, j], sizes[j], c, steps)
+                code[gone, j] = (others[gone] @ w[:-1] + w[-1]).argmax(axis=1)
+            hot[gone, blocks[j] : blocks[j + 1]] = np.eye(sizes[j])[code[gone, j]]
+    filled = pd.DataFrame({"cid": np.repeat(known.index.to_numpy(), code.shape[1]), "col": list(known.columns) * len(code), "value": [values[k][v] for row in code for k, v in zip(known.columns, row)]})
+    return cells.sparkSession.createDataFrame(filled, f"cid {cells.schema['cid'].dataType.simpleString()}, col string, value string")
+
+
+def leaf_values(leaf: np.ndarray, y: np.ndarray, blocks: list[slice]) -> np.ndarray:
+    """Per row and output the place (in its block) of the most frequent value of the row's leaf (ties: the first)."""
+    out = np.zeros((len(leaf), len(blocks)), dtype=int)
+    for k in np.unique(leaf):
+        rows = leaf == k
+        counts = y[rows].sum(axis=0)
+        out[rows] = [int(counts[b].argmax()) if counts[b].size else 0 for b in blocks]
+    return out
+
+
+def denoise(cells: DataFrame, min_leaf: int = 1, min_decrease: float = 0.0001) -> tuple[DataFrame, DataFrame]:
+    """((cid, col, value), (cid, proto)): every cell as the tree over all columns gives it back, and the tree's leaf."""
+    n = cells.select("cid").distinct().limit(MAX_ROWS + 1).count()
+    if n > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS} characters")
+    f = impute_frequent(cells).toPandas().pivot(index="cid", columns="col", values="value").sort_index()
+    x, names, blocks = one_hot(f)
+    leaf = grow(x, x, blocks, min_leaf, min_decrease)
+    kind, spark = cells.schema["cid"].dataType.simpleString(), cells.sparkSession
+    back = [names[b.start + k][1] for row in leaf_values(leaf, x, blocks) for b, k in zip(blocks, row)]
+    long = pd.DataFrame({"cid": np.repeat(f.index.to_numpy(), len(blocks)), "col": list(f.columns) * len(f), "value": back})
+    return spark.createDataFrame(long, f"cid {kind}, col string, value string"), spark.createDataFrame(pd.DataFrame({"cid": f.index, "proto": leaf.astype("int64")}), f"cid {kind}, proto bigint")
+
+
 def reconstruct(cells: DataFrame, min_leaf: int = 3, min_decrease: float = 0.002) -> DataFrame:
     """(cid, proto): leaf of a multi-output tree that predicts all columns from all columns."""
     n = cells.select("cid").distinct().limit(MAX_ROWS + 1).count()
