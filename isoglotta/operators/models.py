@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .encode import make_dict, with_vocabulary
 
@@ -309,11 +310,12 @@ def feature_rows(features) -> list[list[str]]:
 
 
 def tag_syllables(data: DataFrame, column: str, tagger: LinearChain, out: str = "tags") -> DataFrame:
-    """Tags of each character, from its features and its neighbours'; decoding is sequential, so it is a pandas function."""
+    """Tags of each character, from its features and its neighbours'; decoding is sequential, so it runs in pandas batches."""
     from isoglotta.functions.phonetics import char_features
 
-    @F.pandas_udf("array<string>")
-    def decode(features: pd.Series) -> pd.Series:
-        return features.map(lambda rows: None if rows is None else tagger.decode(feature_rows(rows)))
+    def decode(frames):
+        for f in frames:
+            yield f.drop(columns="_features").assign(**{out: [None if r is None else tagger.decode(feature_rows(r)) for r in f["_features"]]})
 
-    return data.withColumn(out, decode(char_features(F.col(column))))
+    schema = data.drop(out).schema.add(out, ArrayType(StringType()))
+    return data.drop(out).withColumn("_features", char_features(F.col(column))).mapInPandas(decode, schema)
