@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, with nulls, empty and long texts, ties and clashing columns."""
 
 import hashlib
+import math
 import os
 import re
 import time
@@ -304,14 +305,119 @@ def test_predictions_sum_to_one(spark):
     assert 0 < total <= 1 + 1e-9
 
 
-def test_seating_follows_its_distribution():
-    keys = np.arange(1, 20001, dtype=np.uint64)
-    d, a, c = 0.5, 1.3, 5
-    t = lm_score.seat(keys, np.full(len(keys), c), np.full(len(keys), a), d, samples=1)
-    s = np.exp(lm_score.log_stirling(d, 8)[c, 1 : c + 1]) * a ** np.arange(1, c + 1)
-    assert np.allclose(np.bincount(t.astype(int), minlength=c + 1)[1:] / len(keys), s / s.sum(), atol=0.02)
-    big = lm_score.seat(keys[:500], np.full(500, 100_000), np.full(500, a), d, samples=1)
-    assert (big >= 1).all() and (big <= 100_000).all() and lm_score.seat(keys[:3], np.array([0, 1, 2]), np.ones(3), d).tolist()[:2] == [0, 1]
+def exact_tables(c, alpha, log_p, d):
+    """Mean and deviation of the number of tables, by the recurrence of the generalised Stirling numbers."""
+    t = np.arange(1, c + 1)
+    logs = lm_score.log_stirling(d, c)[c, 1:] + np.cumsum(np.log(alpha + t - 1)) + log_p * t
+    p = np.exp(logs - logs.max())
+    p /= p.sum()
+    return (p * t).sum(), np.sqrt(max((p * t * t).sum() - (p * t).sum() ** 2, 1e-12))
+
+
+@pytest.mark.parametrize("d", [0.1, 0.5, 0.6, 0.9])
+@pytest.mark.parametrize("c", [2, 3, 96, 97, 256, 257, 400, 2000])
+def test_seating_follows_its_law_at_every_size(c, d):
+    n, alpha = 3000, 20.0
+    for weight in (0.5, 5.0, 50.0):
+        log_p = math.log(weight / alpha)
+        t = lm_score.seat(lm_score.uniforms(np.arange(n, dtype=np.uint64), 5), np.full(n, c), np.full(n, alpha), np.full(n, log_p), d)
+        mean, sd = exact_tables(c, alpha, log_p, d)
+        assert t.min() >= 1 and t.max() <= c and abs(t.mean() - mean) <= 3.5 * sd / math.sqrt(n) + 1e-3, (weight, t.mean(), mean)
+
+
+def test_seating_of_ten_thousand_customers():
+    n, alpha, d, c = 3000, 20.0, 0.6, 10_000
+    logs = np.full(c + 1, -np.inf)
+    logs[0] = 0  # one row of the numbers at a time
+    k = np.arange(1, c + 1)
+    for m in range(c):
+        logs[1:] = np.logaddexp(logs[:-1], np.log(np.maximum(m - d * k, 1e-300)) + logs[1:])
+        logs[0] = -np.inf
+    for weight in (0.5, 5.0, 50.0):
+        log_p = math.log(weight / alpha)
+        p = logs[1:] + np.cumsum(np.log(alpha + k - 1)) + log_p * k
+        p = np.exp(p - p.max())
+        p /= p.sum()
+        mean, sd = (p * k).sum(), math.sqrt((p * k * k).sum() - (p * k).sum() ** 2)
+        t = lm_score.seat(lm_score.uniforms(np.arange(n, dtype=np.uint64), 5), np.full(n, c), np.full(n, alpha), np.full(n, log_p), d)
+        assert abs(t.mean() - mean) <= 3.5 * sd / math.sqrt(n)
+
+
+def brute_gibbs(train, d, d0, theta, sweeps, burn, seed):
+    """Mean predictive probability P(w | u) by Chinese-restaurant Gibbs, customer by customer, with tables kept one by one."""
+    rng = np.random.default_rng(seed)
+    vocabulary = sorted({w for _, w in train})
+    v = len(vocabulary)
+    tables, root = defaultdict(lambda: defaultdict(list)), {w: [] for w in vocabulary}  # sizes of tables
+    total = Counter()
+
+    def p_root(w):
+        n, t = sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (sum(root.get(w, ())) - d0 * len(root.get(w, ())) + (theta + d0 * t) / (v + 1)) / (theta + n)
+
+    def into(sizes, weight_new, disc):
+        p = np.array([s - disc for s in sizes] + [weight_new])
+        k = int(rng.choice(len(p), p=p / p.sum()))
+        if k == len(sizes):
+            sizes.append(1)
+            return True
+        sizes[k] += 1
+        return False
+
+    def out_of(sizes):
+        k = int(rng.choice(len(sizes), p=np.array(sizes) / sum(sizes)))
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            return True
+        return False
+
+    def sit(u, w):
+        own = tables[u]
+        t = sum(map(len, own.values()))
+        if into(own[w], (theta + d * t) * p_root(w), d):
+            t0 = sum(map(len, root.values()))
+            into(root[w], (theta + d0 * t0) / (v + 1), d0)
+
+    for u, w in train:
+        sit(u, w)
+    for s in range(sweeps):
+        for u, w in train:
+            if out_of(tables[u][w]):
+                out_of(root[w])
+            sit(u, w)
+        if s >= burn:
+            for u in tables:
+                c, t = sum(map(sum, tables[u].values())), sum(map(len, tables[u].values()))
+                for w in vocabulary:
+                    total[u, w] += (sum(tables[u].get(w, ())) - d * len(tables[u].get(w, ())) + (theta + d * t) * p_root(w)) / (theta + c) / (sweeps - burn)
+    return total
+
+
+def test_scores_match_customer_by_customer_gibbs(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(6)]
+    learn = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][:25]
+    probe = [i for i in range(400, 4000) if zlib.crc32(str(i).encode()) % 10 == 0][:6]
+    texts = {i: list(rng.choice(words, 8, p=[0.4, 0.25, 0.15, 0.1, 0.06, 0.04])) for i in learn}
+    texts |= {p: [w] for p, w in zip(probe, words)}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(d, sweeps=40, burn_in=10).collect()}
+    train = [p for i in learn for p in zip(["<s>", *texts[i]], [*texts[i], "</s>"])]
+    pairs, ones = Counter(train), Counter(w for _, w in train)
+    ratio = lambda c: lm_score.discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values()))
+    want = brute_gibbs(train, ratio(pairs), ratio(ones), 1.0, 60, 20, 1)
+    for p, w in zip(probe, words):
+        assert got[p] == pytest.approx(np.log10(want["<s>", w]) + np.log10(want[w, "</s>"]), abs=0.12)
+    for i in learn[:5]:
+        assert got[i] == pytest.approx(sum(np.log10(want[k]) for k in zip(["<s>", *texts[i]], [*texts[i], "</s>"])), abs=0.2)
+
+
+def test_scores_dont_depend_on_blocks_and_ranges(spark):
+    """Counts don't at all; scores only by the draws, since contexts spread over ranges meet their totals."""
+    texts = [prose(60) for _ in range(60)]
+    a, b = ({r["doc_id"]: r for r in lm_score.score_texts(docs(spark, texts), sweeps=4, **kw).collect()} for kw in ({}, {"block_bytes": 1500, "range_bytes": 300}))
+    assert all(a[i]["base_score"] == pytest.approx(b[i]["base_score"]) and a[i]["score"] == pytest.approx(b[i]["score"], rel=0.03) for i in a)
 
 
 @settings(max_examples=60, deadline=None)
