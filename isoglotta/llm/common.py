@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -93,6 +94,12 @@ class Scratch:
         out._isoglotta_path = path
         return out
 
+    def tidy(self) -> None:
+        """Let the driver's JVM collect what nothing refers to: Spark then deletes the files of past shuffles, and ``sweep`` past tables."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        sweep()
+
     def release(self, df: DataFrame) -> None:
         _delete(df._isoglotta_path)
 

@@ -25,7 +25,7 @@ Where the data lie. Texts become blocks of about ``block_bytes``, written once.
 word, and each distinct pair of context and word, once with its count. Words are dealt by ranges of a 64-bit
 fingerprint, pairs by ranges of the context's, so a range holds whole restaurants; contexts that are frequent in a
 sample (it decides nothing else) are spread over ranges by the word, and their totals, a row each, go through the driver.
-A range keeps its restaurants through all sweeps and exchanges only table counts of its distinct words with the root's ranges. At
+Followers of a context are told apart by 48 bits of it. A range keeps its restaurants through all sweeps and exchanges only table counts of its distinct words with the root's ranges. At
 the end it answers each block with one probability a pair. No table of words is broadcast. Counts of words (c, N, V, n_known, the base score) are
 exact up to 64-bit fingerprints. Blocks times ranges are rows; ranges are at most ``max_ranges``, so beyond about
 1.5 TB of text rows grow in proportion and ranges in size.
@@ -191,13 +191,14 @@ def _seat_large(u, c, alpha, log_p, d):
             break
         reach = np.where(short, reach * 1.5, reach)
     low, high = np.maximum(mode - np.ceil(reach), 1), np.minimum(mode + np.ceil(reach), c)
-    stride = np.maximum(1, np.ceil((high - low + 1) / 512))  # cells of this many tables, even inside
-    cells = low[:, None] + stride[:, None] * np.arange(512)
+    stride = np.ceil((high - low + 1) / 128)  # cells of this many tables, even inside; an odd number, so that the middle is one of them
+    stride += 1 - stride % 2
+    cells = low[:, None] + stride[:, None] * np.arange(128)
     inside = cells <= high[:, None]
     logp = np.where(inside, f(np.minimum(cells + (stride[:, None] - 1) / 2, c[:, None])), -np.inf)
     p = np.cumsum(np.exp(logp - logp.max(axis=1, keepdims=True)), axis=1)
     want = u * p[:, -1]
-    k = np.minimum((p < want[:, None]).sum(axis=1), 511)
+    k = np.minimum((p < want[:, None]).sum(axis=1), 127)
     rows = np.arange(len(c))
     before = np.where(k > 0, p[rows, np.maximum(k - 1, 0)], 0.0)
     part = np.clip((want - before) / np.maximum(p[rows, k] - before, 1e-300), 0, 1 - 1e-12)
@@ -253,6 +254,18 @@ def _rows(columns: dict, schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def short(w: np.ndarray) -> bytes:
+    """The upper 48 bits of word fingerprints, as six bytes each. They tell the followers of a context apart."""
+    return np.ascontiguousarray((w >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_short(b: bytes) -> np.ndarray:
+    """Fingerprints with the lower 16 bits 0."""
+    out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
 class Block:
     """Distinct words and pairs of a block, and where its tokens are among them."""
 
@@ -335,7 +348,7 @@ def _start_range(root_ranges: int, hot: np.ndarray):
         """A range's restaurants from what the blocks sent, where each block's pairs are among them, and the first seating: a table a dish."""
         rows, out = t.to_pylist(), Rows()
         u = np.concatenate([np.repeat(np.frombuffer(r["x"], np.uint64), np.frombuffer(r["n"], np.uint32)) for r in rows])
-        w, c = np.concatenate([np.frombuffer(r["y"], np.uint64) for r in rows]), np.concatenate([np.frombuffer(r["z"], np.uint32) for r in rows])
+        w, c = np.concatenate([from_short(r["y"]) for r in rows]), np.concatenate([np.frombuffer(r["z"], np.uint32) for r in rows])
         order = np.lexsort((w, u))
         us, ws = u[order], w[order]
         new = np.concatenate([[True], (us[1:] != us[:-1]) | (ws[1:] != ws[:-1])])
@@ -346,7 +359,7 @@ def _start_range(root_ranges: int, hot: np.ndarray):
         count = np.bincount(where, weights=c, minlength=len(us)).astype(np.int64)
         at, bucket = 0, rows[0]["bucket"]
         for r in rows:
-            size = len(r["y"]) // 8
+            size = len(r["y"]) // 6
             out.add(MAP, bucket, r["sender"], _packed(np.diff(where[at : at + size], prepend=0), np.int32))
             at += size
         contexts, sizes = np.unique(us, return_counts=True)
@@ -387,7 +400,7 @@ def _tell(out: Rows, r: Restaurants, t: np.ndarray, bucket: int, words: np.ndarr
     tables = np.bincount(r.word, weights=t, minlength=r.words)
     cut = _parts(range_of(words, root_ranges))
     for to, s in cut:
-        out.add(ROOT, to, bucket, words[s].tobytes(), _packed(tables[s], np.uint32))
+        out.add(ROOT, to, bucket, short(words[s]), _packed(tables[s], np.uint32))
     own_t, own_c = r.sums(t), r.sums(r.c)
     for u, k in r.shared.T.tolist():
         out.add(TOTAL, u, bucket, stats=(own_t[k], own_c[k]))
@@ -403,7 +416,7 @@ def _root_step(d0: float, theta: float, base: float, tables: float, sweep: int):
     def step(t: pa.Table) -> pa.Table:
         """The root's seating of the words of a root range: customers are the contexts' tables. Answers c - d t to each range."""
         rows, out = t.to_pylist(), Rows()
-        keys = [np.frombuffer(r["x"], np.uint64) for r in rows]
+        keys = [from_short(r["x"]) for r in rows]
         at = np.cumsum([0] + [len(k) for k in keys])
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
         c = np.bincount(where, weights=np.concatenate([_unpacked(r["y"], np.uint32) for r in rows]), minlength=len(distinct)).astype(np.int64)
@@ -411,7 +424,7 @@ def _root_step(d0: float, theta: float, base: float, tables: float, sweep: int):
         t0 = seat(uniforms(distinct, 10_000 + sweep), c, np.full(n, theta / d0 + tables), np.full(n, math.log(d0 * base)), d0) if sweep else np.minimum(c, 1)
         net = (c - d0 * t0).astype(np.float32)[where]
         for i, r in enumerate(rows):
-            out.add(ROOT, r["sender"], r["bucket"], net[at[i] : at[i + 1]].tobytes(), keys[i].tobytes() if not sweep else b"", stats=(float(c.sum()), float(t0.sum())) if i == 0 else ())
+            out.add(ROOT, r["sender"], r["bucket"], net[at[i] : at[i + 1]].tobytes(), stats=(float(c.sum()), float(t0.sum())) if i == 0 else ())
         return out.table()
 
     return step
@@ -426,7 +439,7 @@ def _context_step(m: dict, totals: dict, sweep: int, root_ranges: int):
         state = held.to_pylist()[0]
         told = sorted(answers.to_pylist(), key=lambda a: a["sender"])
         r, p0 = Restaurants(state["x"], state["y"], state["z"], state["n"]), _root_of(m, told)
-        words = np.concatenate([np.frombuffer(a["y"], np.uint64) for a in told])
+        words = np.concatenate([from_short(a["y"]) for a in told])
         t = _unpacked(state["t"], np.uint32).astype(np.int64) if state["t"] else np.minimum(r.c, 1)
         log_p = np.log(m["d"] * p0)
         tables = r.sums(t)
@@ -516,7 +529,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 u, w, c, out = b.pair_u[order], b.words[b.pair_w[order]], b.pair_n[order].astype(np.uint32), Rows()
                 for to, s in _parts(r):
                     first = np.flatnonzero(np.concatenate([[True], u[s][1:] != u[s][:-1]]))
-                    out.add(PAIRS, to, name, b.words[u[s][first]].tobytes(), w[s].tobytes(), c[s].tobytes(), np.diff(np.concatenate([first, [s.stop - s.start]])).astype(np.uint32).tobytes())
+                    out.add(PAIRS, to, name, b.words[u[s][first]].tobytes(), short(w[s]), c[s].tobytes(), np.diff(np.concatenate([first, [s.stop - s.start]])).astype(np.uint32).tobytes())
                 yield from out.table().to_batches()
 
     start = _start_range(root_ranges, hot)
@@ -525,6 +538,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stats = {r["kind"]: [r[f"s{i}"] or 0.0 for i in range(4)] for r in begun.where(f"kind IN ({WORDS}, {STATE})").groupBy("kind").agg(*(F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(4))).collect()}
     of_words, of_pairs = stats.get(WORDS, [0.0] * 4), stats.get(STATE, [0.0] * 4)
     m = {"N": int(of_words[0]), "V": int(of_words[1]), "theta": theta, "d": discount(*of_pairs[2:]), "d0": discount(*of_words[2:]), "T0": of_words[1]}
+    store.tidy()
     state = begun.where(f"kind = {STATE}").select("bucket", "x", "y", "z", "n")
 
     def shared(told: DataFrame) -> dict[int, tuple[float, float]]:
@@ -538,18 +552,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         m.update(C0=found[0] or 0.0, T0=found[1] or 0.0)
         return out
 
-    told, kept = begun, []
-    answers = first_answers = root(begun, 0)
-    seats = None
-    names = first_answers.select(F.col("bucket"), F.col("sender"), F.col("y"))
+    told, kept, seats = begun, [], None
+    answers = root(begun, 0)
+    # a range's words as it told them at the start; the answers come in the same order
+    names = begun.where(f"kind = {ROOT}").select(F.col("sender").alias("bucket"), F.col("bucket").alias("sender"), F.col("x").alias("y"))
     for sweep in range(1, sweeps + 1):
         now = state.withColumn("t", F.lit(None).cast("binary")) if seats is None else state.join(seats, "bucket")
-        # words are named once; later answers come in the same order
-        named = answers if sweep == 1 else answers.drop("y").join(names, ["bucket", "sender"])
+        named = answers.drop("y").join(names, ["bucket", "sender"])
         totals = shared(told)
-        old, told = told, store.table(now.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(_context_step(dict(m), totals, sweep, root_ranges), _ROW_SQL))
+        old, old_answers, told = told, answers, store.table(now.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(_context_step(dict(m), totals, sweep, root_ranges), _ROW_SQL))
         seats = told.where(f"kind = {STATE}").select("bucket", F.col("x").alias("t"))
         answers = root(told, sweep)
+        if sweep - 1 <= burn_in:  # not averaged
+            store.release(old_answers)
+            if sweep > 1:
+                store.release(old)
+        store.tidy()
         if sweep > burn_in or sweep == sweeps:
             kept.append((seats, answers, dict(m), shared(told)))
 
