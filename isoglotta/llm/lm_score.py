@@ -25,10 +25,10 @@ Where the data lie. Texts become blocks of about ``block_bytes``, written once.
 word, and each distinct pair of context and word, once with its count. Words are dealt by ranges of a 64-bit
 fingerprint, pairs by ranges of the context's, so a range holds whole restaurants; contexts that are frequent in a
 sample (it decides nothing else) are spread over ranges by the word, and their totals, a row each, go through the driver.
-Followers of a context are told apart by 48 bits of it. A range keeps its restaurants through all sweeps and exchanges only table counts of its distinct words with the root's ranges. At
+In pairs, words are told apart by 48 bits of their fingerprint. A range keeps its restaurants through all sweeps and exchanges only table counts of its distinct words with the root's ranges. At
 the end it answers each block with one probability a pair. No table of words is broadcast. Counts of words (c, N, V, n_known, the base score) are
 exact up to 64-bit fingerprints. Blocks times ranges are rows; ranges are at most ``max_ranges``, so beyond about
-1.5 TB of text rows grow in proportion and ranges in size.
+1 TB of text rows grow in proportion and ranges in size.
 
 Null texts are empty: one end token. Rows that repeat an id are texts each. A null id is not held out
 and learns. Other columns are ignored.
@@ -255,7 +255,7 @@ def _rows(columns: dict, schema: pa.Schema) -> pa.Table:
 
 
 def short(w: np.ndarray) -> bytes:
-    """The upper 48 bits of word fingerprints, as six bytes each. They tell the followers of a context apart."""
+    """The upper 48 bits of word fingerprints, as six bytes each."""
     return np.ascontiguousarray((w >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
@@ -339,7 +339,7 @@ def _add_words(t: pa.Table) -> pa.Table:
     back = total[where]
     for i, r in enumerate(rows):
         stats = (float(total.sum()), float((total > 0).sum()), float((total == 1).sum()), float((total == 2).sum())) if i == 0 else ()
-        out.add(WORDS, r["bucket"], r["sender"], back[at[i] : at[i + 1]].tobytes(), stats=stats)
+        out.add(WORDS, r["bucket"], r["sender"], _packed(back[at[i] : at[i + 1]], np.int64), stats=stats)
     return out.table()
 
 
@@ -347,8 +347,8 @@ def _start_range(root_ranges: int, hot: np.ndarray):
     def start(t: pa.Table) -> pa.Table:
         """A range's restaurants from what the blocks sent, where each block's pairs are among them, and the first seating: a table a dish."""
         rows, out = t.to_pylist(), Rows()
-        u = np.concatenate([np.repeat(np.frombuffer(r["x"], np.uint64), np.frombuffer(r["n"], np.uint32)) for r in rows])
-        w, c = np.concatenate([from_short(r["y"]) for r in rows]), np.concatenate([np.frombuffer(r["z"], np.uint32) for r in rows])
+        u = np.concatenate([np.repeat(from_short(r["x"]), _unpacked(r["n"], np.uint32)) for r in rows])
+        w, c = np.concatenate([from_short(r["y"]) for r in rows]), np.concatenate([_unpacked(r["z"], np.uint32) for r in rows])
         order = np.lexsort((w, u))
         us, ws = u[order], w[order]
         new = np.concatenate([[True], (us[1:] != us[:-1]) | (ws[1:] != ws[:-1])])
@@ -364,7 +364,7 @@ def _start_range(root_ranges: int, hot: np.ndarray):
             at += size
         contexts, sizes = np.unique(us, return_counts=True)
         words, word_at = np.unique(ws, return_inverse=True)
-        spread = np.flatnonzero(np.isin(contexts, hot))
+        spread = np.flatnonzero(np.isin(contexts, from_short(short(hot))))
         stats = (float(count.sum()), float((count > 0).sum()), float((count == 1).sum()), float((count == 2).sum()))
         out.add(STATE, bucket, -1, _packed(sizes, np.uint32), _packed(word_at, np.uint32), _packed(count, np.uint32), _packed(np.stack([contexts[spread].view(np.int64), spread]), np.int64), stats)
         restaurants = Restaurants(out.columns["x"][-1], out.columns["y"][-1], out.columns["z"][-1], out.columns["n"][-1])
@@ -508,7 +508,7 @@ def frequent_words(blocks: DataFrame, share: float, most: int = 1024, sample_byt
     return np.unique(np.concatenate([np.array([r["k"] for r in top], dtype=np.int64).view(np.uint64), [START, END]]))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, theta: float = 1.0, sweeps: int = 3, burn_in: int = 1, block_bytes: int = 12 << 20, range_bytes: int = 24 << 20, max_ranges: int = 65_536) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, theta: float = 1.0, sweeps: int = 3, burn_in: int = 1, block_bytes: int = 12 << 20, range_bytes: int = 16 << 20, max_ranges: int = 65_536) -> DataFrame:
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score."""
     store = Scratch(docs.sparkSession)
     blocks = store.table(blocks_of(docs, block_bytes, id_col, text_col, fold))
@@ -529,7 +529,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 u, w, c, out = b.pair_u[order], b.words[b.pair_w[order]], b.pair_n[order].astype(np.uint32), Rows()
                 for to, s in _parts(r):
                     first = np.flatnonzero(np.concatenate([[True], u[s][1:] != u[s][:-1]]))
-                    out.add(PAIRS, to, name, b.words[u[s][first]].tobytes(), short(w[s]), c[s].tobytes(), np.diff(np.concatenate([first, [s.stop - s.start]])).astype(np.uint32).tobytes())
+                    out.add(PAIRS, to, name, short(b.words[u[s][first]]), short(w[s]), _packed(c[s], np.uint32), _packed(np.diff(np.concatenate([first, [s.stop - s.start]])), np.uint32))
                 yield from out.table().to_batches()
 
     start = _start_range(root_ranges, hot)
@@ -612,7 +612,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         told = sorted(answers.to_pylist(), key=lambda a: a["bucket"])
         for row in take(mine):
             b = Block(row)
-            word_c = np.concatenate([np.frombuffer(a["x"], np.int64) for a in told if a["kind"] == WORDS])
+            word_c = np.concatenate([_unpacked(a["x"], np.int64) for a in told if a["kind"] == WORDS])
             order, _ = b.dealt(ranges, hot)
             p = np.empty(len(order))
             p[order] = np.concatenate([np.frombuffer(a["x"], np.float32) for a in told if a["kind"] == PAIRS])
