@@ -28,7 +28,7 @@ sample (it decides nothing else) are spread over ranges by the word, and their t
 In pairs, words are told apart by 48 bits of their fingerprint. A range keeps its restaurants through all sweeps and exchanges only table counts of its distinct words with the root's ranges. At
 the end it answers each block with one probability a pair. No table of words is broadcast. Counts of words (c, N, V, n_known, the base score) are
 exact up to 64-bit fingerprints. Blocks times ranges are rows; ranges are at most ``max_ranges``, so beyond about
-1 TB of text rows grow in proportion and ranges in size.
+1.5 TB of text rows grow in proportion and ranges in size.
 
 Null texts are empty: one end token. Rows that repeat an id are texts each. A null id is not held out
 and learns. Other columns are ignored.
@@ -508,7 +508,7 @@ def frequent_words(blocks: DataFrame, share: float, most: int = 1024, sample_byt
     return np.unique(np.concatenate([np.array([r["k"] for r in top], dtype=np.int64).view(np.uint64), [START, END]]))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, theta: float = 1.0, sweeps: int = 3, burn_in: int = 1, block_bytes: int = 12 << 20, range_bytes: int = 16 << 20, max_ranges: int = 65_536) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, theta: float = 1.0, sweeps: int = 3, burn_in: int = 1, block_bytes: int = 12 << 20, range_bytes: int = 24 << 20, max_ranges: int = 65_536) -> DataFrame:
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score."""
     store = Scratch(docs.sparkSession)
     blocks = store.table(blocks_of(docs, block_bytes, id_col, text_col, fold))
@@ -569,7 +569,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 store.release(old)
         store.tidy()
         if sweep > burn_in or sweep == sweeps:
-            kept.append((seats, answers, dict(m), shared(told)))
+            kept.append((seats, answers, dict(m), shared(told), told))
 
     def predict(models: list[tuple[dict, dict]]):
         def run(_, held: pa.Table, answers: pa.Table) -> pa.Table:
@@ -598,13 +598,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     base = begun.where(f"kind IN ({STATE}, {MAP})").select("kind", "bucket", "sender", "x", "y", "z", "n")
     none = F.lit(None).cast("binary")
-    for k, (seats, _, _, _) in enumerate(kept):
+    for k, (seats, *_) in enumerate(kept):
         base = base.unionByName(seats.select(F.lit(STATE).alias("kind"), "bucket", F.lit(k).cast("long").alias("sender"), F.col("t").alias("x"), none.alias("y"), none.alias("z"), none.alias("n")))
     replies = None
-    for k, (_, a, _, _) in enumerate(kept):
+    for k, (_, a, *_) in enumerate(kept):
         own = a.select(F.lit(k).alias("kind"), "bucket", "sender", "x")
         replies = own if replies is None else replies.unionByName(own)
     told_pairs = store.table(base.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(predict([(x[2], x[3]) for x in kept]), _ROW_SQL))
+    for _, a, _, _, t in kept:
+        store.release(a)
+        store.release(t)
+    store.tidy()
     all_answers = begun.where(f"kind = {WORDS}").unionByName(told_pairs).select("kind", "bucket", F.col("sender").alias("block"), "x")
 
     def finish(_, mine: pa.Table, answers: pa.Table) -> pa.Table:
