@@ -625,6 +625,36 @@ def test_sequential_limits_keep_similar_pairs():
     assert len(near_dedup.survivors(a, near, bounds)) == 3000 and len(near_dedup.survivors(a, far, bounds)) < 10
 
 
+# scratch tables
+
+
+def test_results_outlive_the_frames_they_come_from(spark):
+    import gc
+
+    from isoglotta.llm import common
+
+    texts = ["a b c d e f g"] * 3 + [prose(30) for _ in range(8)]
+    d, bench = docs(spark, texts), spark.createDataFrame([(0, texts[4]), (1, texts[5])], "item_id bigint, text string")
+    made = [exact_dedup.exact_groups(d).where("kept"), near_dedup.near_groups(d).where("kept"), decontaminate.find_contamination(d, bench, block_bytes=10).where("n_hit > 0"), packing.pack_documents(d, capacity=32).where("piece = 0"), lm_score.score_texts(d).where("n_tokens > 0")]
+    made.append(made[0].join(made[1], "doc_id"))
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        common.sweep()
+    assert [m.count() for m in made] == [9, 9, 2, 11, 11, 8]
+
+
+def test_rows_that_repeat_id_and_text_are_kept_once(spark):
+    base = prose(40)
+    rows = [(1, "x y", "p"), (1, "x y", "q"), (2, base, "p"), (2, base, "p"), (3, base + " z", "p"), (None, "lone", "p"), (None, "lone", "p"), (None, "x y", "p"), (4, None, "p")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, _row string")
+    got = Counter((r["doc_id"], r["text"]) for r in exact_dedup.keep_one(d).collect())
+    assert got == Counter([(1, "x y"), (2, base), (3, base + " z"), (None, "lone"), (4, None)])
+    near = Counter((r["doc_id"], r["text"]) for r in near_dedup.keep_one(d).collect())
+    assert near == Counter([(1, "x y"), (2, base), (4, None), (None, "lone"), (None, "lone"), (None, "x y")])
+    assert exact_dedup.keep_one(d).columns == near_dedup.keep_one(d).columns == d.columns
+
+
 # pipeline
 
 
