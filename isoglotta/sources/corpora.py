@@ -67,8 +67,11 @@ class Corpus(D.Dataset):
 
     @property
     def characters(self) -> DataFrame:
-        own = self.load_characters
-        return self._through("characters", lambda: own() if own() is not None else super(Corpus, self).characters)
+        def make() -> DataFrame:
+            own = self.load_characters()
+            return super(Corpus, self).characters if own is None else own
+
+        return self._through("characters", make)
 
     def filter(self, dids: Iterable[str]) -> "Corpus":
         """The same corpus with these localities only; unknown ones are ignored."""
@@ -154,7 +157,7 @@ def survey_characters(words: DataFrame) -> DataFrame:
 
 
 class Dictionary(Corpus):
-    """Home: info.json and tables in ``tools/tables/output`` (or the option ``tables``)."""
+    """Home: info.json and tables <did>.tsv in ``tables`` (or the paths in the options ``info`` and ``tables``)."""
 
     corpus_name = "MCPDict"
 
