@@ -1,6 +1,6 @@
 """Point tables, interpolation grids and orders behind maps and heat maps. Rendering is left to other tools.
 
-Points are localities: their number is a parameter-checked bound, and grids are computed by partition.
+Localities of a matrix are a checked number; points to interpolate are any number (``rbf``). Grids are computed by partition.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import rbf
 from .aggregates import jitter
 
 MAX_POINTS = 5000
@@ -121,16 +122,11 @@ def dendro_heat(m: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _points(points: DataFrame, value: str, key: str) -> pd.DataFrame:
+    """Points with a value, in order of their place; a few numbers a point reach the driver."""
     ok = points.where(f"lat IS NOT NULL AND lon IS NOT NULL AND `{value}` IS NOT NULL")
-    if ok.limit(MAX_POINTS + 1).count() > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} points: aggregate them first")
     return jitter(ok, key).select("lat", "lon", value).orderBy("lat", "lon").toPandas()
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=-1))
-
-
 def grid(spark, lat0: float, lon0: float, lat1: float, lon1: float, resolution: int = 100) -> DataFrame:
     """(row, col, lat, lon): row-major grid with ``resolution`` points on the longer side."""
     size = np.array([lat1 - lat0, lon1 - lon0])
@@ -145,15 +141,12 @@ def area(points: DataFrame, cells: DataFrame, value: str = "label", key: str = "
     p = _points(points, value, key)
     names = sorted(p[value].unique())
     x, y = p[["lat", "lon"]].to_numpy(float), (p[value].to_numpy()[:, None] == np.array(names)[None, :]).astype(float)
-    n = len(x)
-    a = np.zeros((n + 1, n + 1))
-    a[:n, :n], a[n, :n], a[:n, n] = -_distances(x, x), 1, 1
-    w = np.linalg.lstsq(a, np.vstack([y, np.zeros((1, len(names)))]), rcond=None)[0]
+    x, w, c = rbf.weights(points.sparkSession, x, y, True)
     kind = points.schema[value].dataType.simpleString()
 
     def run(frames):
         for f in frames:
-            s = -_distances(f[["lat", "lon"]].to_numpy(float), x) @ w[:n] + w[n]
+            s = c - rbf.values(f[["lat", "lon"]].to_numpy(float), x, w)
             yield f.assign(value=[names[i] for i in s.argmax(axis=1)])
 
     return cells.select("row", "col", "lat", "lon").mapInPandas(run, f"row bigint, col bigint, lat double, lon double, value {kind}")
@@ -162,12 +155,11 @@ def area(points: DataFrame, cells: DataFrame, value: str = "label", key: str = "
 def isogloss(points: DataFrame, cells: DataFrame, value: str = "value", key: str = "did") -> DataFrame:
     """(row, col, lat, lon, value): linear radial interpolation without a polynomial, within 0 and 1; contours are for a plotter."""
     p = _points(points, value, key)
-    x = p[["lat", "lon"]].to_numpy(float)
-    w = np.linalg.lstsq(_distances(x, x), p[value].to_numpy(float), rcond=None)[0]
+    x, w, _ = rbf.weights(points.sparkSession, p[["lat", "lon"]].to_numpy(float), p[[value]].to_numpy(float), False)
 
     def run(frames):
         for f in frames:
-            yield f.assign(value=np.clip(_distances(f[["lat", "lon"]].to_numpy(float), x) @ w, 0, 1))
+            yield f.assign(value=np.clip(rbf.values(f[["lat", "lon"]].to_numpy(float), x, w)[:, 0], 0, 1))
 
     return cells.select("row", "col", "lat", "lon").mapInPandas(run, "row bigint, col bigint, lat double, lon double, value double")
 

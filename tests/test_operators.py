@@ -12,6 +12,7 @@ from isoglotta.operators import encode as E
 from isoglotta.operators import geo as G
 from isoglotta.operators import impute as I
 from isoglotta.operators import models as M
+from isoglotta.operators import rbf as R
 from isoglotta.operators import recon as X
 from isoglotta.operators import rules as RU
 from isoglotta.operators import similarity as S
@@ -190,6 +191,29 @@ def test_rbf_interpolates_its_points(spark):
     assert {r["col"]: r["value"] for r in area} == {1: "0.0", 2: "1.0", 3: "1.0", 4: "0.0"}
 
 
+def test_rbf_takes_more_points_than_a_dense_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    near = np.stack([np.repeat(np.arange(5.0), 10), np.tile(np.arange(10) * 1e-4, 5)], axis=1)
+    x = np.vstack([near, rng.random((149, 2)) * 5, near[:1]])  # the last one is where another is
+    y = np.stack([np.arange(200) % 2, np.arange(200) % 3], axis=1).astype(float)
+    at = rng.random((50, 2)) * 5
+    want = {c: R.weights(spark, x, y, c) for c in (True, False)}
+    monkeypatch.setattr(R, "DENSE", 20)
+    monkeypatch.setattr(R, "BLOCK", 10_000)
+    for limit in (R.LOCAL, 0):  # in the driver, on executors
+        monkeypatch.setattr(R, "LOCAL", limit)
+        for c, (px, w, k) in want.items():
+            qx, v, m = R.weights(spark, x, y, c)
+            assert R.values(at, qx, v) * (1 - 2 * c) + m == pytest.approx(R.values(at, px, w) * (1 - 2 * c) + k, abs=1e-6)
+
+
+def test_rbf_of_over_5000_points(spark):
+    p = spark.range(5_050).select("id", (F.col("id") % 71).cast("double").alias("lat"), F.floor(F.col("id") / 71).cast("double").alias("lon"), (F.col("id") % 2).cast("double").alias("value"))
+    at = p.where("id % 101 = 0").select(F.col("id").alias("row"), F.col("id").alias("col"), "lat", "lon")
+    for r in G.isogloss(p, at, key="id").collect():
+        assert r["value"] == pytest.approx(r["row"] % 2, abs=1e-6)
+
+
 def test_align_shares_labels_of_equal_readings(spark):
     rng = np.random.default_rng(0)
     cells, glyphs = [[], []], []
