@@ -214,6 +214,12 @@ def test_rbf_of_over_5000_points(spark):
         assert r["value"] == pytest.approx(r["row"] % 2, abs=1e-6)
 
 
+def test_area_of_over_5000_points(spark):
+    p = spark.range(5_050).select("id", (F.col("id") % 71).cast("double").alias("lat"), F.floor(F.col("id") / 71).cast("double").alias("lon"), (F.col("id") % 3).cast("string").alias("label"))
+    at = p.where("id % 101 = 0").select(F.col("id").alias("row"), F.col("id").alias("col"), "lat", "lon")
+    assert all(r["value"] == str(r["row"] % 3) for r in G.area(p, at, key="id").collect())
+
+
 def test_align_shares_labels_of_equal_readings(spark):
     rng = np.random.default_rng(0)
     cells, glyphs = [[], []], []
