@@ -1,7 +1,8 @@
 """Reconstruction of proto-classes: imputation, decision trees over one-hot readings, class summaries.
 
-The character x locality table of a language group fits the driver (``MAX_ROWS`` is checked); the tree is grown there
-with numpy, as all outputs share each split. Its input and its summaries are distributed.
+Trees of ``reconstruct`` and ``reconstruct_elements`` are grown level by level: tasks count the classes on both sides of all
+splits, and the driver holds nodes and names of features only. ``denoise`` and ``impute_logistic`` work on the driver, on at
+most ``MAX_ROWS`` characters, which is checked.
 """
 
 from __future__ import annotations
@@ -10,12 +11,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import top_values
 
 MAX_ROWS = 50_000
+#: Bytes of class counts that a task holds at once.
+COUNTS = 64_000_000
 
 
 def one_hot(f: pd.DataFrame) -> tuple[np.ndarray, list[tuple[str, str]], list[slice]]:
@@ -162,15 +167,134 @@ def denoise(cells: DataFrame, min_leaf: int = 1, min_decrease: float = 0.0001) -
     return spark.createDataFrame(long, f"cid {kind}, col string, value string"), spark.createDataFrame(pd.DataFrame({"cid": f.index, "proto": leaf.astype("int64")}), f"cid {kind}, proto bigint")
 
 
+def _codes(cells: DataFrame) -> tuple[DataFrame, list[tuple], np.ndarray]:
+    """((cid, codes), (col, value) of each feature, place of each feature's column): the feature of each cell, missing ones the column's most frequent."""
+    known = cells.where(F.coalesce("value", F.lit("")) != "").groupBy("col", "value").agg(F.count("*").alias("n")).collect()
+    known = sorted((r["col"], r["value"], r["n"]) for r in known)
+    names, cols = [(c, v) for c, v, _ in known], sorted({c for c, _, _ in known})
+    place = {c: k for k, c in enumerate(cols)}
+    col_of = np.array([place[c] for c, _ in names], dtype=int)
+    mode, top = np.zeros(len(cols), dtype=np.uint32), [0] * len(cols)
+    for f, (c, _, n) in enumerate(known):
+        if n > top[place[c]]:
+            mode[place[c]], top[place[c]] = f, n
+    kinds = {k: cells.schema[k].dataType.simpleString() for k in ("cid", "col", "value")}
+    ids = cells.sparkSession.createDataFrame([(c, v, f) for f, (c, v) in enumerate(names)], f"col {kinds['col']}, value {kinds['value']}, f int")
+    sets = cells.select("cid", "col", "value").join(F.broadcast(ids), ["col", "value"], "left").groupBy("cid").agg(F.collect_list("f").alias("f"))
+
+    def pack(batches):
+        for b in batches:
+            f, m = b.column("f"), np.tile(mode, (b.num_rows, 1))
+            found = f.flatten().to_numpy(zero_copy_only=False)
+            m[np.repeat(np.arange(b.num_rows), np.diff(f.offsets.to_numpy())), col_of[found]] = found
+            yield pa.record_batch([b.column("cid"), pa.array([r.tobytes() for r in m], pa.binary())], names=["cid", "codes"])
+
+    return sets.select("cid", "f").mapInArrow(pack, f"cid {kinds['cid']}, codes binary"), names, col_of
+
+
+def _nodes(codes: np.ndarray, col_of: np.ndarray, feature: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """The node of a tree that each row ends in."""
+    at, rows = np.zeros(len(codes), dtype=int), np.arange(len(codes))
+    while (inner := feature[at] >= 0).any():
+        f = np.maximum(feature[at], 0)
+        at = np.where(inner, child[at, (codes[rows, col_of[f]] == f).astype(int)], at)
+    return at
+
+
+def _trees(cells: DataFrame, outputs: dict[str, tuple], min_leaf: int) -> DataFrame:
+    """(cid, a leaf for each output), of the trees that ``grow`` makes; outputs: name -> (is a column one of its?, least decrease)."""
+    packed, names, col_of = _codes(cells)
+    packed = packed.persist(StorageLevel.MEMORY_AND_DISK)  # read for each level
+    n, wide, many = packed.count(), len(set(col_of.tolist())), len(names)
+    own = {e: np.flatnonzero([f(c) for c, _ in names]) for e, (f, _) in outputs.items()}
+    blocks = {}
+    for e, ys in own.items():
+        cuts = [0, *(np.flatnonzero(np.diff(col_of[ys])) + 1).tolist(), len(ys)]
+        blocks[e] = [slice(a, b) for a, b in zip(cuts, cuts[1:])] if len(ys) else []
+    trees = {e: (np.array([-1]), np.zeros((1, 2), dtype=int)) for e in outputs}
+    open_ = {e: [0] if len(ys) else [] for e, ys in own.items()}
+    step = {e: max(1, COUNTS // (8 * (len(ys) + 1))) for e, ys in own.items()}
+    read = lambda b: np.frombuffer(b"".join(b.column("codes").to_pylist()), dtype=np.uint32).reshape(b.num_rows, wide)
+
+    def gains_of(units: list[tuple]) -> list:
+        """Per (output, node, first feature) the gains of the splits by its features, -inf where a side is too small."""
+
+        def count(batches):
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for s in range(0, b.num_rows, 4096):
+                    codes = read(b.slice(s, 4096))
+                    x = np.zeros((len(codes), many), dtype=np.float32)
+                    x[np.arange(len(codes))[:, None], codes] = 1
+                    at = {e: _nodes(codes, col_of, *trees[e]) for e in {u[0] for u in units}}
+                    for k, (e, node, f) in enumerate(units):
+                        part = x[at[e] == node]
+                        if len(part):
+                            y, own_x = part[:, own[e]], part[:, f : f + step[e]]
+                            new = np.concatenate([[len(part)], own_x.sum(axis=0), y.sum(axis=0), (own_x.T @ y).ravel()], dtype=np.float64)
+                            sums[k] = sums[k] + new if k in sums else new
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["k", "v"])
+
+        def judge(table: pa.Table) -> pa.Table:
+            k, v = table.column("k")[0].as_py(), sum(np.frombuffer(r.as_buffer(), dtype=np.float64) for r in table.column("v"))
+            e, _, f = units[k]
+            size, wide_y = min(step[e], many - f), len(own[e])
+            rows, on, y, inside = v[0], v[1 : size + 1], v[size + 1 : size + 1 + wide_y], v[size + 1 + wide_y :].reshape(size, wide_y)
+            out, h = np.full(size, -np.inf), float(_entropies(y[None, :], np.array([rows]), blocks[e])[0])
+            if rows >= 2 * min_leaf and h > 0:
+                able = np.flatnonzero((on >= min_leaf) & (rows - on >= min_leaf))
+                on_n, off_n = on[able], rows - on[able]
+                out[able] = rows / n * (h - (on_n * _entropies(inside[able], on_n, blocks[e]) + off_n * _entropies(y - inside[able], off_n, blocks[e])) / rows)
+            return pa.table({"k": pa.array([k], pa.int32()), "v": pa.array([out.tobytes()], pa.binary())})
+
+        found = packed.select("codes").mapInArrow(count, "k int, v binary").groupBy("k").applyInArrow(judge, "k int, v binary").collect()
+        return [(units[r["k"]], np.frombuffer(bytes(r["v"]))) for r in found]
+
+    while any(open_.values()):
+        units = [(e, node, f) for e, nodes in open_.items() for node in nodes for f in range(0, many, step[e])]
+        gains = {(e, node): np.full(many, -np.inf) for e, node, _ in units}
+        weight = {e: 8 * min(step[e], many) * (len(own[e]) + 1) for e in outputs}
+        while units:
+            held, now = 0, []
+            while units and (not now or held + weight[units[0][0]] <= COUNTS):
+                held += weight[units[0][0]]
+                now.append(units.pop(0))
+            for (e, node, f), v in gains_of(now):
+                gains[e, node][f : f + len(v)] = v
+        open_ = {e: [] for e in outputs}
+        for (e, node), v in gains.items():
+            best = None
+            for j in np.flatnonzero(v > -np.inf).tolist():
+                if best is None or v[j] > v[best] + 1e-12:
+                    best = j
+            if best is not None and v[best] >= outputs[e][1]:
+                feature, child = trees[e]
+                more = len(feature)
+                child[node], feature[node] = (more, more + 1), best
+                trees[e] = np.append(feature, [-1, -1]), np.vstack([child, np.zeros((2, 2), dtype=int)])
+                open_[e] += [more, more + 1]
+    leaf = {}
+    for e, (feature, child) in trees.items():
+        leaf[e], stack, count = np.zeros(len(feature), dtype=np.int64), [0], 0
+        while stack:  # leaves are numbered from left to right
+            node = stack.pop()
+            if feature[node] >= 0:
+                stack += [child[node, 1], child[node, 0]]
+            else:
+                leaf[e][node], count = count, count + 1
+
+    def place(batches):
+        for b in batches:
+            codes = read(b)
+            yield pa.record_batch([b.column("cid"), *(pa.array(leaf[e][_nodes(codes, col_of, *trees[e])]) for e in outputs)], names=["cid", *outputs])
+
+    kinds = "".join(f", `{e}` bigint" for e in outputs)
+    return packed.mapInArrow(place, f"cid {cells.schema['cid'].dataType.simpleString()}{kinds}")
+
+
 def reconstruct(cells: DataFrame, min_leaf: int = 3, min_decrease: float = 0.002) -> DataFrame:
     """(cid, proto): leaf of a multi-output tree that predicts all columns from all columns."""
-    n = cells.select("cid").distinct().limit(MAX_ROWS + 1).count()
-    if n > MAX_ROWS:
-        raise ValueError(f"more than {MAX_ROWS} characters")
-    f = impute_frequent(cells).toPandas().pivot(index="cid", columns="col", values="value").sort_index()
-    x, _, blocks = one_hot(f)
-    leaf = grow(x, x, blocks, min_leaf, min_decrease)
-    return cells.sparkSession.createDataFrame(pd.DataFrame({"cid": f.index, "proto": leaf.astype("int64")}), f"cid {cells.schema['cid'].dataType.simpleString()}, proto bigint")
+    return _trees(cells, {"proto": (lambda c: True, min_decrease)}, min_leaf)
 
 
 def reconstruct_elements(cells: DataFrame, min_leaf: int = 3, min_decrease: dict[str, float] | None = None) -> DataFrame:
@@ -178,17 +302,8 @@ def reconstruct_elements(cells: DataFrame, min_leaf: int = 3, min_decrease: dict
 
     Columns are named '{locality}/{element}'; ``min_decrease`` has the elements and their thresholds.
     """
-    n = cells.select("cid").distinct().limit(MAX_ROWS + 1).count()
-    if n > MAX_ROWS:
-        raise ValueError(f"more than {MAX_ROWS} characters")
-    f = impute_frequent(cells).toPandas().pivot(index="cid", columns="col", values="value").sort_index()
-    x, _, _ = one_hot(f)
-    out = pd.DataFrame({"cid": f.index})
-    for e, least in (min_decrease or {"initial": 0.002, "final": 0.002, "tone": 0.01}).items():
-        y, _, blocks = one_hot(f[[c for c in f.columns if c.rsplit("/", 1)[-1] == e]])
-        out[e] = grow(x, y, blocks, min_leaf, least).astype("int64")
-    kinds = "".join(f", `{e}` bigint" for e in out.columns[1:])
-    return cells.sparkSession.createDataFrame(out, f"cid {cells.schema['cid'].dataType.simpleString()}{kinds}")
+    least = min_decrease or {"initial": 0.002, "final": 0.002, "tone": 0.01}
+    return _trees(cells, {e: (lambda c, e=e: c.rsplit("/", 1)[-1] == e, v) for e, v in least.items()}, min_leaf)
 
 
 def get_syllables(readings: DataFrame, classes: DataFrame, elements: Sequence[str]) -> DataFrame:

@@ -327,3 +327,24 @@ def test_extent_ignores_what_is_not_finite(spark):
     d = spark.createDataFrame([(0.0, 0.0), (10.0, 20.0), (None, 5.0), (float("nan"), 5.0), (float("inf"), 1.0)], "lat double, lon double")
     assert tuple(A.extent(d).first()) == (pytest.approx(-0.1), pytest.approx(10.1), pytest.approx(-0.2), pytest.approx(20.2))
     assert isinstance(d.toPandas(), pd.DataFrame)
+
+
+def test_trees_are_those_of_one_table_and_have_no_limit_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    kind = rng.integers(0, 6, 300)
+    table = {f"d{d}/{e}": np.where(rng.random(300) < 0.8, (kind + d) % m, rng.integers(0, m, 300)) for d in range(4) for e, m in (("initial", 3), ("final", 5), ("tone", 2))}
+    rows = [(c, col, f"v{v}") for col, vs in table.items() for c, v in enumerate(vs.tolist()) if rng.random() < 0.8] + [(300, "d0/tone", None)]
+    cells = spark.createDataFrame(rows, "cid int, col string, value string").repartition(5)
+    monkeypatch.setattr(X, "MAX_ROWS", 50)
+    f = X.impute_frequent(cells).toPandas().pivot(index="cid", columns="col", values="value").sort_index()
+    x, _, blocks = X.one_hot(f)
+    assert len(f) == 301 > X.MAX_ROWS
+    for counts in (X.COUNTS, 40_000):  # all at once, and some features of a node at a time
+        monkeypatch.setattr(X, "COUNTS", counts)
+        got = X.reconstruct(cells, 3, 0.002).toPandas().sort_values("cid")
+        want = X.grow(x, x, blocks, 3, 0.002)
+        assert want.max() > 5 and got.proto.tolist() == want.tolist()
+        got = X.reconstruct_elements(cells).toPandas().sort_values("cid")
+        for e, least in (("initial", 0.002), ("final", 0.002), ("tone", 0.01)):
+            y, _, own = X.one_hot(f[[c for c in f.columns if c.endswith(e)]])
+            assert got[e].tolist() == X.grow(x, y, own, 3, least).tolist()
