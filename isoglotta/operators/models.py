@@ -2,6 +2,7 @@
 
 Weights are small dense arrays (vocabularies are parameters) and are broadcast; rows stay distributed. Each
 training step sums gradients over partitions, so the driver sees one gradient a partition and never a row.
+``fit_characters`` is for any number of characters: their embeddings stay with their rows, on the executors.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as pa_type
 from pyspark.sql.types import ArrayType, StringType
 
+from isoglotta.llm.common import Scratch
+
 from .encode import make_dict, with_vocabulary
 
 
@@ -246,6 +251,138 @@ class BilinearEncoder:
         return self
 
 
+def draws(key: np.ndarray, size: int, scale: float = 0.1) -> np.ndarray:
+    """Normal draws (keys x size) that depend on the 64-bit keys only."""
+    x = key.astype(np.uint64)[:, None] + (np.arange(1, 2 * size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53
+    return scale * np.sqrt(-2 * np.log1p(-u[:, :size])) * np.cos(2 * np.pi * u[:, size:])
+
+
+def fit_characters(data: DataFrame, dialect: str, char: str, targets: Sequence[str], size: int = 20, epochs: int = 20, rate: float = 0.5, decay: float = 0.9, seed: int = 0) -> tuple[DataFrame, list[float]]:
+    """((dialect, char, predicted), losses a row by epoch): ``BilinearEncoder.fit`` and ``predict`` over one locality and one character column.
+
+    A row is a character with its readings, its embedding and that one's step size; an epoch rewrites the embeddings where they are
+    and sends the driver the gradients of what characters share. Vocabularies of localities and targets are held by the driver,
+    that of characters by nobody: embeddings start from hashes of the character. A character's readings are one list.
+    """
+    p = Processor.build(data, [dialect], [], targets)
+    places, n_t = p.dialects[dialect], len(targets)
+    rng = np.random.default_rng(seed)
+    shared = {"d": rng.normal(0, 0.1, (len(places) + 1, size))} | {f"t{i}": rng.normal(0, 0.1, (len(v) + 1, size)) for i, v in enumerate(p.targets.values())}
+    shared |= {f"b{i}": np.zeros(len(v) + 1) for i, v in enumerate(p.targets.values())} | {"w": rng.normal(0, 0.1, (size, size, size))}
+    cache = {k: np.zeros_like(v) for k, v in shared.items()}
+    kinds = {c: data.schema[c].dataType.simpleString() for c in (dialect, char)}
+
+    coded = p.encode(data.select(dialect, char, *targets))
+    # a locality is its id, 0 if null and -1 if empty; the model's id of both is 0
+    place = F.when(F.col(dialect).cast("string") == "", -1).otherwise(F.element_at("dialect_ids", 1))
+    reading = F.concat(F.array(place), "target_ids")
+    known = F.coalesce(F.col(char).cast("string"), F.lit("")) != ""
+    rows = coded.groupBy(char).agg(F.sort_array(F.collect_list(reading)).alias("r")).select(F.col(char).alias("c"), known.alias("known"), F.xxhash64(char, F.lit(seed)).alias("key"), "r")
+
+    def pack(batches):
+        for b in batches:
+            flat = b.column("r").flatten().flatten().to_numpy().astype(np.int32).reshape(-1, 1 + n_t)
+            cuts = np.concatenate([[0], np.cumsum([len(r) for r in b.column("r")])]).astype(int)
+            e = draws(b.column("key").to_numpy(zero_copy_only=False).astype(np.int64), size)
+            binary = lambda v: pa.array(v, pa.binary())
+            own = [flat[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+            yield pa.record_batch([b.column("c"), b.column("known"), binary(own), binary([x.tobytes() for x in e]), binary([bytes(8 * size)] * len(e)), binary([None] * len(e))], names=names)
+
+    def chunks(batches):
+        """Batches of few characters: (batch, character of each reading, its codes, embeddings)."""
+        for whole in batches:
+            for s in range(0, whole.num_rows, 2000):
+                b = whole.slice(s, 2000)
+                r = b.column("r").to_pylist()
+                at = np.repeat(np.arange(len(r)), [len(x) // (4 * (1 + n_t)) for x in r])
+                codes = np.frombuffer(b"".join(r), dtype=np.int32).reshape(-1, 1 + n_t)
+                order = np.argsort(codes[:, 0], kind="stable")
+                yield b, at[order], codes[order], np.frombuffer(b"".join(b.column("e").to_pylist())).reshape(-1, size)
+
+    def outputs(m, place, c):
+        """(places with rows, their ranges, outputs): the rows are in the order of their places."""
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]]).astype(int) if len(place) else np.zeros(1, int)
+        ranges = [(int(place[i]), slice(i, j)) for i, j in zip(cuts, cuts[1:])]
+        out = np.zeros_like(c)
+        for k, r in ranges:
+            out[r] = c[r] @ m["dw"][k]
+        return ranges, out
+
+    def epoch(m):
+        def run(batches):
+            g, total = {k: np.zeros_like(v) for k, v in m.items() if k not in ("d", "w")}, np.zeros(2)
+            for b, at, codes, e in chunks(batches):
+                learn = (codes[:, 0] > 0) & (codes[:, 1:] > 0).any(axis=1) & b.column("known").to_numpy(zero_copy_only=False)[at]
+                at, codes = at[learn], codes[learn]
+                c = e[at]
+                ranges, out = outputs(m, codes[:, 0], c)
+                g_out, rows = np.zeros_like(out), np.arange(len(codes))
+                for i in range(n_t):
+                    z, y = out @ m[f"t{i}"].T + m[f"b{i}"], codes[:, 1 + i]
+                    z = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
+                    z /= z.sum(axis=1, keepdims=True)
+                    total[0] -= np.log(np.maximum(z[rows, y], 1e-300))[y != 0].sum()
+                    z[rows, y] -= 1
+                    z[y == 0] = 0
+                    g[f"t{i}"] += z.T @ out
+                    g[f"b{i}"] += z.sum(axis=0)
+                    g_out += z @ m[f"t{i}"]
+                total[1] += len(codes)
+                g_c = np.zeros_like(c)
+                for k, r in ranges:
+                    g["dw"][k] += c[r].T @ g_out[r]
+                    g_c[r] = g_out[r] @ m["dw"][k].T
+                step = np.stack([np.bincount(at, g_c[:, j], len(e)) for j in range(size)], axis=1) / learnt
+                v = decay * np.frombuffer(b"".join(b.column("v").to_pylist())).reshape(-1, size) + (1 - decay) * step * step
+                e = e - rate * 0.1 * step / (np.sqrt(v) + 1e-8)
+                new = [pa.array([x.tobytes() for x in a], pa.binary()) for a in (e, v)]
+                yield pa.record_batch([b.column("c"), b.column("known"), b.column("r"), *new, b.column("s")], names=names)
+            flat = np.concatenate([total] + [g[k].ravel() for k in order])
+            yield pa.RecordBatch.from_pylist([dict.fromkeys(names) | {"s": flat.tobytes()}], schema=pa.schema([(k, t) for k, t in zip(names, types)]))
+
+        return run
+
+    names = ["c", "known", "r", "e", "v", "s"]
+    types = [pa_type(data.schema[char].dataType), pa.bool_(), *[pa.binary()] * 4]
+    schema = f"c {kinds[char]}, known boolean, r binary, e binary, v binary, s binary"
+    order = ["dw", *(f"{k}{i}" for i in range(n_t) for k in "tb")]
+    store = Scratch(data.sparkSession)  # a table an epoch: plans that hold each other grow too long
+    state = store.table(rows.mapInArrow(pack, schema))
+    learnt = coded.where(known & (F.element_at("dialect_ids", 1) > 0) & F.exists("target_ids", lambda x: x > 0)).count()
+    losses: list[float] = []
+    mixed = lambda: np.einsum("li,ijo->ljo", shared["d"], shared["w"])
+    for _ in range(epochs if learnt else 0):
+        m = shared | {"dw": mixed()}
+        new = store.table(state.where("s IS NULL").mapInArrow(epoch(m), schema), "snappy")
+        sums = sum(np.frombuffer(bytes(r["s"])) for r in new.where("s IS NOT NULL").select("s").collect())  # one a partition
+        store.release(state)
+        state, g, at = new, {}, 2
+        for k in order:
+            g[k], at = sums[at : at + m[k].size].reshape(m[k].shape), at + m[k].size
+        g_dw = g.pop("dw")
+        g |= {"d": np.einsum("ijo,ljo->li", shared["w"], g_dw), "w": np.einsum("li,ljo->ijo", shared["d"], g_dw)}
+        losses.append(float(sums[0] / sums[1]))
+        for k in shared:
+            step = g[k] / learnt
+            cache[k] = decay * cache[k] + (1 - decay) * step * step
+            shared[k] = shared[k] - rate * 0.1 * step / (np.sqrt(cache[k]) + 1e-8)
+
+    last, spelt = shared | {"dw": mixed()}, pa.array([*places, None, ""] if kinds[dialect] == "string" else [*places, None, None], pa_type(data.schema[dialect].dataType))
+
+    def predict(batches):
+        for b, at, codes, e in chunks(batches):
+            _, out = outputs(last, np.maximum(codes[:, 0], 0), e[at])
+            best = np.stack([(out @ last[f"t{i}"].T + last[f"b{i}"]).argmax(axis=1) for i in range(n_t)], axis=1).astype(np.int64)
+            place = np.where(codes[:, 0] > 0, codes[:, 0] - 1, len(places) - codes[:, 0])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, n_t), pa.int32()), pa.array(best.ravel()))
+            yield pa.record_batch([spelt.take(pa.array(place)), b.column("c").take(pa.array(at)), lists], names=[dialect, char, "predicted"])
+
+    return state.where("s IS NULL").mapInArrow(predict, f"`{dialect}` {kinds[dialect]}, `{char}` {kinds[char]}, predicted array<bigint>"), losses
+
+
 @dataclass
 class LinearChain:
     """A linear-chain tagger: per-feature tag scores and tag transitions, decoded by Viterbi."""

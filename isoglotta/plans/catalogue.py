@@ -826,12 +826,7 @@ def align_datasets(spark, sf):
 
 @query()
 def bilinear_predict(spark, sf):
-    c = cells(spark, sf)
-    p = M.Processor.build(c, ["did"], ["cid"], ["final"])
-    e = p.encode(c)
-    m = M.BilinearEncoder(p.sizes())
-    m.fit(M.known_rows(e))
-    return m.predict(e, ["did", "cid"])
+    return M.fit_characters(cells(spark, sf), "did", "cid", ["final"])[0]
 
 
 @query()

@@ -348,3 +348,22 @@ def test_trees_are_those_of_one_table_and_have_no_limit_of_rows(spark, monkeypat
         for e, least in (("initial", 0.002), ("final", 0.002), ("tone", 0.01)):
             y, _, own = X.one_hot(f[[c for c in f.columns if c.endswith(e)]])
             assert got[e].tolist() == X.grow(x, y, own, 3, least).tolist()
+
+
+def test_characters_kept_with_their_rows_learn_as_one_model(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"d{d}", f"c{c}", "xyz"[(d + c) % 3] if rng.random() < 0.8 else None, "uv"[c % 2] if rng.random() < 0.8 else "") for d in range(4) for c in range(9)]
+    rows += [(None, "c1", "x", "u"), ("", "c2", "y", "v"), ("d1", None, "z", "u"), ("d2", "only", None, None)]
+    data = spark.createDataFrame(rows, "did string, cid string, t string, u string").repartition(3)
+    p = M.Processor.build(data, ["did"], ["cid"], ["t", "u"])
+    e, m = p.encode(data), M.BilinearEncoder(p.sizes(), 5, 5, 5)
+    rng = np.random.default_rng(7)
+    m.p |= {"d0": rng.normal(0, 0.1, (5, 5)), "t0": rng.normal(0, 0.1, (4, 5)), "t1": rng.normal(0, 0.1, (3, 5)), "w": rng.normal(0, 0.1, (5, 5, 5))}
+    names = spark.createDataFrame([(k, v) for k, v in enumerate([None, *p.chars["cid"]])], "k int, cid string").select("k", F.xxhash64("cid", F.lit(7)).alias("key")).orderBy("k").toPandas()
+    m.p["c0"] = M.draws(names.key.to_numpy(), 5)
+    want = m.fit(M.known_rows(e), epochs=30)
+    out, losses = M.fit_characters(data, "did", "cid", ["t", "u"], 5, 30, seed=7)
+    assert losses == pytest.approx(want, rel=1e-6) and losses[-1] < 0.8 * losses[0]
+    key = lambda r: (r["did"] or repr(r["did"]), r["cid"] or "", list(r["predicted"]))
+    assert sorted(map(key, out.collect())) == sorted(map(key, m.predict(e, ["did", "cid"]).collect()))
+    assert 0.08 < M.draws(np.arange(1000), 20).std() < 0.12
