@@ -23,25 +23,38 @@ from .lookup import concat_numbered, fill_from, halves, lookup, numbered
 MAX_FEATURES = 6000
 
 
+#: Rows of one spelling that ``align_chars`` keeps in one piece.
+PIECE = 1000
+
+
+def _pieces(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """(keys, name): lists of at most PIECE rows of the same keys, made by partition first so that none gets long."""
+    rest = F.struct(*(c for c in rows.columns if c not in keys))
+    lists = rows.select(*keys, rest.alias("x"), F.spark_partition_id().alias("part")).groupBy(*keys, "part").agg(F.collect_list("x").alias("x"))
+    cut = F.transform(F.sequence(F.lit(0), ((F.size("x") - 1) / PIECE).cast("int")), lambda i: F.slice("x", i * PIECE + 1, PIECE))
+    return lists.select(*keys, F.explode(cut).alias(name))
+
+
 def align_chars(*chars: DataFrame) -> DataFrame:
     """Chained full outer join of (idx, simplified, traditional) lists: glyph, idx1, idx2, ... (-1 where absent).
 
     Joins on both spellings where both sides have them, else on what they share; null spellings match each other.
+    Pieces of a spelling's rows meet and are dealt out, and only then become pairs: a frequent spelling is no single task's work.
     """
+    spark = chars[0].sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     out = chars[0].withColumnRenamed("idx", "idx1")
     for i, c in enumerate(chars[1:], 2):
+        c = c.withColumnRenamed("idx", f"idx{i}")
         keys = [k for k in ("simplified", "traditional") if k in out.columns and k in c.columns]
         if not keys:
             raise ValueError("the lists share no spelling")
-        c = c.select(*(F.col(x).alias(f"idx{i}" if x == "idx" else f"_{x}") for x in c.columns))
-        on = reduce(lambda a, b: a & b, (out[k].eqNullSafe(c[f"_{k}"]) for k in keys))
-        joined = out.join(c, on, "full")
-        spell = []
-        for k in ("simplified", "traditional"):
-            parts = [x for x in (k, f"_{k}") if x in joined.columns]
-            if parts:
-                spell.append(F.coalesce(*parts).alias(k))
-        out = joined.select(*spell, *(x for x in joined.columns if x.startswith("idx")))
+        a, b = _pieces(out, keys, "a"), _pieces(c, keys, "b").withColumnsRenamed({k: f"_{k}" for k in keys})
+        on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+        pairs = a.join(b, on, "full").select(*(F.coalesce(k, f"_{k}").alias(k) for k in keys), "a", "b").repartition(tasks)
+        pairs = pairs.select(*keys, F.explode_outer("a").alias("a"), "b").select(*keys, "a", F.explode_outer("b").alias("b"))
+        spell = [F.col(k) if k in keys else F.col(f"{'a' if k in out.columns else 'b'}.{k}") for k in ("simplified", "traditional") if k in out.columns or k in c.columns]
+        out = pairs.select(*spell, *(f"a.{x}" for x in out.columns if x.startswith("idx")), f"b.idx{i}")
     glyph = F.coalesce(*(k for k in ("simplified", "traditional") if k in out.columns), F.lit(""))
     return out.select(glyph.alias("glyph"), *(F.coalesce(x, F.lit(-1)).alias(x) for x in out.columns if x.startswith("idx")))
 

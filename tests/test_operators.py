@@ -367,3 +367,21 @@ def test_characters_kept_with_their_rows_learn_as_one_model(spark):
     key = lambda r: (r["did"] or repr(r["did"]), r["cid"] or "", list(r["predicted"]))
     assert sorted(map(key, out.collect())) == sorted(map(key, m.predict(e, ["did", "cid"]).collect()))
     assert 0.08 < M.draws(np.arange(1000), 20).std() < 0.12
+
+
+def test_glyphs_of_many_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(AL, "PIECE", 7)
+    a = [(i, "s" if i % 9 else None, "t" if i % 2 else None) for i in range(60)]
+    b = [(100 + i, "s" if i % 5 else None) for i in range(40)]
+    c = [(200 + i, "s", "tu"[i % 2]) for i in range(10)] + [(300, None, None)]
+    one, two, three = (spark.createDataFrame(x, k).repartition(3) for x, k in ((a, "idx long, simplified string, traditional string"), (b, "idx long, simplified string"), (c, "idx long, simplified string, traditional string")))
+    ab = [(s, t, i, j) for i, s, t in a for j, u in b if s == u]
+    want = [(s or t or "", i, j, k) for s, t, i, j in ab for k, u, v in c if (s, t) == (u, v)]
+    want += [(s or t or "", i, j, -1) for s, t, i, j in ab if (s, t) not in {x[1:] for x in c}]
+    want += [(u or v or "", -1, -1, k) for k, u, v in c if (u, v) not in {x[:2] for x in ab}]
+    found = AL.align_chars(one, two, three)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    # one spelling of 300 x 300 rows: no task makes them all
+    same = lambda n: spark.range(n).select(F.col("id").alias("idx"), F.lit("s").alias("simplified"))
+    sizes = AL.align_chars(same(300), same(300)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 90_000 and max(r["count"] for r in sizes) < 30_000
