@@ -385,3 +385,17 @@ def test_glyphs_of_many_rows_are_dealt_out(spark, monkeypatch):
     same = lambda n: spark.range(n).select(F.col("id").alias("idx"), F.lit("s").alias("simplified"))
     sizes = AL.align_chars(same(300), same(300)).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 90_000 and max(r["count"] for r in sizes) < 30_000
+
+
+def test_a_task_goes_through_many_blocks_and_keeps_the_nearest(spark):
+    rng = np.random.default_rng(9)
+    rows = [(c, f"d{d}", str(rng.choice(list("pq")))) for c in range(90) for d in range(4) if rng.random() < 0.7] + [(c, "rare", "r") for c in (3, 50)]
+    cells = spark.createDataFrame(rows, "cid int, col string, value string")
+    key = lambda f: sorted((r["cid"], r["col"], r["b"], r["value"], round(r["d"], 6)) for r in f.collect())
+    want = key(I.nearest_known(cells))
+    assert {x[2] for x in want if x[1] == "rare"} == {3, 50} and len(want) > 88 * 2
+    for turns in (1, 3, 32):
+        assert key(I.nearest_known(cells, block=10, turns=turns)) == want
+    # blocks travel packed: 53 known cells of a character are some hundred bytes
+    wide = I._profiles(spark.range(500).select(F.col("id").cast("string").alias("cid"), F.explode(F.sequence(F.lit(1), F.lit(53))).cast("string").alias("col"), F.lit("v").alias("value")))
+    assert len(I._pack(wide.toArrow())) < 500 * 400
