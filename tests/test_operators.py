@@ -397,5 +397,5 @@ def test_a_task_goes_through_many_blocks_and_keeps_the_nearest(spark):
     for turns in (1, 3, 32):
         assert key(I.nearest_known(cells, block=10, turns=turns)) == want
     # blocks travel packed: 53 known cells of a character are some hundred bytes
-    wide = I._profiles(spark.range(500).select(F.col("id").cast("string").alias("cid"), F.explode(F.sequence(F.lit(1), F.lit(53))).cast("string").alias("col"), F.lit("v").alias("value")))
+    wide = I._profiles(spark.range(500).select(F.col("id").cast("string").alias("cid"), F.explode(F.sequence(F.lit(1), F.lit(53)).cast("array<string>")).alias("col"), F.lit("v").alias("value")))
     assert len(I._pack(wide.toArrow())) < 500 * 400
