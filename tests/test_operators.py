@@ -399,3 +399,13 @@ def test_a_task_goes_through_many_blocks_and_keeps_the_nearest(spark):
     # blocks travel packed: 53 known cells of a character are some hundred bytes
     wide = I._profiles(spark.range(500).select(F.col("id").cast("string").alias("cid"), F.explode(F.sequence(F.lit(1), F.lit(53)).cast("array<string>")).alias("col"), F.lit("v").alias("value")))
     assert len(I._pack(wide.toArrow())) < 500 * 400
+
+
+def test_distances_leave_python_as_a_row_a_character_and_block(spark):
+    rows = [(c, f"d{d}", "pqr"[(c * d) % 3]) for c in range(25) for d in range(3) if (c + d) % 4]
+    cells = spark.createDataFrame(rows, "cid int, col string, value string")
+    exact = {(r["a"], r["b"]): r["distance"] for r in I.character_distances(cells, block=10).collect()}
+    rounded = I.character_distances(cells, block=10, digits=6)
+    got = {(r["a"], r["b"]): r["distance"] for r in rounded.collect()}
+    assert len(got) == 25 * 25 == rounded.count() and got == {k: pytest.approx(round(v, 6), abs=1e-12) for k, v in exact.items()}
+    assert "posexplode" in rounded._jdf.queryExecution().toString()
