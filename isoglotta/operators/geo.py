@@ -159,7 +159,7 @@ def isogloss(points: DataFrame, cells: DataFrame, value: str = "value", key: str
 
     def run(frames):
         for f in frames:
-            yield f.assign(value=np.clip(rbf.values(f[["lat", "lon"]].to_numpy(float), x, w)[:, 0], 0, 1))
+            yield f.assign(value=np.clip(rbf.values(f[["lat", "lon"]].to_numpy(float), x, w)[:, 0], 0, 1).astype(float))
 
     return cells.select("row", "col", "lat", "lon").mapInPandas(run, "row bigint, col bigint, lat double, lon double, value double")
 

@@ -3,6 +3,7 @@
 Up to ``DENSE`` points are one least-squares problem. More are solved by conjugate gradients: the product of a block of rows
 with the vectors is a task that makes its distances anew, so no matrix is kept, and the preconditioner is a sparse inverse
 factor in which each point sees its ``NEAR`` nearest predecessors in a random order. Driver and tasks hold a few numbers a point.
+Where places are so far apart for their steps that doubles can't hold the sums, weights and residuals are in extended precision.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def values(at: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Sums of distances times weights at some places, a block of places at a time."""
+    """Sums of distances times weights at some places, in the weights' precision, a block of places at a time."""
+    at = at.astype(w.dtype)
     step = max(1, BLOCK // max(1, len(x)))
     return np.concatenate([distances(at[s : s + step], x) @ w for s in range(0, len(at), step)]) if len(at) else np.zeros((0, *w.shape[1:]))
 
@@ -79,13 +81,14 @@ def _inverse(spark: SparkSession, x: np.ndarray, y: np.ndarray, far: float) -> n
         return np.stack([np.bincount(at.ravel(), (f * t[:, k, None]).ravel(), n) for k in range(r.shape[1])], axis=1)
 
     def times(v):
-        d = np.concatenate([a for (a,) in _spread(spark, n, lambda lo, hi: (distances(x[lo:hi], x) @ v,))])
+        d = np.concatenate([a for (a,) in _spread(spark, n, lambda lo, hi: (distances(x[lo:hi].astype(v.dtype), x) @ v,))])
         return far * v.sum(axis=0) - d
 
     size = np.maximum(np.abs(y).max(axis=0), 1e-300)
     z, r = np.zeros_like(y), y.copy()
-    for _ in range(6):  # each round solves for what the last one left, by the true residual
-        aim, own, e = np.maximum(AIM * size, 1e-6 * np.abs(r).max(axis=0)), r.copy(), np.zeros_like(y)
+    for _ in range(12):  # each round solves for what the last one left, by the true residual
+        own, e = r.astype(float), np.zeros_like(y)
+        aim = np.maximum(AIM * size, 1e-6 * np.abs(own).max(axis=0))
         p = q = near(own)
         rq = (own * q).sum(axis=0)
         for _ in range(500):
@@ -100,9 +103,14 @@ def _inverse(spark: SparkSession, x: np.ndarray, y: np.ndarray, far: float) -> n
         z, last = z + e, np.abs(r).max(axis=0)
         r = y - times(z)
         left = np.abs(r).max(axis=0)
-        if (left <= AIM * size).all() or (left > last / 2).all():
+        if (left <= AIM * size).all():
             break
-    if (left > LEAST * size).any():
+        if ((left <= AIM * size) | ~(left <= last / 2)).all():  # what is left is rounding
+            if (left <= LEAST * size).all() or z.dtype == np.longdouble:
+                break
+            z = z.astype(np.longdouble)
+            r = y - times(z)
+    if not (left <= LEAST * size).all():
         raise ArithmeticError(f"interpolation of {n} points did not converge: residuals {left}")
     return z
 

@@ -207,6 +207,17 @@ def test_rbf_takes_more_points_than_a_dense_matrix(spark, monkeypatch):
             assert R.values(at, qx, v) * (1 - 2 * c) + m == pytest.approx(R.values(at, px, w) * (1 - 2 * c) + k, abs=1e-6)
 
 
+def test_rbf_of_places_far_apart(spark, monkeypatch):
+    x = np.stack([np.repeat(np.arange(10) * 1e5, 20), np.tile(np.arange(20) * 1e-4, 10)], axis=1)
+    y = np.stack([np.arange(200) % 2, np.arange(200) % 3], axis=1).astype(float)
+    monkeypatch.setattr(R, "DENSE", 20)
+    for limit in (R.LOCAL, 0):  # in the driver, on executors
+        monkeypatch.setattr(R, "LOCAL", limit)
+        for c in (True, False):
+            px, w, k = R.weights(spark, x, y, c)
+            assert (R.values(x, px, w) * (1 - 2 * c) + k).astype(float) == pytest.approx(y, abs=2e-6)
+
+
 def test_rbf_of_over_5000_points(spark):
     p = spark.range(5_050).select("id", (F.col("id") % 71).cast("double").alias("lat"), F.floor(F.col("id") / 71).cast("double").alias("lon"), (F.col("id") % 2).cast("double").alias("value"))
     at = p.where("id % 101 = 0").select(F.col("id").alias("row"), F.col("id").alias("col"), "lat", "lon")
