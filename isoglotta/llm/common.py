@@ -11,6 +11,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Temporary folders of local sessions by application.
 _LOCAL: dict[str, str] = {}
 
@@ -88,8 +89,13 @@ class Scratch:
         return f"{self.root}/{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
-        path = self.folder()
-        df.write.option("compression", compression).parquet(path)
+        path, conf = self.folder(), self.spark.conf
+        before = conf.get(CLEAN, "false")
+        conf.set(CLEAN, "true")  # no other plan reads the shuffles of this one: they go as it ends, not with the driver's garbage
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            conf.set(CLEAN, before)
         out = watch(self.spark.read.schema(df.schema).parquet(path), path)
         out._isoglotta_path = path
         return out

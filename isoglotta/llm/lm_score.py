@@ -41,6 +41,7 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,8 @@ from .common import LOWER, Scratch, mix, read, word_hashes
 
 END, START = np.uint64(0xE57A1B1E5EED0001), np.uint64(0x57A27B1E5EED0002)
 EXACT, TURNS = 256, 8
+#: Weights of numbers of tables held at once; they stay in a core's cache.
+CELLS = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +67,14 @@ def log_stirling(d: float, n: int = EXACT) -> np.ndarray:
     return s
 
 
+@functools.lru_cache(8)
+def _ratios(d: float) -> np.ndarray:
+    """S_d(c, t) / S_d(c, t - 1) for c, t up to ``EXACT``; 0 where there is none."""
+    s = log_stirling(d)
+    with np.errstate(invalid="ignore"):
+        return np.nan_to_num(np.exp(np.diff(s, axis=1, prepend=-np.inf)), nan=0.0, posinf=0.0)
+
+
 def gammaln(x: np.ndarray) -> np.ndarray:
     """log of the gamma function of positive numbers: eight steps up, then Stirling's series."""
     x = np.asarray(x, dtype=np.float64)
@@ -109,18 +120,19 @@ def log_stirling_large(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     # few tables for the customers: the binomial series in (1 - x)**d converges without cancellation
     few = t * c**-d <= (0.6 if d > 0.8 else 2.0)
     if few.any():
-        cs, ts = c[few], t[few]
-        total, top = np.zeros(len(cs)), gammaln(cs - d)
+        ts = t[few]
+        cs, row = np.unique(c[few], return_inverse=True)
+        total, ways, top = np.zeros(len(ts)), np.zeros(len(ts)), gammaln(cs - d)
         for j in range(1, 81):
             left = ts - j + 1
             if not (left > 0).any():
                 break
-            ways = gammaln(ts + 1) - gammaln(np.maximum(left, 1)) - gammaln(j + 1.0)
-            term = np.exp(ways + gammaln(np.maximum(cs - j * d, 1e-9)) - top + math.lgamma(1 + j * d)) * math.sin(math.pi * j * d) / math.pi
+            ways += np.log(np.maximum(left, 1) / j)
+            term = np.exp(ways + (gammaln(np.maximum(cs - j * d, 1e-9)) - top)[row] + math.lgamma(1 + j * d)) * math.sin(math.pi * j * d) / math.pi
             total += np.where(left > 0, -term if j % 2 == 0 else term, 0.0)
             if j * d % 1 > 1e-9 and np.abs(term).max() < 1e-12 * np.abs(total).min():
                 break
-        out[few] = np.where(total > 1e-9, top - gammaln(cs + 1) + np.log(np.maximum(total, 1e-300)), out[few])
+        out[few] = np.where(total > 1e-9, (top - gammaln(cs + 1))[row] + np.log(np.maximum(total, 1e-300)), out[few])
     # nearly as many tables as customers: the power series of (F / d x)**t by its recurrence
     near = (c - t <= 40) & ~few
     if near.any():
@@ -156,14 +168,23 @@ def seat(u: np.ndarray, c: np.ndarray, alpha: np.ndarray, log_p: np.ndarray, d:
     size = np.minimum(c[order], EXACT + 1)
     cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(order)]
     for s, e in zip(cuts, cuts[1:]):
-        n, step = int(size[s]), 20_000 if size[s] <= EXACT else 500
+        n = int(size[s])
+        step = max(1, CELLS // n) if n <= EXACT else 500
         for at in range(s, e, step):
             own = order[at : min(e, at + step)]
             if n > EXACT:
                 t[own] = _seat_large(u[own], c[own].astype(np.float64), alpha[own], log_p[own], d)
                 continue
-            logp = log_stirling(d)[n, 1 : n + 1] + np.cumsum(np.log(alpha[own, None] + np.arange(n)), axis=1) + log_p[own, None] * np.arange(1, n + 1)
-            p = np.cumsum(np.exp(logp - logp.max(axis=1, keepdims=True)), axis=1)
+            with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+                p = alpha[own, None] + np.arange(n)
+                p *= _ratios(d)[n, 1 : n + 1]
+                p *= np.exp(log_p[own])[:, None]
+                p[:, 0] = 1  # a weight is that before it times a ratio; the first counts as 1
+                p = np.cumsum(np.multiply.accumulate(p, axis=1, out=p), axis=1, out=p)
+            far = np.flatnonzero(~np.isfinite(p[:, -1]))
+            if len(far):  # weights beyond the range of doubles
+                logp = log_stirling(d)[n, 1 : n + 1] + np.cumsum(np.log(alpha[own[far], None] + np.arange(n)), axis=1) + log_p[own[far], None] * np.arange(1, n + 1)
+                p[far] = np.cumsum(np.exp(logp - logp.max(axis=1, keepdims=True)), axis=1)
             t[own] = 1 + (p < u[own, None] * p[:, -1:]).sum(axis=1)
     return t
 
@@ -266,6 +287,15 @@ def from_short(b: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys and each key's place among them; cheaper than a sort where most repeat."""
+    code, found = pd.factorize(keys)
+    order = np.argsort(found)
+    place = np.empty(len(found), dtype=np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[code]
+
+
 class Block:
     """Distinct words and pairs of a block, and where its tokens are among them."""
 
@@ -274,7 +304,7 @@ class Block:
         h, self.count = tokens_of(zstandard.ZstdDecompressor().decompress(row["data"]), self.sizes)
         self.starts = np.cumsum(self.count) - self.count
         learns = np.repeat(np.array(row["learn"], dtype=bool), self.count)
-        self.words, at = np.unique(np.concatenate([h, [START, END]]), return_inverse=True)
+        self.words, at = _distinct(np.concatenate([h, [START, END]]))
         start_at, self.word_at = at[-2], at[:-2]
         before_at = np.roll(self.word_at, 1)
         if len(h):
@@ -604,12 +634,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for k, (_, a, *_) in enumerate(kept):
         own = a.select(F.lit(k).alias("kind"), "bucket", "sender", "x")
         replies = own if replies is None else replies.unionByName(own)
-    told_pairs = store.table(base.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(predict([(x[2], x[3]) for x in kept]), _ROW_SQL))
+    told_pairs = base.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(predict([(x[2], x[3]) for x in kept]), _ROW_SQL)
+    # with the words' totals, so that the blocks' answers are all that the last stage reads of this
+    found = store.table(begun.where(f"kind = {WORDS}").unionByName(told_pairs).select("kind", "bucket", F.col("sender").alias("block"), "x"))
+    store.release(begun)
     for _, a, _, _, t in kept:
         store.release(a)
         store.release(t)
     store.tidy()
-    all_answers = begun.where(f"kind = {WORDS}").unionByName(told_pairs).select("kind", "bucket", F.col("sender").alias("block"), "x")
 
     def finish(_, mine: pa.Table, answers: pa.Table) -> pa.Table:
         out = {k: [] for k in ("id", "n_tokens", "n_known", "base_score", "score")}
@@ -629,7 +661,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out["score"] += cut(p[b.pair_at]).tolist()
         return pa.table({k: pa.array(v, pa.int64() if k in ("id", "n_tokens", "n_known") else pa.float64()) for k, v in out.items()})
 
-    scored = blocks.drop("bytes").groupBy("block").cogroup(all_answers.groupBy("block")).applyInArrow(finish, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = blocks.drop("bytes").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(m["N"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 

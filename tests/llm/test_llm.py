@@ -688,3 +688,30 @@ def test_sql_of_this_package(spark):
         cols = sorted(want.columns)
         rows = lambda f: sorted(map(str, f[cols].astype(object).where(f[cols].notna(), None).itertuples(index=False, name=None)))
         assert sorted(got.columns) == cols and rows(got) == rows(want), name
+
+
+def test_a_scratch_table_leaves_no_shuffle_files(spark):
+    from isoglotta.llm.common import CLEAN, Scratch
+
+    dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in dirs for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_")}
+    before = files()
+    t = Scratch(spark).table(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    for _ in range(50):  # they go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and t.count() == 10 and spark.conf.get(CLEAN) == "false"
+
+
+@pytest.mark.parametrize("d", [0.05, 0.5, 0.95])
+def test_seats_follow_their_weights_at_every_size(d):
+    rng = np.random.default_rng(0)
+    c, alpha, log_p = rng.integers(3, lm_score.EXACT + 1, 400), np.exp(rng.uniform(-5, 30, 400)), rng.uniform(-40, 10, 400)
+    u = rng.random(400)
+    got = lm_score.seat(u, c, alpha, log_p, d)
+    for i, n in enumerate(c):
+        w = lm_score.log_stirling(d)[n, 1 : n + 1] + np.cumsum(np.log(alpha[i] + np.arange(n))) + log_p[i] * np.arange(1, n + 1)
+        p = np.cumsum(np.exp(w - w.max()))
+        p /= p[-1]
+        assert p[got[i] - 1] >= u[i] - 1e-9 and (got[i] == 1 or p[got[i] - 2] <= u[i] + 1e-9)
