@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -420,3 +421,19 @@ def test_distances_leave_python_as_a_row_a_character_and_block(spark):
     got = {(r["a"], r["b"]): r["distance"] for r in rounded.collect()}
     assert len(got) == 25 * 25 == rounded.count() and got == {k: pytest.approx(round(v, 6), abs=1e-12) for k, v in exact.items()}
     assert "posexplode" in rounded._jdf.queryExecution().toString()
+
+
+def test_distances_compare_two_blocks_once_and_leave_python_as_tiles(spark):
+    rows = [(c, f"d{d}", " ".join("pqrs"[(c * d + k) % 4] for k in range(1 + c % 3))) for c in range(30) for d in range(4) if (c + d) % 4]
+    cells = spark.createDataFrame(rows, "cid int, col string, value string")
+    met = I._pairs(cells, None, lambda x, ys: pa.table({"a": [sorted(x[0])] * len(ys), "b": [sorted(y[0]) for y in ys]}), "a array<bigint>, b array<bigint>", 10).collect()
+    blocks = {tuple(r[k]) for r in met for k in "ab"}
+    assert sorted(c for x in blocks for c in x) == list(range(30)) and len(blocks) > 1
+    assert len(met) == len(blocks) * (len(blocks) + 1) // 2 == len({frozenset((tuple(r["a"]), tuple(r["b"]))) for r in met})
+    # another table as the other side compares all blocks; both ways give the same pairs
+    for digits in (None, 6, 12):
+        frame = I.character_distances(cells, block=10, digits=digits)
+        once = {(r["a"], r["b"]): r["distance"] for r in frame.collect()}
+        both = {(r["a"], r["b"]): r["distance"] for r in I.character_distances(cells, cells, block=10, digits=digits).collect()}
+        assert len(once) == 900 == frame.count() and once.keys() == both.keys()
+        assert all(once[k] == pytest.approx(0.0 if k[0] == k[1] else d, abs=1e-12) and once[k] == once[k[::-1]] for k, d in both.items())
