@@ -36,22 +36,28 @@ def chunks(text: Column, low: int = 512, high: int = 4096) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{low},{high - 2}}}?[aeiou][ \t\n]|.{{1,{high}}}"), F.lit(0))
 
 
-def collided(hashed: DataFrame) -> DataFrame:
-    """Ordinals above 0 of chunks whose hash other chunks share: hash, chunk, ordinal. Empty as a rule."""
+def collided(hashed: DataFrame, store: Scratch) -> DataFrame | None:
+    """Ordinals above 0 of chunks whose hash other chunks share: hash, chunk, ordinal, written. None, as a rule, if there are none.
+
+    Which hashes these are is written first: a join planned without that would send every chunk a second time, by its hash.
+    """
     distinct = hashed.groupBy("hash", "chunk").agg(F.lit(1).alias("one"))
-    several = distinct.groupBy("hash").agg(F.count("one").alias("n")).where("n > 1").select("hash")
+    several = store.table(distinct.groupBy("hash").agg(F.count("one").alias("n")).where("n > 1").select("hash"))
+    if several.isEmpty():
+        return None
     order = Window.partitionBy("hash").orderBy("chunk")
-    return distinct.join(several, "hash").select("hash", "chunk", (F.row_number().over(order) - 1).alias("ordinal")).where("ordinal > 0")
+    concerned = hashed.join(several, "hash", "left_semi").distinct()
+    return store.table(concerned.select("hash", "chunk", (F.row_number().over(order) - 1).alias("ordinal")).where("ordinal > 0"))
 
 
 def recipes(docs: DataFrame, store: Scratch, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64) -> DataFrame:
     """id, recipe (array of hash and ordinal), text_sha256 of every row, written. ``hash_of``: for tests."""
     cut = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"))
     pieces = cut.select(F.explode(chunks(F.col("t"))).alias("chunk")).select(hash_of("chunk").alias("hash"), "chunk")
-    odd = store.table(collided(pieces))
+    odd = collided(pieces, store)
     sha = F.sha2(F.col("t"), 256).alias("text_sha256")
     own = store.table(cut.select("id", F.transform(chunks(F.col("t")), lambda c: F.struct(hash_of(c).alias("hash"), F.lit(0).alias("ordinal"))).alias("recipe"), sha))
-    if odd.isEmpty():
+    if odd is None:
         return own
     places = cut.select(sha, F.posexplode(chunks(F.col("t"))).alias("pos", "chunk")).withColumn("hash", hash_of("chunk"))
     found = places.join(odd.select("hash").distinct(), "hash", "left_semi").join(odd, ["hash", "chunk"]).select("text_sha256", "pos", "ordinal").distinct()

@@ -214,6 +214,28 @@ def test_exact_groups(spark, collide):
     assert {r["doc_id"] for r in kept.collect()} == {max(g) for g in groups.values()} and kept.columns == docs(spark, texts).columns
 
 
+def test_chunks_cross_the_network_once(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefghij "), 6000)) for _ in range(200)]
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        java = spark.sparkContext._jvm.java.util
+        stages = sc.statusStore().stageList(java.ArrayList(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), java.ArrayList())
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # joins as of larger tables
+    try:
+        before = written()
+        assert exact_dedup.recipes(docs(spark, texts), exact_dedup.Scratch(spark)).count() == 200
+        sent = sum(n for k, n in written().items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    size = sum(map(len, texts))
+    assert size / 2 < sent < 1.5 * size
+
+
 def test_chunks_join_to_the_text(spark):
     d = docs(spark, ODD + [prose(5000), "q" * 9999])
     joined = d.select((F.array_join(exact_dedup.chunks(exact_dedup.normalised(F.col("text"))), "") == exact_dedup.normalised(F.col("text"))).alias("ok"))
