@@ -737,3 +737,15 @@ def test_seats_follow_their_weights_at_every_size(d):
         p = np.cumsum(np.exp(w - w.max()))
         p /= p[-1]
         assert p[got[i] - 1] >= u[i] - 1e-9 and (got[i] == 1 or p[got[i] - 2] <= u[i] + 1e-9)
+
+
+def test_pieces_are_kept_by_key_and_give_the_ids_of_the_library():
+    tok, rng = CachedTokenizer(public_path("byte_bpe_50k.json"), limit=30), np.random.default_rng(11)
+    some = ["a", "Word", "word", " ", " ", "\n", "\t", "é", "日", "'s", "12", ",", ".", "...", "\r", "\x1c", "\xa0", "²", "\0", "<|endoftext|>", " to"]
+    texts = ["a\0b", "\0", "\nword", "word\n", "a \nb", "\n\n", " word", "word word, word.\nword,"] + ["".join(rng.choice(some, rng.integers(1, 14))) for _ in range(4000)]
+    assert all(tok.ids(t) == tok.whole(t) for t in texts)
+    # a word is kept once, whether a stop follows it or not, and a line's first word by itself
+    tok = CachedTokenizer(public_path("byte_bpe_50k.json"))
+    tok.new.clear()
+    tok.ids("one two, two\nthree three")
+    assert set(tok.new) == {"\0one", "two", "two,", "\0\0,", "\0\0\n", "\0three", "three"}
