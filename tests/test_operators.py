@@ -437,3 +437,23 @@ def test_distances_compare_two_blocks_once_and_leave_python_as_tiles(spark):
         both = {(r["a"], r["b"]): r["distance"] for r in I.character_distances(cells, cells, block=10, digits=digits).collect()}
         assert len(once) == 900 == frame.count() and once.keys() == both.keys()
         assert all(once[k] == pytest.approx(0.0 if k[0] == k[1] else d, abs=1e-12) and once[k] == once[k[::-1]] for k, d in both.items())
+
+
+def test_imputation_compares_characters_with_the_same_cells_once(spark):
+    rng = np.random.default_rng(12)
+    kinds = [[(f"d{d}", " ".join(rng.choice(list("pqr"), 1 + d % 2))) for d in range(5) if rng.random() < 0.6] for _ in range(8)] + [[("d0", " "), ("d1", "p")]]
+    kind = {f"c{k:02d}": kinds[k * 7 % 9] for k in range(60)} | {"none0": [], "none1": []}
+    cells = spark.createDataFrame([(c, col, v) for c, own in kind.items() for col, v in own or [("d0", None)]], "cid string, col string, value string")
+    every, sets = I._alike(cells, 3)
+    assert every.count() == 62 and sets.count() == len({tuple(k) for k in kind.values()}) < 11
+    assert all(r["members"] == sorted(r["members"])[:3] and r["cid"] == r["members"][0] for r in sets.collect())
+    run = lambda x, ys: pa.table({"n": pa.array([len(x[0]) * sum(len(y[0]) for y in ys)], pa.int64())})
+    met = sum(r["n"] for r in I._pairs(sets, sets, run, "n bigint", 4, 2, I._set_profiles).collect())
+    assert met == sets.count() ** 2  # not 62 * 62 pairs
+    vec = {c: {(col, t): 1 / np.sqrt(len(set(v.split()))) for col, v in own for t in set(v.split())} for c, own in kind.items()}
+    dist = lambda a, b: 1 - sum(w * vec[b].get(k, 0) for k, w in vec[a].items()) / np.sqrt(len({k[0] for k in vec[a]}) or 1) / np.sqrt(len({k[0] for k in vec[b]}) or 1)
+    want = {(c, col, b) for c in kind for col in sorted({x for own in kind.values() for x, _ in own} - {x for x, _ in kind[c]}) for _, b in sorted((round(dist(c, b), 6), b) for b in kind if col in dict(kind[b]))[:3]}
+    for block, turns in ((2000, 32), (2, 1), (2, 3)):
+        got = I.nearest_known(cells, block=block, turns=turns).collect()
+        assert {(r["cid"], r["col"], r["b"]) for r in got} == want and len(got) == len(want)
+        assert all(dict(kind[r["b"]])[r["col"]] == r["value"] for r in got)
