@@ -457,3 +457,20 @@ def test_imputation_compares_characters_with_the_same_cells_once(spark):
         got = I.nearest_known(cells, block=block, turns=turns).collect()
         assert {(r["cid"], r["col"], r["b"]) for r in got} == want and len(got) == len(want)
         assert all(dict(kind[r["b"]])[r["col"]] == r["value"] for r in got)
+
+
+def test_distances_read_the_cells_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for x in batches:
+            read.add(x.num_rows)
+            yield x
+
+    rows = [(c, f"d{d}", "pq rs"[(c * d) % 4 :]) for c in range(30) for d in range(4)]
+    cells = spark.createDataFrame(rows, "cid int, col string, value string").mapInArrow(count, "cid int, col string, value string")
+    frame = I.character_distances(cells, block=10, digits=6)
+    assert len(frame.collect()) == 900 == len({(r["a"], r["b"]) for r in frame.collect()})
+    assert read.value == len(rows)
+    I.impute(cells).collect()
+    assert read.value == 2 * len(rows)
